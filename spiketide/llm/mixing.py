@@ -10,7 +10,7 @@ from .shared import cut
 #: Weights of the sources in code-point order, null last, repeated.
 WEIGHTS = (3, 1, 2)
 #: Rows that a slice of a source holds on average; slices of a source are ranges of the random key.
-SLICE_ROWS = 4096
+SLICE_ROWS = 1024
 _KEY_SPAN = 1 << 32
 
 
