@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare
+from .shared import cut, prepare
 
 GRAM = 32
 #: Distinct segments of a group that one suffix array takes; the starts of larger groups are dealt out by their strings.
@@ -185,21 +185,26 @@ def repeats(rows: DataFrame, length: int, max_group: int = MAX_GROUP) -> DataFra
     found = rows.select("did", "th", "bytes").mapInArrow(scan, "did long, th long, lo long, starts long, anchor long, segment long, n long")
     within = found.filter("anchor is null").select("did", "th", "lo", "starts")
     occurrences = found.filter("anchor is not null")
-    distinct = occurrences.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("did", "th", "lo", "starts")])
-    groups = distinct.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).filter("total > 1")
-    shared = distinct.join(groups, "anchor")
-    whole = occurrences.join(shared.filter("n > 1").select("anchor", "segment"), ["anchor", "segment"]).select("did", "th", "lo", "starts")
-    asked = shared.filter("kinds > 1 and least = 1").select("anchor", "segment", "n", "kinds", "did", "th", "lo", "starts")
-    pieces = asked.join(rows.select("did", "th", "bytes"), ["did", "th"]).select(
-        "anchor", "segment", "n", "kinds", "did", "th", "lo", "starts", F.expr(f"substring(bytes, cast(lo + 1 as int), cast(starts + {length - 1} as int))").alias("piece")
-    )
-    sort = pieces.filter(F.col("kinds") <= max_group).groupBy("anchor", "segment").agg(F.min(F.struct("did", "th", "lo", "starts", "n", "piece")).alias("one"))
-    sort = sort.groupBy("anchor").agg(F.collect_list("one").alias("members")).select("members")
+    totals = occurrences.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor")
+    shared = cut(occurrences.join(totals, "anchor"))
+    distinct = shared.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("did", "th", "lo", "starts")])
+    groups = shared.groupBy("anchor", "segment").agg(F.sum("n").alias("n")).groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    several = shared.groupBy("anchor", "segment").agg(F.sum("n").alias("all")).filter("all > 1").select("anchor", "segment")
+    whole = shared.join(several, ["anchor", "segment"]).select("did", "th", "lo", "starts")
+    asked = cut(distinct.join(groups.filter("kinds > 1 and least = 1"), "anchor"))
+    piece = F.expr(f"substring(bytes, cast(lo + 1 as int), cast(starts + {length - 1} as int))").alias("piece")
+
+    def pieces(some: DataFrame) -> DataFrame:
+        return some.join(rows.select("did", "th", "bytes"), ["did", "th"]).select("anchor", "n", "did", "th", "lo", "starts", piece)
+
+    sort = pieces(asked.filter(F.col("kinds") <= max_group)).groupBy("anchor").agg(F.collect_set(F.struct("did", "th", "lo", "starts", "n", "piece")).alias("members")).select("members")
     part = sort.mapInArrow(lambda batches: _sorted(batches, length), "did long, th long, lo long, starts long")
-    dealt = pieces.filter(F.col("kinds") > max_group).mapInArrow(lambda batches: _dealt(batches, length), "did long, th long, lo long, text_hash binary")
-    strings = dealt.groupBy("text_hash").agg(F.countDistinct("did", "th", "lo").alias("places")).filter("places > 1")
-    spread = dealt.join(strings, "text_hash").select("did", "th", "lo", F.lit(1).cast("long").alias("starts"))
-    starts = within.unionByName(whole).unionByName(part).unionByName(spread)
+    large = asked.filter(F.col("kinds") > max_group)
+    if not large.isEmpty():
+        dealt = cut(pieces(large).mapInArrow(lambda batches: _dealt(batches, length), "did long, th long, lo long, text_hash binary").distinct())
+        strings = dealt.groupBy("text_hash").agg(F.count("*").alias("places")).filter("places > 1").select("text_hash")
+        part = part.unionByName(dealt.join(strings, "text_hash").select("did", "th", "lo", F.lit(1).cast("long").alias("starts")))
+    starts = within.unionByName(whole).unionByName(part)
     return starts.groupBy("did", "th").agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("starts") + (length - 1)).alias("end"))).alias("spans"))
 
 
