@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from .shared import cut, prepare
 
 GRAM = 32
-#: Distinct segments of a group that one suffix array takes; the starts of larger groups are dealt out by their strings.
+#: Distinct segments of a group that one suffix array takes; larger groups are dealt out more finely.
 MAX_GROUP = 2048
 #: Bytes of the segments that are sorted at a time, and starts that are scanned at a time.
 SORT_BYTES, SCAN = 1 << 19, 1 << 20
+#: Starts to a block of a group too large for one array.
+BLOCK = 32
+_STARTS = "did long, th long, lo long, starts long"
 
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -41,8 +44,9 @@ def _gram_hashes(text: np.ndarray) -> np.ndarray:
 
 
 def segments(text: np.ndarray, length: int):
-    """Arrays (lo, hi, anchor): the starts lo..hi-1 share the anchor. Empty for texts shorter than length."""
-    los, his, anchors = [], [], []
+    """Arrays (lo, hi, anchor, offset): the starts lo..hi-1 share the anchor, which lies at lo + offset. Empty for texts
+    shorter than length."""
+    los, his, anchors, offsets = [], [], [], []
     for at in range(0, len(text) - length + 1, SCAN):
         part = text[at : at + SCAN + length - 1]
         h = _gram_hashes(part)
@@ -59,9 +63,10 @@ def segments(text: np.ndarray, length: int):
         los.append(lo + at)
         his.append(np.append(turn, m) + at)
         anchors.append(h[point[lo]].view(np.int64))
+        offsets.append(point[lo] - lo)
     if not los:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(los), np.concatenate(his), np.concatenate(anchors)
+        return (np.zeros(0, np.int64),) * 4
+    return np.concatenate(los), np.concatenate(his), np.concatenate(anchors), np.concatenate(offsets)
 
 
 def suffix_order(text: np.ndarray, begins: list[int], counts: list[int], ends: list[int], length: int) -> np.ndarray:
@@ -164,50 +169,78 @@ def repeats(rows: DataFrame, length: int, max_group: int = MAX_GROUP) -> DataFra
     prepare(rows.sparkSession)
 
     def scan(batches):
-        names = ["did", "th", "lo", "starts", "anchor", "segment", "n"]
+        names = ["did", "th", "lo", "starts", "anchor", "off", "segment", "n"]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for did, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.as_py()
-                lo, hi, anchor = segments(np.frombuffer(raw, np.uint8), length)
+                lo, hi, anchor, off = segments(np.frombuffer(raw, np.uint8), length)
                 if not len(lo):
                     continue
                 view = memoryview(raw)
                 hashes = np.array([xxhash.xxh3_64_intdigest(view[a : b + length - 1]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64).view(np.int64)
                 _, first, inverse, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
                 twice = n[inverse] > 1
-                own = _merge(zip(lo[twice].tolist(), hi[twice].tolist(), strict=True))
+                own = _merge(zip(lo[twice].tolist(), hi[twice].tolist(), strict=True))  # repeated within the text: a row by itself
                 k = len(first)
-                for column, values in zip(columns, ([did] * (k + len(own)), [th] * (k + len(own)), [*lo[first].tolist(), *(a for a, _ in own)], [*(hi - lo)[first].tolist(), *(b - a for a, b in own)], [*anchor[first].tolist(), *[None] * len(own)], [*hashes[first].tolist(), *[None] * len(own)], [*n.tolist(), *[2] * len(own)]), strict=True):
-                    column += values
+                values = (
+                    [did] * (k + len(own)), [th] * (k + len(own)), [*lo[first].tolist(), *(a for a, _ in own)], [*(hi - lo)[first].tolist(), *(b - a for a, b in own)],
+                    [*anchor[first].tolist(), *(th ^ a for a, _ in own)], [*off[first].tolist(), *[0] * len(own)], [*hashes[first].tolist(), *[None] * len(own)], [*n.tolist(), *[2] * len(own)],
+                )
+                for column, some in zip(columns, values, strict=True):
+                    column += some
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    found = rows.select("did", "th", "bytes").mapInArrow(scan, "did long, th long, lo long, starts long, anchor long, segment long, n long")
-    within = found.filter("anchor is null").select("did", "th", "lo", "starts")
-    occurrences = found.filter("anchor is not null")
-    totals = occurrences.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor")
-    shared = cut(occurrences.join(totals, "anchor"))
-    distinct = shared.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("did", "th", "lo", "starts")])
-    groups = shared.groupBy("anchor", "segment").agg(F.sum("n").alias("n")).groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    several = shared.groupBy("anchor", "segment").agg(F.sum("n").alias("all")).filter("all > 1").select("anchor", "segment")
-    whole = shared.join(several, ["anchor", "segment"]).select("did", "th", "lo", "starts")
-    asked = cut(distinct.join(groups.filter("kinds > 1 and least = 1"), "anchor"))
-    piece = F.expr(f"substring(bytes, cast(lo + 1 as int), cast(starts + {length - 1} as int))").alias("piece")
-
-    def pieces(some: DataFrame) -> DataFrame:
-        return some.join(rows.select("did", "th", "bytes"), ["did", "th"]).select("anchor", "n", "did", "th", "lo", "starts", piece)
-
-    sort = pieces(asked.filter(F.col("kinds") <= max_group)).groupBy("anchor").agg(F.collect_set(F.struct("did", "th", "lo", "starts", "n", "piece")).alias("members")).select("members")
-    part = sort.mapInArrow(lambda batches: _sorted(batches, length), "did long, th long, lo long, starts long")
-    large = asked.filter(F.col("kinds") > max_group)
-    if not large.isEmpty():
-        dealt = cut(pieces(large).mapInArrow(lambda batches: _dealt(batches, length), "did long, th long, lo long, text_hash binary").distinct())
-        strings = dealt.groupBy("text_hash").agg(F.count("*").alias("places")).filter("places > 1").select("text_hash")
-        part = part.unionByName(dealt.join(strings, "text_hash").select("did", "th", "lo", F.lit(1).cast("long").alias("starts")))
+    found = rows.select("did", "th", "bytes").mapInArrow(scan, "did long, th long, lo long, starts long, anchor long, off long, segment long, n long")
+    totals = found.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor")
+    shared = cut(found.join(totals, "anchor"))
+    within = shared.filter("segment is null").select("did", "th", "lo", "starts")
+    kinds = shared.filter("segment is not null").groupBy("anchor", "segment").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("did", "th", "lo", "starts", "off")])
+    kinds = cut(kinds)
+    whole = shared.join(kinds.filter("n > 1").select("anchor", "segment"), ["anchor", "segment"]).select("did", "th", "lo", "starts")
+    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+    asked = kinds.join(groups, "anchor")
+    # the text side is that of the last join in remove_repeats(), so that texts are shuffled once
+    pieces = asked.join(rows, ["did", "th"]).select("anchor", "id", "n", "kinds", "did", "th", "lo", "starts", "off", F.expr(f"substring(bytes, cast(lo + 1 as int), cast(starts + {length - 1} as int))").alias("piece"))
+    member = F.struct("did", "th", "lo", "starts", "n", "piece", "id")
+    sort = pieces.filter(F.col("kinds") <= max_group).groupBy("anchor").agg(F.collect_set(member).alias("members"))
+    part = sort.select("members").mapInArrow(lambda batches: _sorted(batches, length), _STARTS)
     starts = within.unionByName(whole).unionByName(part)
+    if not groups.filter(F.col("kinds") > max_group).isEmpty():
+        starts = starts.unionByName(_large(pieces.filter(F.col("kinds") > max_group), length, max_group))
     return starts.groupBy("did", "th").agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("starts") + (length - 1)).alias("end"))).alias("spans"))
 
 
+def _large(pieces: DataFrame, length: int, max_group: int) -> DataFrame:
+    """(did, th, lo, starts) of repeated starts in groups that are too large for one array.
+
+    Starts are dealt by blocks of BLOCK places from the anchor. All strings that begin in a block hold the same core,
+    and equal strings have equal cores, so (anchor, block, core) are smaller groups. Blocks of equal bytes are counted
+    before they move; what is left of a passage that very many texts share are the blocks at its ends. Where those are
+    still too many, their starts are dealt out by string.
+    """
+    low, high = F.floor(-F.col("off") / BLOCK), F.floor((F.col("starts") - 1 - F.col("off")) / BLOCK)
+    blocks = pieces.select("*", F.explode(F.sequence(low, high)).alias("b")).withColumn("at", F.col("off") + F.col("b") * BLOCK)
+    blocks = blocks.withColumns({"from": F.greatest(F.lit(0), F.col("at")), "to": F.least(F.col("starts"), F.col("at") + BLOCK)})
+    core = F.expr(f"substring(piece, cast(at + {BLOCK} as int), {length - BLOCK + 1})")
+    part = F.expr(f"substring(piece, cast(`from` + 1 as int), cast(`to` - `from` + {length - 1} as int))")
+    blocks = blocks.select(
+        F.xxhash64("anchor", "b", core).alias("key"), "did", "th", (F.col("lo") + F.col("from")).alias("lo"), (F.col("to") - F.col("from")).alias("starts"), part.alias("piece"),
+    ).withColumn("sub", F.xxhash64("piece"))
+    blocks = cut(blocks.distinct())
+    kinds = cut(blocks.groupBy("key", "sub").agg(F.count("*").alias("n")))
+    whole = blocks.join(kinds.filter("n > 1"), ["key", "sub"]).select("did", "th", "lo", "starts")
+    groups = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("key", "kinds")
+    rest = blocks.dropDuplicates(["key", "sub"]).join(kinds, ["key", "sub"]).join(groups, "key")
+    sort = rest.filter(F.col("kinds") <= max_group).groupBy("key").agg(F.collect_list(F.struct("did", "th", "lo", "starts", "n", "piece")).alias("members"))
+    part = sort.select("members").mapInArrow(lambda batches: _sorted(batches, length), _STARTS)
+    last = rest.filter(F.col("kinds") > max_group).select("did", "th", "lo", "starts", "piece")
+    dealt = last.mapInArrow(lambda batches: _dealt(batches, length), "did long, th long, lo long, text_hash binary")
+    strings = dealt.groupBy("text_hash").agg(F.count("*").alias("places")).filter("places > 1").select("text_hash")
+    spread = dealt.join(strings, "text_hash").select("did", "th", "lo", F.lit(1).cast("long").alias("starts"))
+    return whole.unionByName(part).unionByName(spread)
+
+
 def _sorted(batches, length: int):
     names = ["did", "th", "lo", "starts"]
     for batch in batches:
@@ -252,7 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     empty table gives no rows. `length` is at least 64.
     """
     rows = _keyed(docs, id_col, text_col)
-    marked = rows.join(repeats(rows, length, max_group), ["did", "th"], "left").select("id", "bytes", "spans")
+    marked = rows.join(repeats(rows, length, max_group), ["did", "th"], "left").select("id", "bytes", "spans", "did", "th")
 
     def run(batches):
         for batch in batches:
