@@ -10,6 +10,7 @@ by the manifest that the writer returns; what a lost attempt left behind is in n
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import uuid
@@ -26,7 +27,7 @@ from .shared import cut, prepare, shared_dir
 SEQUENCE, BATCH = 1024, 256
 #: Rows of a file on average.
 FILE_ROWS = 8192
-#: Distinct pieces of text that a task's cache of encodings holds before it starts afresh.
+#: Distinct pieces of text in a generation of a Python worker's cache of encodings; the one before is kept beside it.
 CACHE = 400_000
 
 
@@ -38,25 +39,29 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer, before: str):
         super().__init__()
-        self.tokenizer, self.before = tokenizer, before
+        self.tokenizer, self.tokenize, self.before = tokenizer, tokenizer.model.tokenize, before
+        self.older: dict[str, bytes] = {}
         # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         other = iter(range(256, 512))
         self.letters = {b: b if b in plain else next(other) for b in range(256)}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE:
+        out = self.older.pop(piece, None)
+        if out is None:
+            word = self.WORD.fullmatch(piece)
+            if word:
+                out = b"".join([t.id.to_bytes(4, "little") for p in ((self.before + word[1], word[2]) if word[2] else (self.before + word[1],)) for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))])
+            else:
+                out = np.array(self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        word = self.WORD.fullmatch(piece)
-        if word:
-            parts = [self.before + word[1], *([word[2]] if word[2] else [])]
-            ids = [t.id for p in parts for t in self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids
-        self[piece] = out = np.array(ids, "<u4").tobytes()
+        self[piece] = out
         return out
 
 
+@functools.cache
 def _encoder(tokenizer_path: str):
     """text -> ids, by a byte-level BPE of the tokenizers library.
 
