@@ -28,7 +28,7 @@ SEQUENCE, BATCH = 1024, 256
 #: Rows of a file on average.
 FILE_ROWS = 8192
 #: Distinct pieces of text in a generation of a Python worker's cache of encodings; the one before is kept beside it.
-CACHE = 400_000
+CACHE = 250_000
 
 
 class _Pieces(dict):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,74 +159,70 @@ def _merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, row: bool = False) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each document: id, n_words, spans (maximal word ranges [start, end) inside windows), items (sorted ids).
 
     Null and empty texts have no words and match nothing; items without words, or with a null id, match nothing; items
     with equal ids are one item; equal documents are answered row by row. An item of fewer than `window` words matches
-    as a whole. With row, the whole input row comes along as a struct. A benchmark above block_words words is dealt
-    over several automata; the documents stream past one after the other and their spans are merged, so memory is
-    bounded by one automaton.
+    as a whole. A benchmark above block_words words is dealt over several automata; the documents stream past one
+    after the other and their spans are merged, so memory is bounded by one automaton.
     """
+    found = _streamed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", items, window, item_col, block_words)
+    return found.select("row.id", "n_words", "spans", "items")
+
+
+def _streamed(docs: DataFrame, text_col: str, items: DataFrame, window: int, item_col: str, block_words: int, most: float | None = None) -> DataFrame:
+    """(row struct of all columns, n_words, spans, items, clean): clean is the text without its spans if `most`, the
+    greatest share of matched words, is given, and null if it is exceeded or not given."""
     spark = docs.sparkSession
     prepare(spark)
     frame = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("bytes"), F.lit(0).cast("long").alias("n_words"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<long>").alias("items"),
-        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if row else []),
+        F.lit(None).cast("string").alias("clean"),
     )
     schema = frame.schema
     ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def over(frame: DataFrame, shared) -> DataFrame:
+    def over(frame: DataFrame, shared, most: float | None) -> DataFrame:
         def run(batches):
             automaton = shared.value
             for batch in batches:
-                counts, spans, items = [], [], []
-                for text, old, had in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                    words = words_of(text.as_py() or b"")
+                counts, spans, items, clean = [], [], [], []
+                for text, old, had in zip(batch.column(0).field(text_col), batch.column(2), batch.column(3), strict=True):
+                    raw = (text.as_py() or "").encode()
+                    words = words_of(raw)
                     found, which = automaton.find(words)
-                    found = _merged(found + [(x["start"], x["end"]) for x in old]) if old else found
+                    if len(old.values):
+                        found = _merged(found + [(x["start"], x["end"]) for x in old.as_py()])
                     counts.append(len(words))
                     spans.append([{"start": a, "end": b} for a, b in found])
-                    items.append(sorted(which | set(had)))
-                made = [pa.array(counts, pa.int64()), pa.array(spans, ranges), pa.array(items, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made, *batch.columns[5:]], batch.schema.names)
+                    items.append(sorted(which.union(had.as_py())))
+                    fine = most is not None and sum(b - a for a, b in found) <= most * len(words)
+                    clean.append(_without(raw, found) if fine and text.is_valid else None)
+                made = [pa.array(counts, pa.int64()), pa.array(spans, ranges), pa.array(items, pa.list_(pa.int64())), pa.array(clean, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], batch.schema.names)
 
         return frame.mapInArrow(run, schema)
 
-    blocks = _item_blocks(items, item_col, text_col, block_words)
+    blocks = _item_blocks(items, item_col, "text", block_words)
     block, following = next(blocks, []), next(blocks, None)
     while True:
         shared = spark.sparkContext.broadcast(Automaton(block, window))
-        frame = over(frame, shared)
         if following is None:
-            return frame.drop("bytes")
-        frame = cut(frame)
+            return over(frame, shared, most)
+        frame = cut(over(frame, shared, None))
         shared.unpersist()
         block, following = following, next(blocks, None)
 
 
-def digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", max_coverage: float = 0.5, item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", max_coverage: float = 0.5, item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with matched spans cut out of their texts; rows whose matched share of words is above
     max_coverage go. What is left around a removed span is joined by one space. Rows without a match keep their text
     as it is, null texts included. All columns stay in place; matching follows matches()."""
-    found = matches(docs, items, window, id_col, text_col, item_col, block_words, row=True)
-    hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["end"] - x["start"])
-    kept = found.filter(hit <= F.lit(max_coverage) * F.col("n_words")).select(F.struct(F.col(f"row.`{text_col}`").cast("binary").alias("bytes"), "spans").alias("cut"), "row")
-
-    def run(batches):
-        for batch in batches:
-            texts = [None if x["bytes"] is None else _without(x["bytes"], [(s["start"], s["end"]) for s in x["spans"]]) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "row"])
-
-    schema = kept.select(F.lit("").cast("string").alias("text"), "row").schema
-    cleaned = kept.mapInArrow(run, schema)
-    return cleaned.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    found = _streamed(docs, text_col, items, window, item_col, block_words, max_coverage)
+    kept = found.filter(F.col("clean").isNotNull() | F.col(f"row.`{text_col}`").isNull())
+    return kept.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _without(raw: bytes, spans: list[tuple[int, int]]) -> str:

@@ -28,7 +28,7 @@ _WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+")
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = bucket = zlib.crc32(word) % BUCKETS
         return bucket
@@ -186,14 +186,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "t
     """(row struct of all columns, score double): the probability of label 1 for every whole text. Null texts are empty."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     schema = source.select("row", F.lit(0.0).alias("score")).schema
 
     def run(batches):
         context, network = shared.value
         features = Features(context)
         for batch in batches:
-            x = np.array([features(text.as_py() or b"") for text in batch.column(1)], np.float64).reshape(-1, Features.SIZE)
+            x = np.array([features((text.as_py() or "").encode()) for text in batch.column(0).field(text_col)], np.float64).reshape(-1, Features.SIZE)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.predict(x), pa.float64())], ["row", "score"])
 
     return source.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch. Texts may be long, so batches are kept short; this bounds memory, not results.
-ARROW_ROWS = 500
+ARROW_ROWS = 200
 
 _own: dict[str, str] = {}
 
