@@ -1,11 +1,680 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and the same results as SQL for DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from .functions import values
+from .operators import align, changepoint, features, histograms, models, predicates, tables, triggers
+from .plans import fixture
+from .plans.fixture import table
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def query(sql: str | None = None):
+    """Register a function under its own name, with its SQL."""
+
+    def take(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return take
+
+
+SPIKES = "spikes AS (SELECT 'rec_' || (user_id % 3) AS recording, user_id AS cell_index, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000000 AS times, value FROM events)"
+HITS = SPIKES + """,
+stim AS (SELECT CAST(i AS INTEGER) AS stimulus_index, i * 518400 AS b, ['fff', 'chirp', 'csteps', 'fff', 'chirp'][i + 1] AS stimulus_name FROM range(5) t(i)),
+hits AS (SELECT DISTINCT recording, cell_index, stimulus_index, times, times - b AS rel, least((times - b) // 43200, 9) AS k FROM spikes JOIN stim ON times > b AND times <= b + 432000),
+frames AS (SELECT recording, cell_index, stimulus_index, times, rel AS times_relative, k % 2 AS trigger, k // 2 AS repeat, rel - 86400 * (k // 2) AS times_triggered FROM hits),
+trig AS (SELECT recording, cell_index, stimulus_index, times / 3600.0::DOUBLE AS times, times_relative / 3600.0::DOUBLE AS times_relative, trigger, repeat, times_triggered / 3600.0::DOUBLE AS times_triggered FROM frames)"""
+W = "WITH " + HITS + "\n"
+
+
+def _trig(spark, d, seconds=True, **options) -> DataFrame:
+    return align.triggered(fixture.spikes(spark, d), fixture.stimuli(spark), seconds=seconds, dim_rows=fixture.STIMULUS_ROWS, **options)
+
+
+# -- alignment
+
+
+@query(W + "SELECT * FROM trig")
+def triggered_spikes(spark, d):
+    return _trig(spark, d)
+
+
+@query(W + "SELECT * FROM frames")
+def triggered_frames(spark, d):
+    return _trig(spark, d, seconds=False)
+
+
+@query(W + ", leg AS (SELECT *, (rel - 1) // 43200 AS j FROM hits) SELECT recording, cell_index, stimulus_index, times, rel AS times_relative, j % 2 AS trigger, j // 2 AS repeat, rel - 86400 * (j // 2) AS times_triggered FROM leg")
+def triggered_legacy_open_closed(spark, d):
+    return _trig(spark, d, seconds=False, legacy=True)
+
+
+@query(W + ", c AS (SELECT recording, cell_index, count(*) AS nr FROM spikes GROUP BY ALL HAVING count(*) > 60) SELECT f.*, coalesce(nr, 0) AS nr FROM frames f LEFT JOIN c USING (recording, cell_index)")
+def triggered_carry(spark, d):
+    cells = fixture.spikes(spark, d).groupBy("recording", "cell_index").agg(F.count("*").alias("nr")).filter("nr > 60")
+    return align.carry(_trig(spark, d, seconds=False), cells, ["nr"])
+
+
+@query(W + "SELECT * FROM frames WHERE (recording = 'rec_1' AND repeat >= 2) OR stimulus_index IN (0, 3)")
+def triggered_filter_dnf(spark, d):
+    return predicates.where(_trig(spark, d, seconds=False), [{"recording": "rec_1", "repeat": ">= 2"}, {"stimulus_index": [0, 3]}])
+
+
+@query("WITH " + HITS + ", n AS (SELECT recording, cell_index, stimulus_index, count(*) AS n FROM spikes JOIN stim ON times > b AND times <= b + 432000 GROUP BY ALL), g AS (SELECT DISTINCT recording, cell_index FROM spikes) SELECT g.recording, g.cell_index, stim.stimulus_index, stimulus_name, coalesce(n, 0) AS nr_of_spikes FROM g CROSS JOIN stim LEFT JOIN n ON n.recording = g.recording AND n.cell_index = g.cell_index AND n.stimulus_index = stim.stimulus_index")
+def cell_stimulus_counts(spark, d):
+    return align.cell_counts(fixture.spikes(spark, d), fixture.stimuli(spark))
+
+
+@query("WITH " + SPIKES + ", o AS (SELECT row_number() OVER (ORDER BY recording) - 1 AS k, recording FROM (SELECT DISTINCT recording FROM spikes)) SELECT recording, cell_index, CAST(times AS DOUBLE) - [0.0, 10.0, 20.0][k + 1] AS aligned FROM spikes JOIN o USING (recording)")
+def align_on_condition(spark, d):
+    rows = fixture.spikes(spark, d).select("recording", "cell_index", F.col("times").cast("double").alias("aligned"))
+    return align.align_on_condition(rows, "recording", [0.0, 10.0, 20.0], "aligned")
+
+
+@query(W + "SELECT recording, cell_index, stimulus_index, times, CAST(k AS BIGINT) AS k FROM hits")
+def asof_join(spark, d):
+    return _trig(spark, d, seconds=False).select("recording", "cell_index", "stimulus_index", "times", (F.col("repeat") * fixture.LOGIC + F.col("trigger")).alias("k"))
+
+
+@query("WITH " + SPIKES + ", w AS (SELECT j AS window_id, j * 250000 AS low, j * 250000 + 400000 AS high FROM range(10) t(j)) SELECT window_id, recording, count(*) AS n FROM spikes JOIN w ON times > low AND times < high GROUP BY ALL")
+def range_overlap_join(spark, d):
+    windows = spark.range(10, numPartitions=1).select(F.col("id").alias("window_id"), (F.col("id") * 250_000).alias("low"), (F.col("id") * 250_000 + 400_000).alias("high"))
+    return fixture.spikes(spark, d).join(F.broadcast(windows), (F.col("times") > F.col("low")) & (F.col("times") < F.col("high"))).groupBy("window_id", "recording").agg(F.count("*").alias("n"))
+
+
+# -- counts and aggregates
+
+
+@query(W + "SELECT recording, stimulus_index, count(*) AS n FROM frames GROUP BY ALL")
+def count_spikes(spark, d):
+    return _trig(spark, d, seconds=False).groupBy("recording", "stimulus_index").agg(F.count("*").alias("n"))
+
+
+@query(W + "SELECT stimulus_index, trigger, count(DISTINCT cell_index) AS cells FROM frames GROUP BY ALL")
+def unique_by_condition(spark, d):
+    return _trig(spark, d, seconds=False).groupBy("stimulus_index", "trigger").agg(F.countDistinct("cell_index").alias("cells"))
+
+
+@query(W + "SELECT recording, cell_index, array_to_string(list_sort(list(times_triggered)), ',') AS times FROM frames GROUP BY ALL")
+def collect_arrays(spark, d):
+    rows = _trig(spark, d, seconds=False).groupBy("recording", "cell_index").agg(F.array_sort(F.collect_list("times_triggered")).alias("a"))
+    return rows.select("recording", "cell_index", F.array_join(F.col("a").cast("array<string>"), ",").alias("times"))
+
+
+@query(W + "SELECT recording, cell_index, count(*) FILTER (times_triggered > 0 AND times_triggered < 6) AS c0, count(*) FILTER (times_triggered > 12 AND times_triggered < 18) AS c1 FROM trig WHERE (times_triggered > 0 AND times_triggered < 6) OR (times_triggered > 12 AND times_triggered < 18) GROUP BY ALL")
+def sum_spikes(spark, d):
+    return tables.sum_spikes(_trig(spark, d), "times_triggered", [0.0, 12.0], 6.0, ["recording", "cell_index"])
+
+
+@query("WITH " + SPIKES + " SELECT recording, cell_index, count(*) AS n, round(log10(count(*)), 8) AS log_n FROM spikes GROUP BY ALL")
+def log_totals(spark, d):
+    return fixture.spikes(spark, d).groupBy("recording", "cell_index").agg(F.count("*").alias("n"), F.round(F.log10(F.count("*")), 8).alias("log_n"))
+
+
+@query("WITH " + SPIKES + " SELECT recording, round((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349, 6) AS sigma, round(median(value), 6) AS median, round(stddev(value), 6) AS sd FROM spikes GROUP BY ALL")
+def robust_sigma(spark, d):
+    return fixture.spikes(spark, d).groupBy("recording").agg(F.round(tables.robust_sigma("value"), 6).alias("sigma"), F.round(F.median("value"), 6).alias("median"), F.round(F.stddev("value"), 6).alias("sd"))
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS price FROM lineitem GROUP BY ALL")
+def weighted_average(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(tables.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 4).alias("price"))
+
+
+@query("SELECT l_quantity, round(sum(n) OVER (ORDER BY l_quantity) / sum(n) OVER (), 8) AS ecdf FROM (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1)")
+def ecdf(spark, d):
+    steps = table(spark, d, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("n"))  # as many rows as there are values
+    return steps.select("l_quantity", F.round(F.sum("n").over(Window.orderBy("l_quantity")) / F.sum("n").over(Window.partitionBy()), 8).alias("ecdf"))
+
+
+@query("WITH " + SPIKES + " SELECT recording, min_by(cell_index, (value, cell_index)) AS least, max_by(cell_index, (value, cell_index)) AS most FROM spikes GROUP BY ALL")
+def arg_extremes(spark, d):
+    key = F.struct("value", "cell_index")
+    return fixture.spikes(spark, d).groupBy("recording").agg(F.min_by("cell_index", key).alias("least"), F.max_by("cell_index", key).alias("most"))
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 8) AS share FROM events GROUP BY ALL")
+def value_proportions(spark, d):
+    counts = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("event_type", "n", F.round(F.col("n") / F.col("total"), 8).alias("share"))
+
+
+@query("WITH v AS (SELECT label, unnest(embedding) AS v, unnest(range(64)) AS dim FROM embeddings) SELECT label, dim, round(avg(v::DOUBLE), 6) AS mean FROM v GROUP BY ALL")
+def group_mean_vectors(spark, d):
+    flat = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("p", "v"))
+    return flat.groupBy("label", F.col("p").cast("long").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
+# -- joins and sets
+
+
+@query("WITH a AS (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS others FROM events WHERE event_type <> 'click' GROUP BY 1) SELECT user_id, clicks, others FROM a FULL JOIN b USING (user_id)")
+def align_concat(spark, d):
+    e = table(spark, d, "events")
+    some = lambda f, name: e.filter(f).groupBy("user_id").agg(F.count("*").alias(name))
+    return tables.align_concat([some("event_type = 'click'", "clicks"), some("event_type <> 'click'", "others")], ["user_id"])
+
+
+@query("SELECT c_custkey, coalesce(n, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON c_custkey = o_custkey")
+def upsert_update(spark, d):
+    new = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"))
+    return tables.upsert(table(spark, d, "customer").select("c_custkey", "c_acctbal"), new, ["c_custkey"], ["c_acctbal"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+def semi_intersect(spark, d):
+    big = table(spark, d, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(big, "c_custkey", "left_semi")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def anti_except(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT coalesce(c_nationkey, s_nationkey) AS nation, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey")
+def full_outer(spark, d):
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("c"))
+    return c.join(table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("s")), "nation", "full_outer")
+
+
+@query("SELECT n_name, c FROM (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_acctbal > 5000 GROUP BY 1) RIGHT JOIN nation ON c_nationkey = n_nationkey")
+def right_outer(spark, d):
+    c = table(spark, d, "customer").filter("c_acctbal > 5000").groupBy("c_nationkey").agg(F.count("*").alias("c"))
+    return c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right").select("n_name", "c")
+
+
+@query("SELECT user_id, event_type FROM events WHERE value > 50 UNION ALL SELECT user_id, event_type FROM events WHERE value <= 50")
+def union_all(spark, d):
+    e = table(spark, d, "events")
+    return e.filter("value > 50").select("user_id", "event_type").unionByName(e.filter("value <= 50").select("user_id", "event_type"))
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT user_id FROM events WHERE value > 90")
+def union_distinct(spark, d):
+    e = table(spark, d, "events")
+    return e.filter("event_type = 'click'").select("user_id").union(e.filter("value > 90").select("user_id")).distinct()
+
+
+@query("SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+def set_intersect(spark, d):
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("k")).intersect(table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey"))
+
+
+@query("SELECT n_name, r_name, 0 AS n FROM nation CROSS JOIN region")
+def cross_grid(spark, d):
+    return table(spark, d, "nation").select("n_name").crossJoin(F.broadcast(table(spark, d, "region").select("r_name"))).withColumn("n", F.lit(0))
+
+
+@query("WITH m AS (SELECT label, list(a ORDER BY k) AS mean FROM (SELECT label, k, avg(v::DOUBLE) AS a FROM (SELECT label, unnest(embedding) AS v, unnest(range(64)) AS k FROM embeddings WHERE label <> 0) GROUP BY 1, 2) GROUP BY 1), t AS (SELECT vec_id, m.label, list_distance(embedding::DOUBLE[], mean) AS dist FROM embeddings e, m WHERE e.label = 0) SELECT vec_id, arg_min(label, dist) AS label, round(min(dist), 6) AS distance FROM t GROUP BY 1")
+def nearest_centroid(spark, d):
+    e = table(spark, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return features.nearest_centroid(e, "embedding", "label", 0, "vec_id").withColumn("distance", F.round("distance", 6))
+
+
+# -- histograms
+
+_BIN = "CAST(floor({t} / 0.5) AS BIGINT)"
+
+
+@query(W + ", g AS (SELECT i AS bin FROM range(47) t(i)), c AS (SELECT least(CAST(floor(times_triggered / 0.5) AS BIGINT), 46) AS bin, count(*) AS n FROM trig WHERE times_triggered <= 23.5 GROUP BY 1) SELECT bin, coalesce(n, 0) AS count FROM g LEFT JOIN c USING (bin)")
+def psth_global(spark, d):
+    return histograms.psth(_trig(spark, d), "times_triggered", 0.5, 24.0)
+
+
+@query(W + ", g AS (SELECT DISTINCT recording, cell_index, i AS bin FROM trig, range(47) t(i)), c AS (SELECT recording, cell_index, least(CAST(floor(times_triggered / 0.5) AS BIGINT), 46) AS bin, count(*) AS n FROM trig WHERE times_triggered <= 23.5 GROUP BY ALL) SELECT recording, cell_index, bin, coalesce(n, 0) AS count FROM g LEFT JOIN c USING (recording, cell_index, bin)")
+def psth_by_cell(spark, d):
+    return histograms.psth(_trig(spark, d), "times_triggered", 0.5, 24.0, ["recording", "cell_index"])
+
+
+@query(W + ", g AS (SELECT DISTINCT recording, i AS bin FROM trig, range(47) t(i)), c AS (SELECT recording, least(CAST(floor(times_triggered / 0.5) AS BIGINT), 46) AS bin, count(*) AS n FROM trig WHERE times_triggered <= 23.5 GROUP BY ALL), u AS (SELECT recording, count(DISTINCT cell_index) AS cells FROM trig GROUP BY 1) SELECT recording, bin, round(coalesce(n, 0) / cells / 0.5, 6) AS rate FROM g LEFT JOIN c USING (recording, bin) JOIN u USING (recording)")
+def psth_rate(spark, d):
+    t = _trig(spark, d)
+    cells = t.groupBy("recording").agg(F.countDistinct("cell_index").alias("cells"))
+    return histograms.psth(t, "times_triggered", 0.5, 24.0, ["recording"]).join(cells, "recording").select("recording", "bin", F.round(F.col("count") / F.col("cells") / 0.5, 6).alias("rate"))
+
+
+@query(W + ", g AS (SELECT DISTINCT recording, i AS bin FROM trig, range(47) t(i)), c AS (SELECT recording, least(CAST(floor(times_triggered / 0.5) AS BIGINT), 46) AS bin, count(*) AS n FROM trig WHERE times_triggered <= 23.5 GROUP BY ALL) SELECT recording, bin, coalesce(n, 0) AS count, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY recording ORDER BY bin) AS BIGINT) AS cumulative FROM g LEFT JOIN c USING (recording, bin)")
+def psth_cumulative(spark, d):
+    return histograms.cumulative(histograms.psth(_trig(spark, d), "times_triggered", 0.5, 24.0, ["recording"]), ["recording"])
+
+
+@query("WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 40)), 39) AS BIGINT) AS bin, count(*) AS count FROM lineitem, r GROUP BY 1")
+def hist_autorange(spark, d):
+    return histograms.autorange(table(spark, d, "lineitem"), "l_extendedprice", 40)
+
+
+@query("WITH " + SPIKES + ", b AS (SELECT times // 3600 AS bin, count(*) AS n FROM spikes GROUP BY 1), z AS (SELECT bin, n, (n - avg(n) OVER ()) / stddev_pop(n) OVER () AS z FROM b) SELECT bin - 1 AS low, bin + 1 AS high, n, round(z, 6) AS z FROM z WHERE z > 2")
+def wave_zscore(spark, d):
+    counts = fixture.spikes(spark, d).groupBy(F.floor(F.col("times") / 3600).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return tables.rescaled(counts, "n").filter("z > 2").select((F.col("bin") - 1).alias("low"), (F.col("bin") + 1).alias("high"), "n", F.round("z", 6).alias("z"))
+
+
+@query("SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS x, CAST(floor(l_discount * 100 / 2) AS BIGINT) AS y, count(*) AS n FROM lineitem GROUP BY ALL")
+def hist2d(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 5).cast("long").alias("x"), F.floor(F.col("l_discount") * 100 / 2).cast("long").alias("y")).agg(F.count("*").alias("n"))
+
+
+_BINARY = ", h AS (SELECT DISTINCT recording, cell_index, repeat, CAST(floor(times_triggered / 2.0) AS BIGINT) AS index FROM trig WHERE times_triggered < 24 AND repeat < 5), u AS (SELECT DISTINCT recording, cell_index FROM trig), g AS (SELECT recording, cell_index, r AS repeat, i AS index FROM u, range(5) a(r), range(12) b(i)), bin AS (SELECT g.*, CAST(h.index IS NOT NULL AS TINYINT) AS value FROM g LEFT JOIN h USING (recording, cell_index, repeat, index))"
+CELL = ["recording", "cell_index"]
+
+
+def _binary(spark, d):
+    return histograms.binary(_trig(spark, d), "times_triggered", 2.0, 24.0, 5, CELL)
+
+
+@query(W + _BINARY + " SELECT * FROM bin")
+def binary_signal(spark, d):
+    return _binary(spark, d)
+
+
+@query(W + ", p AS (SELECT recording, cell_index FROM frames GROUP BY ALL HAVING count(*) = 1 OR count(DISTINCT repeat) = 1) SELECT * FROM frames WHERE (recording, cell_index) NOT IN (SELECT (recording, cell_index) FROM p)")
+def reject_single(spark, d):
+    return histograms.reject_single(_trig(spark, d, seconds=False), CELL)
+
+
+@query(W + _BINARY + ", a AS (SELECT recording, cell_index, index, avg(value) AS m, var_pop(value) AS v FROM bin GROUP BY ALL) SELECT recording, cell_index, round(var_pop(m) / nullif(avg(v), 0), 6) AS qi FROM a GROUP BY ALL")
+def quality_ratio(spark, d):
+    return histograms.variance_ratio(_binary(spark, d), CELL).withColumn("qi", F.round("qi", 6))
+
+
+@query()
+def quality_index(spark, d):
+    signal = histograms.binary(_trig(spark, d), "times_triggered", 0.25, 24.0, 5, CELL)
+    return histograms.quality_index(signal, CELL)
+
+
+@query()
+def peaks_local_max(spark, d):
+    return histograms.local_peaks(histograms.psth(_trig(spark, d), "times_triggered", 0.5, 24.0, ["recording"]), ["recording"], 5)
+
+
+# -- intervals and windows
+
+_ISI = "WITH " + SPIKES + ", i AS (SELECT recording, cell_index, times, times - lag(times) OVER (PARTITION BY recording, cell_index ORDER BY times) AS isi FROM spikes)"
+
+
+@query(_ISI + " SELECT * FROM i WHERE isi > 0")
+def isi(spark, d):
+    return tables.intervals_between(fixture.spikes(spark, d).select("recording", "cell_index", "times"), "times", CELL)
+
+
+@query(_ISI + " SELECT recording, CAST(floor(log10(isi) * 4) AS BIGINT) AS bin, count(*) AS n FROM i WHERE isi > 0 GROUP BY ALL")
+def isi_hist(spark, d):
+    return isi(spark, d).groupBy("recording", F.floor(F.log10("isi") * 4).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("WITH " + SPIKES + ", h AS (SELECT recording, times // 86400 AS day, count(*) AS n FROM spikes GROUP BY ALL) SELECT recording, day, n, round(avg(n) OVER (PARTITION BY recording ORDER BY day ROWS 4 PRECEDING), 6) AS moving FROM h QUALIFY row_number() OVER (PARTITION BY recording ORDER BY day) >= 5")
+def moving_average(spark, d):
+    return features.moving_average(_daily(spark, d), "n", "day", ["recording"], 5).withColumn("moving", F.round("moving", 6))
+
+
+def _daily(spark, d):
+    return fixture.spikes(spark, d).groupBy("recording", F.floor(F.col("times") / 86400).cast("long").alias("day")).agg(F.count("*").alias("n"))
+
+
+_DAILY = "WITH " + SPIKES + ", h AS (SELECT recording, times // 86400 AS day, count(*) AS n FROM spikes GROUP BY ALL)"
+
+
+@query(_DAILY + ", l AS (SELECT recording, regr_slope(n, day) AS s, regr_intercept(n, day) AS i FROM h GROUP BY 1) SELECT recording, day, n, round(n - (s * day + i), 5) AS residual FROM h JOIN l USING (recording)")
+def detrend(spark, d):
+    return features.detrended(_daily(spark, d), "n", "day", ["recording"]).withColumn("residual", F.round("residual", 5))
+
+
+@query(_DAILY + " SELECT recording, day, n, round((n - min(n) OVER w) / nullif(max(n) OVER w - min(n) OVER w, 0)::DOUBLE, 6) AS minmax, round((n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0), 6) AS z FROM h WINDOW w AS (PARTITION BY recording)")
+def rescaled(spark, d):
+    return tables.rescaled(_daily(spark, d), "n", ["recording"]).withColumns({"minmax": F.round("minmax", 6), "z": F.round("z", 6)})
+
+
+@query(_DAILY + " SELECT a.recording, CAST(l AS BIGINT) AS lag, CAST(sum(a.n * b.n) AS BIGINT) AS product FROM h a, range(10) t(l), h b WHERE a.recording = b.recording AND b.day = a.day + l GROUP BY ALL")
+def autocorrelation(spark, d):
+    return features.autocorrelation(_daily(spark, d).select("recording", F.col("day").alias("bin"), F.col("n").alias("count")), ["recording"], 10)
+
+
+@query("WITH x AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events) SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def ffill_bfill(spark, d):
+    x = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
+    return x.select("event_id", tables.filled("v", Window.partitionBy("user_id").orderBy("event_id")).alias("v"))
+
+
+@query("WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, n, (dense_rank() OVER (ORDER BY l_returnflag) - 1) * (SELECT count(DISTINCT l_linestatus) FROM lineitem) + dense_rank() OVER (ORDER BY l_linestatus) - 1 AS idx FROM g")
+def map_index(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return tables.linear_index(g, ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER w AS place, count(*) OVER (PARTITION BY o_custkey) AS total, round(sum(o_totalprice) OVER w, 2) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")
+def group_positions(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("place"), F.count("*").over(Window.partitionBy("o_custkey")).alias("total"), F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def top_rows(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k % 2 = 1")
+def every_second(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("k")).filter("k % 2 = 1").drop("k")
+
+
+# -- triggers
+
+_STIM = "WITH s AS (SELECT 'rec_' || r AS recording, CAST(i AS INTEGER) AS stimulus_index FROM range(3) a(r), range(5) b(i))"
+
+
+@query(_STIM + " SELECT recording, stimulus_index, p AS position, 12.0::DOUBLE AS mean_s, 12.0::DOUBLE AS max_s, 12.0::DOUBLE AS min_s FROM s, range(2) t(p)")
+def trigger_times(spark, d):
+    each = [triggers.trigger_times(fixture.stimuli(spark), how).withColumnRenamed("seconds", f"{how}_s") for how in ("mean", "max", "min")]
+    return tables.align_concat(each, ["recording", "stimulus_index", "position"])
+
+
+@query(_STIM + " SELECT recording, stimulus_index, 24.0::DOUBLE AS duration FROM s")
+def stim_duration(spark, d):
+    return triggers.stimulus_duration(fixture.stimuli(spark))
+
+
+@query(_STIM + " SELECT recording, stimulus_index, k, (k + 1) * 43200 AS trigger_end FROM s, range(10) t(k)")
+def find_ends(spark, d):
+    return triggers.find_ends(fixture.stimuli(spark))
+
+
+@query(_STIM + " SELECT recording, stimulus_index, CAST(5 AS BIGINT) AS nr_repeats FROM s")
+def nr_repeats(spark, d):
+    return triggers.repeats(fixture.stimuli(spark)).select("recording", "stimulus_index", "nr_repeats")
+
+
+@query(_STIM + " SELECT recording, stimulus_index, k, k * 21600 AS frame FROM s, range(21) t(k)")
+def split_triggers(spark, d):
+    s = fixture.stimuli(spark).select("recording", "stimulus_index", F.posexplode(triggers.split_triggers(F.col("trigger_fr_relative"), 1)).alias("k", "frame"))
+    return s.withColumn("k", F.col("k").cast("long"))
+
+
+@query(_STIM + " SELECT recording, stimulus_index, k * 7200 AS frame FROM s, range(60) t(k)")
+def add_trigger_interval(spark, d):
+    return fixture.stimuli(spark).select("recording", "stimulus_index", F.explode(triggers.regular_triggers(F.col("end_fr") - F.col("begin_fr"), F.lit(7200))).alias("frame"))
+
+
+@query(W + "SELECT repeat, CASE WHEN repeat < 4 THEN ['dark', 'light'][repeat % 2 + 1] ELSE '' END AS label, count(*) AS n FROM frames GROUP BY ALL")
+def repeat_category(spark, d):
+    return _trig(spark, d, seconds=False).groupBy("repeat", triggers.category(F.col("repeat"), ["dark", "light"], 2).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id // 16 AS slot, CAST(max(value * 100) AS BIGINT) AS voltage FROM events GROUP BY 1")
+def downsample_max(spark, d):
+    channel = table(spark, d, "events").select(F.col("event_id").alias("frame"), (F.col("value") * 100).alias("voltage"))
+    return triggers.downsample(channel, 16).select("slot", F.bround("voltage").cast("long").alias("voltage"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id AS frame, value AS v FROM events), h AS (SELECT *, CAST(v > (min(v) OVER p + max(v) OVER p) / 2 AS INTEGER) AS high, min(frame) OVER p AS f0, max(frame) OVER p AS f1 FROM c WINDOW p AS (PARTITION BY user_id)),
+t AS (SELECT *, CAST(high <> coalesce(lag(high) OVER o, -1) AS INTEGER) AS turn FROM h WINDOW o AS (PARTITION BY user_id ORDER BY frame)), i AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY frame) AS island FROM t)
+SELECT user_id, min(frame) AS frame, count(*) AS width FROM i WHERE high = 1 GROUP BY user_id, island HAVING count(*) >= 2 AND min(frame) > any_value(f0) AND max(frame) < any_value(f1)""")
+def trigger_detect(spark, d):
+    channel = table(spark, d, "events").select("user_id", F.col("event_id").alias("frame"), F.col("value").alias("voltage"))
+    return triggers.detect(channel, ["user_id"])
+
+
+# -- change points and first spikes
+
+_POST = W + """, e AS (SELECT recording, cell_index, times_triggered AS t, row_number() OVER (PARTITION BY recording, cell_index ORDER BY times_triggered) AS i, count(*) OVER (PARTITION BY recording, cell_index) AS n, max(times_triggered) OVER (PARTITION BY recording, cell_index) AS tn FROM trig),
+l AS (SELECT *, i * ln(0.5) - 0.5 * t + (n - i) * ln(2.0) - 2.0 * (tn - t) AS l FROM e WHERE i < n), w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY recording, cell_index)) AS w FROM l),
+p AS (SELECT recording, cell_index, t AS candidate, w / sum(w) OVER (PARTITION BY recording, cell_index) AS posterior FROM w)"""
+
+
+def _posterior(spark, d):
+    return changepoint.posterior(_trig(spark, d), CELL, "times_triggered", 0.5, 2.0)
+
+
+@query(_POST + " SELECT recording, cell_index, candidate, round(posterior, 6) AS posterior FROM p")
+def changepoint_posterior(spark, d):
+    return _posterior(spark, d).withColumn("posterior", F.round("posterior", 6))
+
+
+@query(_POST + ", c AS (SELECT *, round(sum(posterior) OVER (PARTITION BY recording, cell_index ORDER BY candidate ROWS UNBOUNDED PRECEDING), 9) AS cdf FROM p) SELECT recording, cell_index, coalesce(min(candidate) FILTER (cdf >= 0.025), max(candidate)) AS low, coalesce(min(candidate) FILTER (cdf >= 0.975), max(candidate)) AS high FROM c GROUP BY ALL")
+def credible_interval(spark, d):
+    return changepoint.credible_interval(_posterior(spark, d), CELL)
+
+
+@query(W + ", w AS (SELECT recording, cell_index, times_triggered AS t, times_triggered - lag(times_triggered, 1, 0) OVER (PARTITION BY recording, cell_index ORDER BY times_triggered) AS x FROM trig) SELECT recording, cell_index, min(t) AS change FROM w WHERE 2 * exp(-2 * x) / (2 * exp(-2 * x) + 0.1 * exp(-0.1 * x)) > 0.9 GROUP BY ALL")
+def single_rate_changepoint(spark, d):
+    return changepoint.single_rate(_trig(spark, d), CELL, "times_triggered", 2.0, 0.1, 0.9)
+
+
+_FIRST = W + ", f AS (SELECT recording, cell_index, trigger, repeat, min(times_triggered) AS first_spike, count(*) AS spikes FROM trig WHERE times_triggered > 1 AND times_triggered < 20 GROUP BY ALL)"
+
+
+def _first(spark, d):
+    return changepoint.first_spikes(_trig(spark, d), [*CELL, "trigger", "repeat"], "times_triggered", 1.0, 20.0)
+
+
+@query(_FIRST + " SELECT * FROM f")
+def first_spike(spark, d):
+    return _first(spark, d)
+
+
+@query(_FIRST + " SELECT recording, cell_index, trigger, round(median(first_spike), 6) AS median, round(avg(first_spike), 6) AS mean, count(*) AS n FROM f GROUP BY ALL")
+def first_spike_stats(spark, d):
+    return _first(spark, d).groupBy(*CELL, "trigger").agg(F.round(F.median("first_spike"), 6).alias("median"), F.round(F.avg("first_spike"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+# -- features
+
+_ANGLES = "WITH a AS (SELECT user_id, (event_id % 8) * 45 AS angle, value AS w FROM events), s AS (SELECT user_id, sum(w * cos(radians(angle))) AS x, sum(w * sin(radians(angle))) AS y, sum(w) AS n FROM a GROUP BY 1)"
+
+
+def _angles(spark, d):
+    return table(spark, d, "events").select("user_id", ((F.col("event_id") % 8) * 45).alias("angle"), F.col("value").alias("w"))
+
+
+@query(_ANGLES + " SELECT user_id, round(sqrt(x * x + y * y) / n, 5) AS magnitude FROM s")
+def direction_vector(spark, d):
+    return features.direction_vector(_angles(spark, d), "angle", "w", ["user_id"]).select("user_id", F.round("magnitude", 5).alias("magnitude"))
+
+
+@query(_ANGLES + ", r AS (SELECT user_id, n, n * least(1.0, sqrt(x * x + y * y) / n * (radians(22.5) / sin(radians(22.5)))) AS big FROM s) SELECT user_id, round(big * big / n, 4) AS z, round(exp(sqrt(1 + 4 * n + 4 * (n * n - big * big)) - (1 + 2 * n)), 4) AS p FROM r")
+def circular_rayleigh(spark, d):
+    return features.rayleigh(_angles(spark, d), "angle", "w", ["user_id"], 45).select("user_id", F.round("z", 4).alias("z"), F.round("p", 4).alias("p"))
+
+
+_ON = W + ", c AS (SELECT recording, cell_index, count(*) FILTER (trigger = 0) AS on_count, count(*) FILTER (trigger = 1) AS off_count FROM frames GROUP BY ALL)"
+
+
+@query(_ON + " SELECT recording, cell_index, coalesce((on_count - off_count) / nullif(on_count + off_count, 0), 0.0) AS polarity FROM c")
+def polarity_index(spark, d):
+    wide = _trig(spark, d, seconds=False).groupBy(*CELL).agg(F.count(F.when(F.col("trigger") == 0, 1)).alias("on"), F.count(F.when(F.col("trigger") == 1, 1)).alias("off"))
+    return wide.select(*CELL, features.polarity(F.col("on"), F.col("off")).alias("polarity"))
+
+
+@query("SELECT vec_id, round((s - 2 * m) / s, 5) AS narrowness FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS s, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS m FROM embeddings)")
+def tuning_narrowness(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(features.narrowness(F.col("embedding").cast("array<double>")), 5).alias("narrowness"))
+
+
+@query(_DAILY + ", e AS (SELECT recording, day // 7 AS epoch, day % 7 AS pos, n FROM h) SELECT recording, epoch, max(n) AS maxima, arg_max(pos, n * 100 - pos) AS argmax, avg(CAST(n = 0 AS INTEGER)) AS sparsity, median(n) AS median, CAST(sum(n) AS BIGINT) AS total, round(sum(CASE WHEN pos < 3 THEN n ELSE 0 END) / sum(n), 6) AS transience FROM e GROUP BY ALL")
+def epoch_features(spark, d):
+    hist = _daily(spark, d).select("recording", F.col("day").alias("bin"), F.col("n").alias("count"))
+    return features.epochs(hist, ["recording"], 7).withColumn("transience", F.round("transience", 6))
+
+
+@query("WITH p AS (SELECT unnest([355, 420, 480, 570]) AS peak), g AS (SELECT peak, l AS wavelength, peak / l::DOUBLE AS x, 0.8795 + 0.0459 * exp(-((peak - 300) ** 2) / 11940) AS a FROM p, range(300, 700) t(l)) SELECT CAST(peak AS INTEGER) AS peak, CAST(wavelength AS BIGINT) AS wavelength, round(1 / (exp(69.7 * (a - x)) + exp(28 * (0.922 - x)) + exp(-14.9 * (1.104 - x)) + 0.674) + 0.26 * exp(-(((wavelength - (189 + 0.315 * peak)) / (-40.5 + 0.195 * peak)) ** 2)), 6) AS absorption FROM g")
+def opsin_template(spark, d):
+    peaks = F.explode(F.array(*map(F.lit, (355, 420, 480, 570)))).alias("peak")
+    return spark.range(300, 700, numPartitions=1).select(F.col("id").alias("wavelength"), peaks).select("peak", "wavelength", F.round(values.opsin(F.col("wavelength"), F.col("peak")), 6).alias("absorption"))
+
+
+@query(W + ", c AS (SELECT recording, trigger, count(*) AS n FROM trig WHERE times_triggered % 12 < 6 GROUP BY ALL) SELECT recording, trigger, round(n / max(n) OVER (PARTITION BY recording)::DOUBLE, 6) AS tuning FROM c")
+def tuning_curve(spark, d):
+    c = _trig(spark, d).filter(F.col("times_triggered") % 12 < 6).groupBy("recording", "trigger").agg(F.count("*").alias("n"))
+    return c.select("recording", "trigger", F.round(F.col("n") / F.max("n").over(Window.partitionBy("recording")), 6).alias("tuning"))
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def ols_r2(spark, d):
+    return features.ols(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"]).select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"), "n")
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS qp, round(corr(l_quantity, l_discount), 6) AS qd, round(corr(l_extendedprice, l_tax), 6) AS pt FROM lineitem")
+def corr_matrix(spark, d):
+    return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("qp"), F.round(F.corr("l_quantity", "l_discount"), 6).alias("qd"), F.round(F.corr("l_extendedprice", "l_tax"), 6).alias("pt"))
+
+
+@query("WITH n AS (SELECT count(*) AS n, stddev(value) AS sd FROM events), a AS (SELECT CAST(round(value / (100.0 / 50)) AS BIGINT) AS pos, count(*) AS c FROM events GROUP BY 1), k AS (SELECT i, sum(c * exp(-0.5 * ((i - pos) / (sd * power(n, -0.2) / 2.0)) ** 2)) AS d FROM a, n, range(51) t(i) WHERE pos BETWEEN 0 AND 50 GROUP BY 1) SELECT i * 2.0 AS x, round(d / max(d) OVER (), 6) AS density FROM k")
+def kde_scott(spark, d):
+    return features.density(table(spark, d, "events"), "value", 51, 0.0, 100.0).select(F.col("x"), F.round("density", 6).alias("density"))
+
+
+# -- values, lists and reshaping
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, round(0.5 * exp(i / 10.0 / 8.0 * ln(8.0 / 0.5)), 8) AS frequency FROM range(81) t(i)")
+def chirp_signal(spark, d):
+    return spark.range(81, numPartitions=1).select(F.col("id").alias("i"), F.round(values.chirp_frequency(F.col("id") / 10.0, 8.0, 0.5, 8.0), 8).alias("frequency"))
+
+
+@query("SELECT p_partkey, TRY_CAST(nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS INTEGER) AS number FROM part")
+def regex_wavelength(spark, d):
+    return table(spark, d, "part").select("p_partkey", values.wavelength(F.col("p_brand")).alias("number"))
+
+
+@query("WITH h AS (SELECT p_partkey, substr(md5(CAST(p_partkey AS VARCHAR)), 1, 6) AS c FROM part) SELECT p_partkey, round(0.2126 * CAST('0x' || substr(c, 1, 2) AS INTEGER) + 0.7152 * CAST('0x' || substr(c, 3, 2) AS INTEGER) + 0.0722 * CAST('0x' || substr(c, 5, 2) AS INTEGER), 4) AS luminance FROM h")
+def hex_luminance(spark, d):
+    colour = F.concat(F.lit("#"), F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 6))
+    return table(spark, d, "part").select("p_partkey", F.round(values.luminance(colour), 4).alias("luminance"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN round(1000.0 / p_size, 6) WHEN 1 THEN round(1.0 / p_size, 6) END AS hertz FROM part")
+def time_string_freq(spark, d):
+    text = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(F.lit("ms"), F.lit("s"), F.lit("h")), (F.col("p_partkey") % 3 + 1).cast("int")))
+    return table(spark, d, "part").select("p_partkey", F.round(values.frequency_of(text), 6).alias("hertz"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' ELSE 'high' END AS level FROM lineitem")
+def when_chain(spark, d):
+    q = F.col("l_quantity")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(q < 10, "low").when(q < 30, "mid").otherwise("high").alias("level"))
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN value ELSE 0.0 END AS v FROM events")
+def null_nan_fill(spark, d):
+    v = F.when(F.col("value") > 50, F.col("value")).otherwise(F.when(F.col("event_id") % 2 == 0, float("nan")))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0)).alias("v"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_discount + l_tax) / 2, 6) AS mean, greatest(l_discount, l_tax) AS most FROM lineitem")
+def horizontal_stats(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(values.mean_of(F.col("l_discount"), F.col("l_tax")), 6).alias("mean"), F.greatest("l_discount", "l_tax").alias("most"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS top, round((embedding[2]::DOUBLE - embedding[1]::DOUBLE), 6) AS d0, len(list_filter(embedding, lambda x: x > 0)) AS positive FROM embeddings")
+def list_functions(spark, d):
+    e = F.col("embedding").cast("array<double>")
+    return table(spark, d, "embeddings").select("vec_id", values.arg_max(e).alias("top"), F.round(F.get(values.differences(e), F.lit(0)), 6).alias("d0"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("positive"))
+
+
+@query("SELECT s_suppkey, unnest(['bal', 'nation']) AS name, unnest([s_acctbal, s_nationkey::DOUBLE]) AS v FROM supplier")
+def unpivot(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("bal"), F.col("s_nationkey").cast("double").alias("nation"))
+    return s.unpivot("s_suppkey", ["bal", "nation"], "name", "v")
+
+
+@query("SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v, unnest(list_reverse(embedding))::DOUBLE AS r FROM embeddings")
+def explode_zip(spark, d):
+    z = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.arrays_zip(F.col("embedding").alias("v"), F.reverse("embedding").alias("r"))).alias("k", "z"))
+    return z.select("vec_id", F.col("k").cast("long").alias("k"), F.col("z.v").cast("double").alias("v"), F.col("z.r").cast("double").alias("r"))
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+def pivot_counts(spark, d):
+    wide = table(spark, d, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
+    return wide.select("o_custkey", *[F.coalesce(c, F.lit(0)).cast("long").alias(c.lower()) for c in "FOP"])
+
+
+@query("SELECT event_id, (CAST(floor((event_id * 7 % 360 + 22.5) / 45) AS BIGINT) * 45) % 360 AS sector FROM events")
+def angle_sector(spark, d):
+    return table(spark, d, "events").select("event_id", values.sector(F.col("event_id") * 7 % 360).alias("sector"))
+
+
+# -- models: rows only
+
+
+def _curve(spark, d):
+    return histograms.cumulative(histograms.psth(_trig(spark, d), "times_triggered", 0.5, 24.0, CELL), CELL)
+
+
+@query()
+def piecewise_fit(spark, d):
+    return models.piecewise(_curve(spark, d), "bin", "cumulative", CELL)
+
+
+@query()
+def two_segment_fit(spark, d):
+    return models.two_segments(_curve(spark, d), "bin", "cumulative", CELL)
+
+
+@query()
+def classify_relationship(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", F.dayofyear("o_orderdate").alias("x"), F.col("o_totalprice").alias("y"), F.lit(1.0).alias("w"))
+    return models.relationship(rows, "x", "y", "w", ["o_custkey"])
+
+
+@query()
+def lasso(spark, d):
+    rows = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 6).alias("x"), F.get("embedding", F.lit(7)).alias("y"))
+    return models.lasso(rows, "x", "y", ["label"])
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return models.bootstrap(table(spark, d, "events"), "value", ["user_id"], 200)
+
+
+@query()
+def poisson_train(spark, d):
+    segments = table(spark, d, "events").select("user_id", F.col("event_id").alias("start"), (F.col("event_id") + 10).alias("end"), F.lit(0.5).alias("rate"))
+    return models.poisson_trains(segments, ["user_id"])
+
+
+@query()
+def dtw_template(spark, d):
+    return models.template_distance(table(spark, d, "embeddings"), "vec_id", "embedding", [0.1 * (i % 8) for i in range(64)])
+
+
+@query()
+def pca(spark, d):
+    return models.components(table(spark, d, "embeddings"), "vec_id", "embedding", 4)
+
+
+@query()
+def group_pca(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return models.group_components(e, "vec_id", ["a", "b"], 4, 2)
+
+
+@query()
+def kmeans(spark, d):
+    return models.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 8)
+
+
+@query()
+def gmm_bic(spark, d):
+    return models.mixture_bic(table(spark, d, "embeddings"), "embedding", [2, 3], 4)
