@@ -226,6 +226,6 @@ def _labelled(marked: DataFrame, reps: DataFrame, key: str, labels: DataFrame) -
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The row of each component whose id names it; of rows with that very id, one. Rows with a null id stay."""
-    kept = groups.filter("id = component").select(F.col("component").alias("kept_id")).distinct()
-    one = docs.join(kept, F.col(id_col) == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    kept = groups.filter("id = component").select(F.col("component").alias("__kept_id")).distinct()
+    one = docs.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.filter(F.col(id_col).isNull()))
