@@ -556,7 +556,7 @@ def regex_wavelength(spark, d):
     return table(spark, d, "part").select("p_partkey", values.wavelength(F.col("p_brand")).alias("number"))
 
 
-@query("WITH h AS (SELECT p_partkey, substr(md5(CAST(p_partkey AS VARCHAR)), 1, 6) AS c FROM part) SELECT p_partkey, round(0.2126 * CAST('0x' || substr(c, 1, 2) AS INTEGER) + 0.7152 * CAST('0x' || substr(c, 3, 2) AS INTEGER) + 0.0722 * CAST('0x' || substr(c, 5, 2) AS INTEGER), 4) AS luminance FROM h")
+@query("WITH h AS (SELECT p_partkey, substr(md5(CAST(p_partkey AS VARCHAR)), 1, 6) AS c FROM part) SELECT p_partkey, round(0.2126 * CAST(CAST('0x' || substr(c, 1, 2) AS INTEGER) AS DOUBLE) + 0.7152 * CAST(CAST('0x' || substr(c, 3, 2) AS INTEGER) AS DOUBLE) + 0.0722 * CAST(CAST('0x' || substr(c, 5, 2) AS INTEGER) AS DOUBLE), 4) AS luminance FROM h")
 def hex_luminance(spark, d):
     colour = F.concat(F.lit("#"), F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 6))
     return table(spark, d, "part").select("p_partkey", F.round(values.luminance(colour), 4).alias("luminance"))

@@ -149,10 +149,10 @@ def poisson_trains(segments: DataFrame, by: list[str]) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed_of(*pdf[by].iloc[0].tolist()))
-        times = []
+        times: list[float] = []
         for s, e, r in pdf.sort_values("start")[["start", "end", "rate"]].to_numpy(float):
             times += np.sort(rng.uniform(s, e, rng.poisson(max(0.0, (e - s) * r)))).tolist()
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(times) for c in by}, "t": times})
+        return pdf[by].iloc[[0] * len(times)].reset_index(drop=True).assign(t=np.array(times, float))
 
     return segments.groupBy(*by).applyInPandas(run, f"{_keys(segments, by)}, t double")
 

@@ -44,7 +44,7 @@ def raw_channel(spark: SparkSession, path: str, interleaved: bool = False) -> Da
 
 def from_arrays(cells: DataFrame, recording: str) -> DataFrame:
     """Spike table of (cell_index, spiketimes array)."""
-    return cells.select(F.lit(recording).alias("recording"), F.col("cell_index").cast("long").alias("cell_index"), F.explode("spiketimes").cast("long").alias("times"))
+    return cells.select(F.lit(recording).alias("recording"), F.col("cell_index").cast("long").alias("cell_index"), F.explode(F.col("spiketimes").cast("array<long>")).alias("times"))
 
 
 def centres(spike_positions: DataFrame) -> DataFrame:
