@@ -23,6 +23,8 @@ from .shared import cut, prepare
 MAX_BUCKET = 65_536
 #: Shingles hashed at a time within one text.
 CHUNK = 1 << 16
+#: Shingles of a component that one task compares at a time, and bits of the map that tells which texts to hash again.
+BLOCK_SHINGLES, BITMAP = 1 << 21, 1 << 23
 #: Partial fingerprints of a text in similarity mode, shingles in each, and words of the wide fingerprint.
 PARTS, PART_SHINGLES, WIDE = 24, 6, 8
 
@@ -97,31 +99,47 @@ def _partial(hashes: np.ndarray) -> list[int]:
     return keys
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, wide: bool = False) -> DataFrame:
-    """(id, fp long) for each row; with wide also `wide` array<long>, the SimHash of the distinct shingles in 512 bits,
-    and `parts` array<long>. Null and empty texts have no words and fingerprint zero. Rows with equal ids stay apart."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """(id, fp long) for each row. Null and empty texts have no words and fingerprint zero. Rows with equal ids stay
+    apart."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fps, wides, parts = [], [], []
-            for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py() or b"", words)
-                fps.append(majority(hashes))
-                if wide:
-                    distinct = np.unique(hashes)
-                    wides.append([majority(_mix(distinct, k)) for k in range(WIDE)])
-                    parts.append(_partial(distinct))
-            columns = [batch.column(0), pa.array(fps, pa.int64())]
-            names = ["id", "fp"]
-            if wide:
-                columns += [pa.array(wides, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))]
-                names += ["wide", "parts"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "id long, fp long" + (", wide array<long>, parts array<long>" if wide else "")
+            fps = [majority(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, "id long, fp long")
+
+
+def _texts(docs: DataFrame, text_col: str) -> tuple:
+    """Columns th, the hash of the text, and text as bytes; null texts are empty."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
+    return F.xxhash64(text).alias("th"), text.alias("text")
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, th, fp, node, size, wide, parts) for each row: fingerprint, and of the distinct shingles the hash, the
+    number, the SimHash in 512 bits and the keys of hash ranges. Equal shingle sets are one node."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            fps, nodes, sizes, wides, parts = [], [], [], [], []
+            for text in batch.column(2):
+                hashes = shingle_hashes(text.as_py(), words)
+                distinct = np.unique(hashes)
+                fps.append(majority(hashes))
+                nodes.append(xxhash.xxh64_intdigest(distinct.tobytes()) - 2**63)
+                sizes.append(len(distinct))
+                wides.append([majority(_mix(distinct, k)) for k in range(WIDE)])
+                parts.append(_partial(distinct))
+            longs, lists = [pa.array(x, pa.int64()) for x in (fps, nodes, sizes)], [pa.array(x, pa.list_(pa.int64())) for x in (wides, parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, *lists], ["id", "th", "fp", "node", "size", "wide", "parts"])
+
+    schema = "id long, th long, fp long, node long, size long, wide array<long>, parts array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("id"), *_texts(docs, text_col)).mapInArrow(run, schema)
 
 
 def forest(words: np.ndarray, reps: np.ndarray, radius: int) -> tuple[list, list]:
@@ -200,23 +218,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _labelled(marked, reps, "fp", connected_components(edges))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(id, fp, component) for near copies by similarity of their shingle sets rather than by a fixed radius.
+def loose_bits(similarity: float) -> int:
+    """Differing bits of the wide SimHash that a pair of the similarity stays within but for one in 10^9.
 
-    Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about ten of 64 SimHash bits, beyond what a
-    covering family can serve. Buckets therefore come from two sources: the covering tables of the 64-bit fingerprint
-    at a small radius, and partial keys of hash ranges of the shingle set, one of which survives the edits of a near
-    copy. Either way a link needs the 512-bit SimHashes to be as close as the similarity asks for.
+    Large sets differ in a share acos(2s / (1 + s)) / pi of the bits at most; sets of a few shingles, whose majorities
+    are coarse, in up to 1.24 times that share (4 shingles and 5, at 0.8). Six standard deviations are added.
     """
-    marked = cut(fingerprints(docs, id_col, text_col, words, wide=True))
-    reps = cut(marked.groupBy("wide").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("parts").alias("parts")))
-    known = reps.filter("rep is not null")
-    cosine = 2 * similarity / (1 + similarity)
-    most = round(64 * WIDE * math.acos(cosine) / math.pi)
+    share = min(0.5, 1.3 * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+    return math.ceil(64 * WIDE * share + 6 * math.sqrt(64 * WIDE * share * (1 - share)))
+
+
+def exact_forest(words: np.ndarray, sets: list[np.ndarray], nodes: np.ndarray, most: int, similarity: float) -> tuple[list, list]:
+    """As forest(), of the pairs whose sorted shingle sets have at least the Jaccard similarity asked for; most: bits
+    beyond which two sets need not be compared."""
+    a, b = [], []
+    sizes = np.array([len(x) for x in sets])
+    left = np.arange(len(nodes))
+    while len(left) > 1:
+        seed, left = left[0], left[1:]
+        stack = [seed]
+        while stack and len(left):
+            at = stack.pop()
+            own, n = sets[at], len(sets[at])
+            least = similarity * (n + sizes[left]) / (1 + similarity) - 1e-9
+            may = np.flatnonzero((np.minimum(n, sizes[left]) >= least) & (np.bitwise_count(words[left] ^ words[at]).sum(axis=1, dtype=np.int64) <= most))
+            linked = np.zeros(len(left), bool)
+            for j in may.tolist():
+                other = sets[left[j]]
+                where = np.searchsorted(own, other)
+                linked[j] = np.count_nonzero(own[np.minimum(where, n - 1)] == other) >= least[j]
+            if linked.any():
+                found = left[linked]
+                a += [int(nodes[seed])] * len(found)
+                b += nodes[found].tolist()
+                stack += found.tolist()
+                left = left[~linked]
+    return a, b
+
+
+def _exact_links(docs: DataFrame, marked: DataFrame, loose: DataFrame, text_col: str, words: int, most: int, similarity: float, block: int) -> DataFrame:
+    """Edges (a, b) between nodes of one loose component whose shingle sets are as similar as asked for.
+
+    Shingles are hashed again from one text of each node that has a loose link, each set travels once, and a component
+    of more than `block` shingles is dealt out as pairs of blocks, which together see every pair. Before the shuffle, a
+    bitmap of the wanted texts' hashes drops most of the others.
+    """
+    wanted = marked.groupBy("node").agg(F.min("th").alias("th"), F.first("size").alias("size"), F.first("wide").alias("wide")).join(loose, "node")
+    total = wanted.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / F.lit(block))).cast("int").alias("m"))
+    wanted = cut(wanted.join(total, "component").select("node", "th", "wide", "component", "m"))
+    slot = F.pmod("th", F.lit(BITMAP))
+    bits = wanted.groupBy(F.floor(slot / F.lit(64)).cast("long").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).collect()
+    bitmap = np.zeros(BITMAP // 64, np.int64)
+    bitmap[[r["at"] for r in bits]] = [r["bits"] for r in bits]
+
+    def hash_wanted(batches):
+        for batch in batches:
+            th = batch.column(0).to_numpy()
+            at = th % BITMAP
+            keep = np.flatnonzero((bitmap[at // 64] >> (at % 64)) & 1)
+            sets = [np.unique(shingle_hashes(batch.column(1)[i].as_py(), words)).view(np.int64) for i in keep.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(th[keep]), pa.array(sets, pa.list_(pa.int64()))], ["th", "shingles"])
+
+    sets = docs.select(*_texts(docs, text_col)).mapInArrow(hash_wanted, "th long, shingles array<long>").dropDuplicates(["th"])
+    own = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
+    pairs = F.when(F.col("m") == 1, F.array(F.lit("0"))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j)))
+    )
+    groups = (
+        wanted.join(sets, "th").select("component", "node", "wide", "shingles", F.explode(pairs).alias("block"))
+        .groupBy("component", "block").agg(F.collect_list(F.struct("node", "wide", "shingles")).alias("members"))
+    )
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for row in batch.column(batch.schema.get_field_index("members")):
+                members = row.values
+                nodes = members.field("node").to_numpy()
+                wide = members.field("wide").flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1)
+                sets = [x.values.to_numpy().view(np.uint64) for x in members.field("shingles")]
+                x, y = exact_forest(wide, sets, nodes, most, similarity)
+                a += x
+                b += y
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2, max_bucket: int = MAX_BUCKET, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(id, fp, component) for near copies by similarity of their shingle sets rather than by a fixed radius: texts are
+    linked if the Jaccard similarity of their sets of shingles is at least the one given, and by no other pair.
+
+    Texts at 0.8 differ in about ten of 64 SimHash bits, beyond what a covering family can serve. Buckets therefore
+    come from two sources: the covering tables of the 64-bit fingerprint at a small radius, and partial keys of hash
+    ranges of the shingle set. Links of the 512-bit SimHashes, several deviations wider than the similarity asks for,
+    only join candidates; within what they join, the sets themselves decide.
+    """
+    marked = cut(sketches(docs, id_col, text_col, words))
+    nodes = marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("words"), F.first("parts").alias("parts"))
     tables = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))]
     keys = F.explode(F.array_distinct(F.concat(F.array(*tables), F.col("parts"))))
-    edges = links(known.select("rep", F.col("wide").alias("words")), known.select(keys.alias("bucket"), "rep"), most, max_bucket)
-    return _labelled(marked, reps, "wide", connected_components(edges))
+    most = loose_bits(similarity)
+    edges = links(nodes.select(F.col("node").alias("rep"), "words"), nodes.select(keys.alias("bucket"), F.col("node").alias("rep")), most, max_bucket)
+    edges = _exact_links(docs, marked, connected_components(edges), text_col, words, most, similarity, block)
+    labels = connected_components(edges).select("node", F.col("component").alias("part"))
+    named = marked.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    least = named.groupBy("part").agg(F.min("id").alias("component"))
+    return named.join(least, "part").select("id", "fp", "component")
 
 
 def _labelled(marked: DataFrame, reps: DataFrame, key: str, labels: DataFrame) -> DataFrame:

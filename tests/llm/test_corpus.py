@@ -75,6 +75,42 @@ def test_similar_keeps_one_of_near_copies(spark, docs):
     assert kept.columns == df.columns
 
 
+def jaccard_components(rows, words=5, least=0.8):
+    """Text -> set of the texts joined to it by exact similarity."""
+    cut = {t: t.lower().split() for _, t, _ in rows}
+    sets = {t: {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for t, w in cut.items()}
+    texts, of = list(sets), {t: {t} for t in sets}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9 and of[a] is not of[b]:
+                joined = of[a] | of[b]
+                of |= dict.fromkeys(joined, joined)
+    return of
+
+
+def with_ends(shared, more, n):
+    """Pairs of texts that share a start of `shared` words and end in `more` words of their own each."""
+    out = []
+    for i in range(n):
+        start = [f"p{shared}.{more}.{i}.{j}" for j in range(shared)]
+        out += [" ".join(start + [f"{e}{i}.{j}" for j in range(more)]) for e in "ab"]
+    return out
+
+
+def assert_exact(spark, texts, **options):
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    found = {r["id"]: r["component"] for r in simhash.similar(frame(spark, rows), **options).collect()}
+    of, ids = jaccard_components(rows), {t: i for i, t, _ in rows}
+    assert found == {i: min(ids[x] for x in of[t]) for i, t, _ in rows}
+
+
+def test_similar_decides_on_both_sides_of_the_similarity(spark):
+    # 404 words are 400 shingles; with 48 to 52 more on each side, similarities are 0.806 to 0.794
+    texts = [t for more in (44, 48, 49, 50, 51, 52, 56) for t in with_ends(404, more, 8)]
+    assert_exact(spark, texts)
+    assert_exact(spark, texts[:32] + texts[-16:], block=300)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (2, 1), (40, 4)]
     assert rows_of(graph.connected_components(spark.createDataFrame(edges, "a long, b long"))) == sorted([(1, 1), (2, 1), (3, 1), (4, 1), (40, 1), (7, 7), (8, 7), (9, 7)], key=str)
