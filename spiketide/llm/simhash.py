@@ -13,7 +13,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -25,8 +25,8 @@ MAX_BUCKET = 65_536
 CHUNK = 1 << 16
 #: Shingles of a component that one task compares at a time, and bits of the map that tells which texts to hash again.
 BLOCK_SHINGLES, BITMAP = 1 << 21, 1 << 23
-#: Partial fingerprints of a text in similarity mode, shingles in each, and words of the wide fingerprint.
-PARTS, PART_SHINGLES, WIDE = 24, 6, 8
+#: Words of the wide fingerprint; texts sampled for common shingles, and how many of these are put last.
+WIDE, SAMPLED, COMMON = 8, 5_000, 200_000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = (256 * np.arange(8)).astype(np.int64)
@@ -80,23 +80,38 @@ def _mix(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _partial(hashes: np.ndarray) -> list[int]:
-    """Keys of hash ranges of a shingle set; near copies agree on the ranges that no edit touches.
+def prefix_keys(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n distinct shingle hashes in an order that is the same for every set.
 
-    A range holds about PART_SHINGLES shingles. The number of ranges follows the size of the set, rounded down and up
-    to powers of two, so sets of similar size share one of the two roundings.
+    Two sets of at least that Jaccard similarity share one of their keys: a set whose first keys are all foreign to the
+    other shares too few of the rest. common: hashes to put last, the rarest of them first; any choice is exact, and
+    few sets meet in a bucket if it holds the common ones.
     """
-    keys = []
-    level = max(0.0, math.log2(max(1, len(hashes)) / PART_SHINGLES))
-    mixed = np.sort(_mix(hashes, 99))
-    for bits in {math.floor(level), math.ceil(level)}:
-        for i in range(min(PARTS, 2**bits)):
-            low, high = (i << 64) >> bits, ((i + 1) << 64) >> bits
-            a = np.searchsorted(mixed, np.uint64(low))
-            b = np.searchsorted(mixed, np.uint64(high)) if high < 2**64 else len(mixed)
-            if b > a:
-                keys.append(xxhash.xxh64_intdigest(mixed[a:b].tobytes(), bits * 1000 + i) - 2**63)
-    return keys
+    n = len(hashes)
+    count = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        order = np.argsort(common)
+        at = order[np.minimum(np.searchsorted(common, hashes, sorter=order), len(common) - 1)]
+        rank = np.where(common[at] == hashes, at + 1, 0)
+    return hashes[np.lexsort((_mix(hashes, 99), rank))[:count]]
+
+
+def common_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """Hashes of the shingles in at least five of about SAMPLED different texts, the rarest first, at most COMMON."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), words)).view(np.int64))], ["h"])
+
+    texts = docs.select(*_texts(docs, text_col))
+    share = max(1, docs.count() // SAMPLED)
+    some = texts.filter(F.pmod("th", F.lit(share)) == 0).dropDuplicates(["th"]).select("th", "text")
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n >= 5")
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -119,14 +134,14 @@ def _texts(docs: DataFrame, text_col: str) -> tuple:
     return F.xxhash64(text).alias("th"), text.alias("text")
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, th, fp, node, size, wide, parts) for each row: fingerprint, and of the distinct shingles the hash, the
-    number, the SimHash in 512 bits and the keys of hash ranges. Equal shingle sets are one node."""
-    prepare(docs.sparkSession)
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(id, th, fp, node, size, wide, keys) for each row: fingerprint, and of the distinct shingles the hash, the
+    number, the SimHash in 512 bits and the prefix keys. Equal shingle sets are one node."""
+    common = common_shingles(docs, text_col, words)
 
     def run(batches):
         for batch in batches:
-            fps, nodes, sizes, wides, parts = [], [], [], [], []
+            fps, nodes, sizes, wides, keys = [], [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), words)
                 distinct = np.unique(hashes)
@@ -134,11 +149,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 nodes.append(xxhash.xxh64_intdigest(distinct.tobytes()) - 2**63)
                 sizes.append(len(distinct))
                 wides.append([majority(_mix(distinct, k)) for k in range(WIDE)])
-                parts.append(_partial(distinct))
-            longs, lists = [pa.array(x, pa.int64()) for x in (fps, nodes, sizes)], [pa.array(x, pa.list_(pa.int64())) for x in (wides, parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, *lists], ["id", "th", "fp", "node", "size", "wide", "parts"])
+                keys.append(prefix_keys(distinct, similarity, common).view(np.int64))
+            longs, lists = [pa.array(x, pa.int64()) for x in (fps, nodes, sizes)], [pa.array(x, pa.list_(pa.int64())) for x in (wides, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, *lists], ["id", "th", "fp", "node", "size", "wide", "keys"])
 
-    schema = "id long, th long, fp long, node long, size long, wide array<long>, parts array<long>"
+    schema = "id long, th long, fp long, node long, size long, wide array<long>, keys array<long>"
     return docs.select(F.col(id_col).cast("long").alias("id"), *_texts(docs, text_col)).mapInArrow(run, schema)
 
 
@@ -305,21 +320,21 @@ def _exact_links(docs: DataFrame, marked: DataFrame, loose: DataFrame, text_col:
     return groups.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2, max_bucket: int = MAX_BUCKET, block: int = BLOCK_SHINGLES) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bucket: int = MAX_BUCKET, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, fp, component) for near copies by similarity of their shingle sets rather than by a fixed radius: texts are
     linked if the Jaccard similarity of their sets of shingles is at least the one given, and by no other pair.
 
-    Texts at 0.8 differ in about ten of 64 SimHash bits, beyond what a covering family can serve. Buckets therefore
-    come from two sources: the covering tables of the 64-bit fingerprint at a small radius, and partial keys of hash
-    ranges of the shingle set. Links of the 512-bit SimHashes, several deviations wider than the similarity asks for,
-    only join candidates; within what they join, the sets themselves decide.
+    Texts at 0.8 differ in about ten of 64 SimHash bits, beyond what a covering family can serve. Buckets are therefore
+    the prefix keys of the sets, which no pair at the similarity escapes, whatever its length. Links of the 512-bit
+    SimHashes, several deviations wider than the similarity asks for, only join candidates; within what they join, the
+    sets themselves decide.
     """
-    marked = cut(sketches(docs, id_col, text_col, words))
-    nodes = marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("words"), F.first("parts").alias("parts"))
-    tables = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))]
-    keys = F.explode(F.array_distinct(F.concat(F.array(*tables), F.col("parts"))))
+    marked = cut(sketches(docs, id_col, text_col, words, similarity))
+    buckets = marked.select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("bucket"), F.col("node").alias("rep"))
+    met = buckets.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").drop("n")
+    nodes = marked.select(F.col("node").alias("rep"), F.col("wide").alias("words")).dropDuplicates(["rep"])
     most = loose_bits(similarity)
-    edges = links(nodes.select(F.col("node").alias("rep"), "words"), nodes.select(keys.alias("bucket"), F.col("node").alias("rep")), most, max_bucket)
+    edges = links(nodes, cut(met), most, max_bucket)
     edges = _exact_links(docs, marked, connected_components(edges), text_col, words, most, similarity, block)
     labels = connected_components(edges).select("node", F.col("component").alias("part"))
     named = marked.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))

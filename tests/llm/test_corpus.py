@@ -111,6 +111,25 @@ def test_similar_decides_on_both_sides_of_the_similarity(spark):
     assert_exact(spark, texts[:32] + texts[-16:], block=300)
 
 
+def test_similar_misses_no_short_near_copy(spark):
+    # 8, 12, 16 and 20 shingles with a quarter appended: 0.8; one more: below
+    texts = []
+    for n in (8, 12, 16, 20):
+        for i in range(15):
+            base = [f"q{n}.{i}.{j}" for j in range(n + 4)]
+            texts += [" ".join(base), " ".join(base + [f"z{i}.{j}" for j in range(n // 4 + (i == 0))])]
+    assert_exact(spark, texts)
+
+
+def test_prefix_keys_meet():
+    for n in range(1, 120):
+        own = rng.integers(0, 2**63, n).astype(np.uint64)
+        for more in {0, n // 4}:
+            other = np.concatenate([own, rng.integers(0, 2**63, more).astype(np.uint64)])
+            for common in (own[:0], own[: n // 2]):
+                assert set(simhash.prefix_keys(np.unique(own), 0.8, common)) & set(simhash.prefix_keys(np.unique(other), 0.8, common))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (2, 1), (40, 4)]
     assert rows_of(graph.connected_components(spark.createDataFrame(edges, "a long, b long"))) == sorted([(1, 1), (2, 1), (3, 1), (4, 1), (40, 1), (7, 7), (8, 7), (9, 7)], key=str)
