@@ -540,7 +540,7 @@ def corr_matrix(spark, d):
 
 @query("WITH n AS (SELECT count(*) AS n, stddev(value) AS sd FROM events), a AS (SELECT CAST(round(value / (100.0 / 50)) AS BIGINT) AS pos, count(*) AS c FROM events GROUP BY 1), k AS (SELECT i, sum(c * exp(-0.5 * ((i - pos) / (sd * power(n, -0.2) / 2.0)) ** 2)) AS d FROM a, n, range(51) t(i) WHERE pos BETWEEN 0 AND 50 GROUP BY 1) SELECT i * 2.0 AS x, round(d / max(d) OVER (), 6) AS density FROM k")
 def kde_scott(spark, d):
-    return features.density(table(spark, d, "events"), "value", 51, 0.0, 100.0).select(F.col("x"), F.round("density", 6).alias("density"))
+    return features.density(table(spark, d, "events"), "value", 51, 0.0, 100.0, inside=True).select(F.col("x"), F.round("density", 6).alias("density"))
 
 
 # -- values, lists and reshaping

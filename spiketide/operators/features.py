@@ -71,15 +71,17 @@ def autocorrelation(hist: DataFrame, by: list[str], lags: int) -> DataFrame:
     return hist.join(shifted, [*by, "bin"]).groupBy(*by, F.col("lag").cast("long").alias("lag")).agg(F.sum(F.col("count") * F.col("ahead")).alias("product"))
 
 
-def density(df: DataFrame, value: str, points: int, low: float, high: float) -> DataFrame:
+def density(df: DataFrame, value: str, points: int, low: float, high: float, inside: bool = False) -> DataFrame:
     """(x, density): Gaussian kernel density with Scott's bandwidth at evenly spaced points, its greatest value 1. Values
-    are put to a grid of points first, so each value costs one row however many points there are."""
+    are put to a grid of points first, carried on beyond both ends, so each value costs one row however many points there
+    are. inside: values beyond the ends count for the bandwidth but add nothing to the points."""
     step = (high - low) / (points - 1)
     n = df.filter(F.col(value).isNotNull()).agg(F.count("*").alias("n"), F.stddev(value).alias("sd"))
     at = df.filter(F.col(value).isNotNull()).groupBy(F.round((F.col(value) - low) / step).cast("long").alias("at")).agg(F.count("*").alias("c"))
     grid = df.sparkSession.range(points).withColumnRenamed("id", "i")
     h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)) / step
-    near = at.filter((F.col("at") >= 0) & (F.col("at") < points)).join(F.broadcast(grid)).join(F.broadcast(n))
+    cells = at.filter((F.col("at") >= 0) & (F.col("at") < points)) if inside else at
+    near = cells.join(F.broadcast(grid)).join(F.broadcast(n))
     curve = near.groupBy("i").agg(F.sum(F.col("c") * F.exp(-0.5 * F.pow((F.col("i") - F.col("at")) / h, F.lit(2.0)))).alias("d"))
     top = curve.agg(F.max("d").alias("top"))
     return curve.join(F.broadcast(top)).select((low + F.col("i") * step).alias("x"), (F.col("d") / F.col("top")).alias("density"))

@@ -169,3 +169,12 @@ def test_seeded_draws_repeat(spark):
     v = spark.createDataFrame([("a", float(i)) for i in range(50)], "g string, v double")
     ci = models.bootstrap(v, "v", ["g"], 300).first()
     assert ci["low"] < 24.5 < ci["high"]
+
+
+def test_density_takes_values_beyond_the_points(spark):
+    v = np.concatenate([np.linspace(0, 100, 201), np.linspace(101, 130, 300)])
+    h = v.std(ddof=1) * len(v) ** -0.2
+    x = np.arange(0, 101, 2.0)
+    want = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1)
+    found = sorted(map(tuple, features.density(spark.createDataFrame([(float(i),) for i in v], "v double"), "v", 51, 0.0, 100.0).collect()))
+    assert np.allclose([d for _, d in found], want / want.max(), atol=0.01)
