@@ -321,13 +321,14 @@ def _exact_links(docs: DataFrame, marked: DataFrame, loose: DataFrame, text_col:
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bucket: int = MAX_BUCKET, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(id, fp, component) for near copies by similarity of their shingle sets rather than by a fixed radius: texts are
+    """(id, fp, component, th, part) for near copies by similarity of their shingle sets rather than by a fixed radius: texts are
     linked if the Jaccard similarity of their sets of shingles is at least the one given, and by no other pair.
 
     Texts at 0.8 differ in about ten of 64 SimHash bits, beyond what a covering family can serve. Buckets are therefore
     the prefix keys of the sets, which no pair at the similarity escapes, whatever its length. Links of the 512-bit
     SimHashes, several deviations wider than the similarity asks for, only join candidates; within what they join, the
-    sets themselves decide.
+    sets themselves decide. component is the least id in it, null if all are null; th, the hash of the text, tells rows of one id
+    apart, and part names the component whatever the ids are.
     """
     marked = cut(sketches(docs, id_col, text_col, words, similarity))
     buckets = marked.select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("bucket"), F.col("node").alias("rep"))
@@ -339,7 +340,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     labels = connected_components(edges).select("node", F.col("component").alias("part"))
     named = marked.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
     least = named.groupBy("part").agg(F.min("id").alias("component"))
-    return named.join(least, "part").select("id", "fp", "component")
+    return named.join(least, "part").select("id", "fp", "component", "th", "part")
 
 
 def _labelled(marked: DataFrame, reps: DataFrame, key: str, labels: DataFrame) -> DataFrame:
@@ -347,8 +348,12 @@ def _labelled(marked: DataFrame, reps: DataFrame, key: str, labels: DataFrame) -
     return marked.join(named, marked[key] == named["key"]).select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The row of each component whose id names it; of rows with that very id, one. Rows with a null id stay."""
-    kept = groups.filter("id = component").select(F.col("component").alias("__kept_id")).distinct()
-    one = docs.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of similar(): that of the least id, null last, then of the least hash of the text. Rows
+    are known by id and text, so rows of one id with different texts stay apart; of equal ones, one."""
+    least = groups.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least"))
+    kept = least.select(F.coalesce("least.id", F.lit(0)).alias("__id"), F.col("least.none").alias("__none"), F.col("least.th").alias("__th")).distinct()
+    own = F.col(id_col).cast("long")
+    keyed = docs.withColumns({"__id": F.coalesce(own, F.lit(0)), "__none": own.isNull(), "__th": _texts(docs, text_col)[0].alias("__th")})
+    keys = ["__id", "__none", "__th"]
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

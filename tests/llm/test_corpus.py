@@ -111,6 +111,13 @@ def test_similar_decides_on_both_sides_of_the_similarity(spark):
     assert_exact(spark, texts[:32] + texts[-16:], block=300)
 
 
+def test_keep_one_by_id_and_text(spark):
+    one, two, three = prose(40), prose(40), prose(40)
+    df = frame(spark, [(1, one, "s"), (1, two, "s"), (1, two, "s"), (None, one, "s"), (None, three, "s"), (None, three, "s"), (2, two, "s")])
+    kept = rows_of(simhash.keep_one(df, simhash.similar(df)).select("doc_id", "text"))
+    assert kept == sorted([(1, one), (1, two), (None, three)], key=str)
+
+
 def test_similar_misses_no_short_near_copy(spark):
     # 8, 12, 16 and 20 shingles with a quarter appended: 0.8; one more: below
     texts = []
