@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts may be long, so batches are kept short; this bounds memory, not results.
-ARROW_ROWS = 200
+#: Rows and bytes in an Arrow batch. Texts may be long, so batches are kept short; this bounds memory, not results.
+ARROW_ROWS, ARROW_BYTES = 200, 32 << 20
+#: Groups that join_groups() may broadcast, and rows that a group needs at least for that.
+HOT_GROUPS, HOT_ROWS = 1 << 14, 2048
 
 _own: dict[str, str] = {}
 
@@ -24,13 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make checkpoint() usable and bound the rows of an Arrow batch."""
+    """Make checkpoint() usable and bound the rows and bytes of an Arrow batch; narrower bounds of the session stay."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once into the shared folder; later steps survive the loss of any executor."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
+    """rows joined with groups, which has one row to a key and in `size` at most the number of rows of that key.
+
+    Groups of more than 1/HOT_GROUPS of the rows are fewer than HOT_GROUPS, so they are broadcast and their rows stay
+    where they are; the others are small beside the whole and meet by a shuffle. Both tables are read twice: cut them.
+    """
+    least = max(HOT_ROWS, rows.count() // HOT_GROUPS)
+    hot, cold = groups.filter(F.col(size) > least), groups.filter(F.col(size) <= least)
+    if hot.isEmpty():
+        return rows.join(groups, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
