@@ -7,7 +7,7 @@ an identifier or endpoint, or the other way round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -45,17 +45,20 @@ def _parts(rows: DataFrame) -> DataFrame:
 
 
 def _linked(parts: DataFrame) -> DataFrame:
-    """(did, th, links): weak parts with a complementary part in scope."""
+    """(did, th, links): weak parts outside base findings with a complementary part in scope."""
     role = F.when(F.col("x.kind").isin(0, 2, 4), "secret").otherwise("other")
+    so_far = Window.partitionBy("did", "th").orderBy("x.start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.coalesce(F.max(F.when(F.col("x.kind") < 3, F.col("x.end"))).over(so_far), F.lit(-1))
     rows = (
         parts.filter(F.size("weak") > 0).dropDuplicates(["did", "th"])
         .select("did", "th", F.explode(F.concat("base", "weak")).alias("x"))
-        .select("did", "th", "x", role.alias("role"), (F.col("x.kind") >= 3).alias("is_weak"))
+        .select("did", "th", "x", role.alias("role"), ((F.col("x.kind") >= 3) & (F.col("x.end") > reach)).alias("asks"))
     )
     low, high = F.col("x.start") - SCOPE, F.col("x.end") + SCOPE
-    asking = rows.filter("is_weak").select("did", "th", F.col("x").alias("w"), F.col("role").alias("w_role"), low.alias("low"), high.alias("high"), F.explode(F.sequence(F.floor(low / SCOPE), F.floor(high / SCOPE))).alias("bucket"))
-    giving = rows.select("did", "th", F.col("x.start").alias("at"), F.col("x.end").alias("to"), "role", F.floor(F.col("x.start") / SCOPE).alias("bucket"))
-    near = asking.join(giving, ["did", "th", "bucket"]).filter("w_role <> role and at >= low and at < high and (to <= w.start or at >= w.end)")
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE))).alias("bucket")
+    asking = rows.filter("asks").select("did", "th", F.col("x").alias("w"), F.col("role").alias("w_role"), low.alias("low"), high.alias("high"), buckets(low, high))
+    giving = rows.select("did", "th", F.col("x.start").alias("at"), F.col("x.end").alias("to"), "role", buckets(F.col("x.start"), F.col("x.end")))
+    near = asking.join(giving, ["did", "th", "bucket"]).filter("w_role <> role and to > low and at < high and (to <= w.start or at >= w.end)")
     return near.groupBy("did", "th").agg(F.array_sort(F.collect_set("w")).alias("links"))
 
 
@@ -63,13 +66,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, base, links, spans): base findings, linked weak parts, and both together, each an array of
     struct<start,kind,end,name> in code points, sorted by start and kind.
 
-    Weak parts inside a base finding are part of it and not reported again. Null texts are empty; a null id keeps its
-    row; equal rows get equal findings; an empty table gives no rows. Fan-out of the interval join is bounded by the
-    parts that fit in a bucket of text, whatever the length of the text.
+    Parts are complementary if one is a secret and the other an identifier or endpoint, and in scope if the intervals
+    between them overlap, from whichever side one looks. Weak parts inside a base finding are part of it and not
+    reported again. Null texts are empty; a null id keeps its row; equal rows get equal findings; rows of one id with
+    different texts are told apart; an empty table gives no rows. Fan-out of the interval join is bounded by the parts
+    that fit in a bucket of text, whatever the length of the text.
     """
     parts = cut(_parts(keyed(docs, id_col, text_col)))
-    outside = F.filter(F.coalesce("links", F.expr("filter(weak, x -> false)")), lambda w: ~F.exists("base", lambda b: (b["start"] <= w["start"]) & (b["end"] >= w["end"])))
-    found = parts.join(_linked(parts), ["did", "th"], "left").withColumn("links", outside)
+    found = parts.join(_linked(parts), ["did", "th"], "left").withColumn("links", F.coalesce("links", F.expr("filter(weak, x -> false)")))
     return found.select("id", "base", "links", F.array_sort(F.concat("base", "links")).alias("spans"))
 
 
