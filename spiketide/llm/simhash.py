@@ -221,16 +221,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component): component is the least id reachable over fingerprints at most radius bits apart.
 
     Equal fingerprints are one node, so exact copies cost nothing further. Null and empty texts have fingerprint zero
-    and link like any other. Ids are longs; a row with a null id keeps its row and never names a component unless it
-    is alone in it, when component is null. An empty table gives no rows; other columns are not read.
+    and link like any other. Ids are longs; a row with a null id keeps its row and its links, and never names a component:
+    one of null ids only is null. An empty table gives no rows; other columns are not read.
     """
     marked = cut(fingerprints(docs, id_col, text_col, words))
-    reps = cut(marked.groupBy("fp").agg(F.min("id").alias("rep")))
+    prints = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
     masks = covering_masks(radius)
-    known = reps.filter("rep is not null")
     tables = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)]))
-    edges = links(known.select("rep", F.array("fp").alias("words")), known.select(tables.alias("bucket"), "rep"), radius, max_bucket)
-    return _labelled(marked, reps, "fp", connected_components(edges))
+    nodes, buckets = prints.select(F.col("fp").alias("rep"), F.array("fp").alias("words")), prints.select(tables.alias("bucket"), F.col("fp").alias("rep"))
+    labels = connected_components(links(nodes, buckets, radius, max_bucket)).select("node", F.col("component").alias("part"))
+    named = prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("part", "fp").alias("part"))
+    least = named.groupBy("part").agg(F.min("least").alias("component"))
+    return marked.join(named.join(least, "part").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 def loose_bits(similarity: float) -> int:
@@ -343,11 +345,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return named.join(least, "part").select("id", "fp", "component", "th", "part")
 
 
-def _labelled(marked: DataFrame, reps: DataFrame, key: str, labels: DataFrame) -> DataFrame:
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col(key).alias("key"), F.coalesce("component", "rep").alias("component"))
-    return marked.join(named, marked[key] == named["key"]).select("id", "fp", "component")
-
-
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of similar(): that of the least id, null last, then of the least hash of the text. Rows
     are known by id and text, so rows of one id with different texts stay apart; of equal ones, one."""
