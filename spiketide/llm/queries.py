@@ -41,7 +41,7 @@ def op4_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.delete_repeats(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "repeat_depth", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
