@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, prepare
+from .shared import cut, join_groups, prepare
 
 GRAM = 32
 #: Distinct segments of a group that one suffix array takes; larger groups are dealt out more finely.
@@ -191,15 +191,16 @@ def repeats(rows: DataFrame, length: int, max_group: int = MAX_GROUP) -> DataFra
                     column += some
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    found = rows.select("did", "th", "bytes").mapInArrow(scan, "did long, th long, lo long, starts long, anchor long, off long, segment long, n long")
-    totals = found.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor")
-    shared = cut(found.join(totals, "anchor"))
+    found = cut(rows.select("did", "th", "bytes").mapInArrow(scan, "did long, th long, lo long, starts long, anchor long, off long, segment long, n long"))
+    totals = cut(found.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).filter("total > 1").select("anchor", "rows"))
+    shared = cut(join_groups(found, totals, ["anchor"], "rows").drop("rows"))
     within = shared.filter("segment is null").select("did", "th", "lo", "starts")
-    kinds = shared.filter("segment is not null").groupBy("anchor", "segment").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("did", "th", "lo", "starts", "off")])
+    kinds = shared.filter("segment is not null").groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("did", "th", "lo", "starts", "off")])
     kinds = cut(kinds)
-    whole = shared.join(kinds.filter("n > 1").select("anchor", "segment"), ["anchor", "segment"]).select("did", "th", "lo", "starts")
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
-    asked = kinds.join(groups, "anchor")
+    several = shared.filter("segment is not null")
+    whole = join_groups(several, kinds.filter("n > 1").select("anchor", "segment", "rows"), ["anchor", "segment"], "rows").select("did", "th", "lo", "starts")
+    groups = cut(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1"))
+    asked = join_groups(kinds.drop("rows"), groups, ["anchor"], "kinds")
     # the text side is that of the last join in remove_repeats(), so that texts are shuffled once
     pieces = asked.join(rows, ["did", "th"]).select("anchor", "id", "n", "kinds", "did", "th", "lo", "starts", "off", F.expr(f"substring(bytes, cast(lo + 1 as int), cast(starts + {length - 1} as int))").alias("piece"))
     member = F.struct("did", "th", "lo", "starts", "n", "piece", "id")
