@@ -10,7 +10,9 @@ from .shared import cut
 #: Weights of the sources in code-point order, null last, repeated.
 WEIGHTS = (3, 1, 2)
 #: Rows that a slice of a source holds on average; slices of a source are ranges of the random key.
-SLICE_ROWS = 1024
+SLICE_ROWS = 512
+#: Slices that are summed up in one go: blocks of them are as few as this allows.
+BLOCK_SLICES = 1 << 14
 _KEY_SPAN = 1 << 32
 
 
@@ -45,7 +47,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """(id, source, size, source_size, target, taken): how many words of each row the mix takes.
 
-    A source's rows are ordered by the MD5 of seed and id, ties by id and size; whole epochs are taken first, then rows
+    A source's rows are ordered by the MD5 of seed and id, of null ids that of seed and text, ties by id and size; whole epochs are taken first, then rows
     in that order until the source's budget, its target rounded, is met exactly, the last row in part. Rows of no
     words take none. Null sources are one source, the last. Reruns agree whatever the partitioning. Rows equal in id
     and size are interchangeable. Empty tables give no rows.
@@ -53,11 +55,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A source may hold any share of the rows: it is cut into ranges of the random key, summed per range, and only the
     ranges' totals are accumulated per source.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    text_key = F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit(""))))  # null ids are spread as well
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), text_key.alias("text_key"))
     rows = cut(rows.withColumns({
-        "key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))),
+        "key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.col("text_key")))),
         "of": F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")),
-    }))
+    }).drop("text_key"))
     slices = max(1, rows.count() // SLICE_ROWS)
     part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(slices) / F.lit(_KEY_SPAN)).cast("long")
     rows = rows.withColumn("slice", part)
@@ -69,8 +72,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")).alias("of"),
         "source_size", "target", "epochs", (budget - F.col("epochs") * F.col("source_size")).alias("rest"),
     )
-    ahead = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("of", "slice", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("start")).join(goal, "of")
+    # prefix sums in two levels: of slices within a block of them, and of the blocks of a source
+    sums = sums.withColumn("block", F.floor(F.col("slice") / BLOCK_SLICES))
+    ahead = lambda by, *of: Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy("of", "block").agg(F.sum("sum").alias("sum"))
+    blocks = blocks.select("of", "block", F.coalesce(F.sum("sum").over(ahead("block", "of")), F.lit(0)).alias("base"))
+    inner = sums.select("of", "block", "slice", F.coalesce(F.sum("sum").over(ahead("slice", "of", "block")), F.lit(0)).alias("in_block"))
+    starts = inner.join(blocks, ["of", "block"]).select("of", "slice", (F.col("base") + F.col("in_block")).alias("start")).join(goal, "of")
     within = Window.partitionBy("of", "slice").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     final = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["of", "slice"])
     cutoff = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("inside")))

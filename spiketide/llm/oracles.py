@@ -27,20 +27,33 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 OP5 = """
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 win AS (
-  SELECT doc_id, i, array_to_string(l[i:i + 3], chr(10)) AS s
-  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 2)) AS i FROM d)
+  SELECT doc_id, k, i, array_to_string(l[i:i + k - 1], chr(10)) AS s
+  FROM (SELECT doc_id, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM d, range(1, 5) t(k) WHERE len(l) >= k)
 ),
-later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
-gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(i, i + 4)) AS p FROM later) GROUP BY 1),
+chosen AS (SELECT * FROM win WHERE k = 4 OR len(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+')) >= 50),
+place AS (SELECT doc_id, k, i, row_number() OVER w AS nth, first_value(doc_id) OVER w AS doc_1, first_value(i) OVER w AS i_1 FROM chosen WINDOW w AS (PARTITION BY k, s ORDER BY doc_id, i)),
+later AS (SELECT doc_id, CASE WHEN doc_1 = doc_id THEN greatest(i, i_1 + k) ELSE i END AS a, i + k AS b FROM place WHERE nth > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(a, b)) AS p FROM later) GROUP BY 1),
 kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM (
     SELECT d.doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p, coalesce(g, []) AS g FROM d LEFT JOIN gone USING (doc_id)
   ) WHERE NOT list_contains(g, p) GROUP BY 1
-)
-SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+),
+one AS (SELECT doc_id, i, dense_rank() OVER (ORDER BY s) AS r, count(*) OVER (PARTITION BY s) AS n FROM win WHERE k = 1),
+run AS (
+  SELECT doc_id, i, r, CAST(1 AS BIGINT) AS depth FROM one WHERE n > 1
+  UNION ALL
+  SELECT doc_id, i, dense_rank() OVER (ORDER BY r, nxt) AS r, depth + 1 AS depth FROM (
+    SELECT *, count(*) OVER (PARTITION BY r, nxt) AS n FROM (
+      SELECT doc_id, i, r, depth, lead(r) OVER w AS nxt, lead(i) OVER w AS j FROM run WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+    ) WHERE j = i + 1
+  ) WHERE n > 1
+),
+deepest AS (SELECT doc_id, CAST(2 ** floor(log2(max(depth))) AS BIGINT) AS repeat_depth FROM run GROUP BY 1)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, coalesce(repeat_depth, 0) AS repeat_depth, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN deepest USING (doc_id)
 """
 
 OP8 = """
@@ -85,7 +98,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 OP10 = """
 WITH r AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+    md5('7:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key
   FROM documents
 ),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY source),
