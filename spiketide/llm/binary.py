@@ -11,6 +11,7 @@ by the manifest that the writer returns; what a lost attempt left behind is in n
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import uuid
@@ -61,18 +62,30 @@ class _Pieces(dict):
         return out
 
 
+def _byte_level(tokenizer) -> bool:
+    """Whether texts may be encoded piece by piece: a plain BPE over bytes, cut by the usual expression, nothing before
+    or after it, and special tokens that hold "<|"."""
+    kind = json.loads(tokenizer.to_str())
+    cutter, model = kind["pre_tokenizer"] or {}, kind["model"]
+    plain = kind["normalizer"] is None and kind["post_processor"] is None and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    return plain and cutter.get("type") == "ByteLevel" and not cutter["add_prefix_space"] and cutter.get("use_regex", True) and all("<|" in t["content"] for t in kind["added_tokens"])
+
+
 @functools.cache
 def _encoder(tokenizer_path: str):
-    """text -> ids, by a byte-level BPE of the tokenizers library.
+    """text -> ids, by a tokenizer of the tokenizers library.
 
-    Its pre-tokenizer never joins a character that is not white space with white space behind it, so texts fall apart
+    A byte-level BPE's pre-tokenizer never joins a character that is not white space with white space behind it, so texts fall apart
     at single spaces and line feeds, and the pieces, which recur, are encoded by the library once and kept. Texts with
-    other white space at such places, or with what may be a special token, are encoded whole.
+    other white space at such places, or with what may be a special token, are encoded whole, and so is every text if the
+    tokenizer is of another kind.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    if not _byte_level(tokenizer):
+        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     first, spaced = _Pieces(tokenizer, ""), _Pieces(tokenizer, " ")
     odd = re.compile(r"\s\s|<\|")
     feed = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()

@@ -95,19 +95,28 @@ def private(docs):
     return out
 
 
-def lines(docs, run=4):
+def lines(docs, run=4, least=50):
     keyed = sorted({(-(2**63) if d is None else d, np.uint64(xxhash.xxh64_intdigest((t or "").encode(), seed=42)).astype(np.int64), t or "") for d, t in docs})
-    first, gone = {}, defaultdict(set)
+    first, gone, places = {}, defaultdict(set), defaultdict(list)
     for d, h, text in keyed:
         parts = text.split("\n")
-        for i in range(len(parts) - run + 1):
-            if first.setdefault(tuple(parts[i : i + run]), (d, h, i)) != (d, h, i):
-                gone[d, text] |= set(range(i, i + run))
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in parts]
+        for i in range(len(parts)):
+            for k in range(1, len(parts) - i + 1):
+                places[tuple(parts[i : i + k])].append((d, text, i))
+                if k == run or k < run and sum(words[i : i + k]) >= least:
+                    e, g, j = first.setdefault(tuple(parts[i : i + k]), (d, h, i))
+                    if (e, g, j) != (d, h, i):
+                        gone[d, text] |= set(range(max(i, j + k) if (e, g) == (d, h) else i, i + k))
+    depth = defaultdict(int)
+    for content, at in places.items():
+        if len(at) > 1 and len(content) & (len(content) - 1) == 0:
+            for d, text, _ in at:
+                depth[d, text] = max(depth[d, text], len(content))
     out = []
     for d, t in docs:
-        parts = (t or "").split("\n")
-        dead = gone[-(2**63) if d is None else d, t or ""]
-        out.append((d, len(parts), len(dead), sha("\n".join(p for i, p in enumerate(parts) if i not in dead))))
+        parts, key = (t or "").split("\n"), (-(2**63) if d is None else d, t or "")
+        out.append((d, len(parts), len(gone[key]), depth[key], sha("\n".join(p for i, p in enumerate(parts) if i not in gone[key]))))
     return sorted(out, key=str)
 
 
@@ -192,7 +201,8 @@ def mixing(docs, weights=(3, 1, 2), share=1.5, most=2.0, seed=7):
         budget = int(target[s] + 0.5)
         epochs = budget // total[s] if total[s] else 0
         left = budget - epochs * total[s]
-        own = [(hashlib.md5(f"{seed}:{'' if d is None else d}".encode()).hexdigest(), d is not None, d or 0, n, d) for (d, _, x), n in zip(docs, size, strict=True) if x == s]
+        key = lambda d, t: hashlib.md5(f"{seed}:{hashlib.md5((t or '').encode()).hexdigest() if d is None else d}".encode()).hexdigest()
+        own = [(key(d, t), d is not None, d or 0, n, d) for (d, t, x), n in zip(docs, size, strict=True) if x == s]
         for _, _, _, n, d in sorted(own, key=lambda x: x[:4]):
             out.append((d, n, total[s], target[s], epochs * n + min(n, left)))
             left -= min(n, left)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from spiketide.llm import binary, decontaminate, graph, lines, mixing, neighbours, private, quality, secrets, simhash, suffixes
+from spiketide.llm import binary, decontaminate, graph, lines, mixing, neighbours, private, quality, secrets, shared, simhash, suffixes
 
 DOCS = "doc_id long, text string, source string, id long, row string, key string, spans string, score double, size string"
 rng = np.random.default_rng(0)
@@ -158,27 +158,61 @@ def test_decontaminate(spark, docs, block):
     assert texts[18] == dict((d, t) for d, t, _ in docs)[18] or "w1 w2 w3" in docs[18][1]
 
 
+def by_row(found, docs):
+    """Results (doc_id first) beside the plain version's of the same rows; rows of one id are told apart by their counts
+    and base hash, which both have."""
+    assert len(found) == len(docs)
+    return zip(sorted(found, key=lambda r: str(tuple(r)[:-1])), sorted(docs, key=lambda r: str(tuple(r)[:-1])), strict=True)
+
+
 def test_private(spark, docs):
-    want = {d: x for x, (d, _, _) in zip(brute.private([(d, t) for d, t, _ in docs]), docs, strict=True) if d is not None}
-    for r in private.digest(private.scan(frame(spark, docs))).collect():
-        if r["doc_id"] not in (None, 5):
-            w = want[r["doc_id"]]
-            assert tuple(r)[:6] == w[:6] and set(w[6]) <= set(r["spans"].split(",") if r["spans"] else [])
-    spans = {r["doc_id"]: r["spans"] for r in private.digest(private.scan(frame(spark, docs))).collect()}
-    assert "card:51:67" in spans[23] or "phone:26:40" in spans[23]  # beyond the base patterns
+    rows = private.digest(private.scan(frame(spark, docs))).collect()
+    for r, w in by_row(rows, brute.private([(d, t) for d, t, _ in docs])):
+        assert tuple(r)[:6] == w[:6] and set(w[6]) <= set(r["spans"].split(",") if r["spans"] else [])
+    spans = {r["doc_id"]: r["spans"] for r in rows}
+    assert "phone:26:40" in spans[23]  # beyond the base patterns
     text = {r["id"]: r["text"] for r in private.redact(frame(spark, docs)).collect()}
     assert text[22].startswith("card [card]") and text[10] == "one"
+    for r in private.report(spark).collect():
+        assert r["n"] > 50 and r["precision"] > 0.95 and r["recall"] > 0.9
+
+
+def test_redact_by_id_and_text(spark):
+    texts = [(5, "mail a.b@c-d.org please"), (5, "nothing to see in this long line of words"), (None, "mail x@y.org"), (None, "no span"), (None, None), (6, "a@b.de" * 3), (7, "é" * 4090 + " a.b@c-d.org " + "é" * 5000 + " ip 10.0.0.1")]
+    texts += [texts[0]]
+    want = [(5, "mail [email] please"), texts[1], (None, "mail [email]"), texts[3], (None, ""), (6, "[email]@[email]"), (7, "é" * 4090 + " [email] " + "é" * 5000 + " ip [ip]"), (5, "mail [email] please")]
+    assert rows_of(private.redact(spark.createDataFrame(texts, "doc_id long, text string"))) == sorted(want, key=str)
+
+
+def test_texts_with_many_matches(spark):
+    n = 30_000
+    hexes, people = " ".join(f"{i:032x}" for i in range(n)), " ".join(f"tel 555-{i % 900 + 100}-{i:05d} a{i}@b.com" for i in range(n))
+    df = spark.createDataFrame([(1, hexes), (2, people)], "doc_id long, text string")
+    for module, plain in ((secrets, brute.secrets), (private, brute.private)):
+        for r, w in by_row(module.digest(module.scan(df)).collect(), plain([(1, hexes), (2, people)])):
+            assert tuple(r)[: len(w) - 1] == w[:-1]
+
+
+def test_near_duplicates_link_through_null_ids(spark):
+    base = [f"v{j}" for j in range(400)]
+    texts = [base, base[:3] + ["x1"] + base[4:], base[:3] + ["x1"] + base[4:9] + ["x2"] + base[10:], base[:3] + ["x1"] + base[4:9] + ["x2"] + base[10:20] + ["x3"] + base[21:]]
+    rows = [(None if k in (1, 2) else k + 1, " ".join(t), "s") for k, t in enumerate(texts)] + [(None, "alone in the world", "s")]
+    found = rows_of(simhash.near_duplicates(frame(spark, rows)).select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component"))
+    assert found == brute.simhash([(d, t) for d, t, _ in rows])
 
 
 def test_lines(spark, docs):
-    found = rows_of(lines.delete_repeats(frame(spark, docs)).select("id", "n_lines", "n_removed", F.sha2("kept", 256)))
-    assert found == brute.lines([(d, t) for d, t, _ in docs])
+    more = docs + [(60 + i, t, "s") for i, t in enumerate(["A\n" * 9, "A\nB\n" * 5, "head\n" + "w " * 55 + "\nfoot", "w " * 55 + "\nq", "x " * 30 + "\n" + "y " * 30 + "\nz", "k\n" + "x " * 30 + "\n" + "y " * 30, "\n".join(map(str, range(37))), "\n".join(map(str, range(4, 40)))])]
+    want = brute.lines([(d, t) for d, t, _ in more])
+    found = rows_of(lines.delete_repeats(frame(spark, more)).select("id", "n_lines", "n_removed", "repeat_depth", F.sha2("kept", 256)))
+    assert found == want
 
 
-def test_tokens(spark, docs, tmp_path):
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens(spark, docs, tmp_path, vocabulary):
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = public_tokenizers.path(vocabulary)
     out = f"file://{tmp_path}/t"
     manifest = binary.write(frame(spark, docs), out, path, sequence=64, file_rows=7)
     assert rows_of(binary.read_digests(manifest, out)) == brute.tokens([(d, t) for d, t, _ in docs], path)
@@ -187,12 +221,35 @@ def test_tokens(spark, docs, tmp_path):
 
 
 def test_secrets(spark, docs):
-    found = {r["doc_id"]: r for r in secrets.digest(secrets.scan(frame(spark, docs))).collect()}
-    for w in brute.secrets([(d, t) for d, t, _ in docs if d is not None and d != 5]):
-        r = found[w[0]]
+    rows = secrets.digest(secrets.scan(frame(spark, docs))).collect()
+    for r, w in by_row(rows, brute.secrets([(d, t) for d, t, _ in docs])):
         assert tuple(r)[:5] == w[:5] and set(w[5]) <= set(r["spans"].split(",") if r["spans"] else [])
-    assert "user:" in found[25]["spans"] and "endpoint:" in found[25]["spans"] and "random:" in found[25]["spans"]
-    assert found[26]["spans"] == ""  # nothing complementary near it
+    found = {r["doc_id"]: r["spans"] for r in rows}
+    assert "user:" in found[25] and "endpoint:" in found[25] and "random:" in found[25]
+    assert found[26] == ""  # nothing complementary near it
+
+
+def test_links_look_both_ways(spark):
+    long = "https://h.example/" + "p" * 300
+    texts = [f"{long} k9XzQ2mLp0RtYvWb7NcD4s", f"k9XzQ2mLp0RtYvWb7NcD4s {long}", f"{long} {'. ' * 120} k9XzQ2mLp0RtYvWb7NcD4s", "login: admin99 " + "a1" * 130]
+    found = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert all("endpoint:" in found[k] and "random:" in found[k] for k in (0, 1)) and found[2] == "" and "user:" in found[3]
+
+
+def test_hot_groups_meet_alike(spark, monkeypatch, docs):
+    """Groups that are broadcast, groups dealt by blocks and starts dealt by string give the same rows."""
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
+    monkeypatch.setattr(shared, "HOT_GROUPS", 8)
+    passage = prose(90)
+    more = docs + [(200 + i, prose(20) + " " + passage + " " + prose(20), "s") for i in range(40)]
+    pairs = [(d, t) for d, t, _ in more]
+    dealt = []
+    plain = suffixes._dealt
+    monkeypatch.setattr(suffixes, "_dealt", lambda batches, length: plain(batches, length))
+    large = suffixes._large
+    monkeypatch.setattr(suffixes, "_large", lambda *a: dealt.append(1) or large(*a))
+    assert rows_of(suffixes.remove_repeats(frame(spark, more), digest=True, max_group=1)) == brute.repeats(pairs) and dealt
+    assert rows_of(lines.delete_repeats(frame(spark, more)).select("id", "n_lines", "n_removed", "repeat_depth", F.sha2("kept", 256))) == brute.lines(pairs)
 
 
 @pytest.mark.parametrize("max_group", [2048, 2, 1])
@@ -275,7 +332,7 @@ def test_empty_tables(spark):
     import public_tokenizers
 
     for result in (
-        simhash.near_duplicates(df), simhash.similar(df), decontaminate.matches(df, items), decontaminate.decontaminate(df, items), private.scan(df), lines.delete_repeats(df), secrets.scan(df), suffixes.remove_repeats(df),
+        simhash.near_duplicates(df), simhash.similar(df), decontaminate.matches(df, items), decontaminate.decontaminate(df, items), private.scan(df), private.redact(df), lines.delete_repeats(df), mixing.apply(df, mixing.mix(df)), secrets.scan(df), suffixes.remove_repeats(df),
         mixing.mix(df), binary.read_digests(binary.write(df, out, public_tokenizers.path("byte_bpe_50k.json")), out), quality.score(df, quality.fit(df, spark.createDataFrame([], "doc_id long, quality int"))),
     ):
         assert result.count() == 0
