@@ -48,55 +48,51 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return one.select("did", "th", F.posexplode(placed).alias("pos", "x")).select("did", "th", F.col("pos").cast("long").alias("pos"), "x.h", "x.b", "x.e")
 
 
-def _pairs(level: DataFrame, step: int) -> DataFrame:
-    """(did, th, pos, rank, then, b, e): each position of the level with the one `step` lines on."""
+def _pairs(level: DataFrame, step: Column) -> DataFrame:
+    """(did, th, pos, rank, then, b, e, d): each position of the level with the one `step` lines on."""
     after = level.select("did", "th", (F.col("pos") - step).alias("pos"), F.col("rank").alias("then"), F.col("e").alias("end"))
-    return level.join(after, PLACE).select(*PLACE, "rank", "then", "b", F.col("end").alias("e"))
-
-
-def _ranked(rows: DataFrame, keys: list[str], slot: Column) -> DataFrame:
-    """(did, th, pos, rank, b, e) of the rows that share their keys with others; equal ranks are equal keys, and ranks
-    sort as the keys do."""
-    rows = cut(rows)
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").withColumn("slot", slot)
-    numbered = cut(_numbered(groups, keys))
-    return cut(join_groups(rows, numbered, keys).select(*PLACE, F.col("new").alias("rank"), "b", "e"))
+    return level.join(after, PLACE).select(*PLACE, "rank", "then", "b", F.col("end").alias("e"), "d")
 
 
 def suffix_levels(lines: DataFrame) -> list[DataFrame]:
-    """lines (did, th, pos, h, b, e), each place once -> for depths 1, 2, 4, ... the places (did, th, pos, rank, b, e) whose
-    first so many lines occur at another place as well; the last level is not empty unless it is the first. b and e are
-    the words of the document before and up to the end of these lines."""
-    levels = [_ranked(lines, ["h"], F.conv(F.hex(F.substring("h", 1, 2)), 16, 10).cast("long"))]
+    """lines (did, th, pos, h, b, e), each place once -> for depths d = 1, 2, 4, ... the places (did, th, pos, rank, b, e, d)
+    whose first d lines occur at another place as well; the last level is not empty unless it is the first. Equal ranks
+    are equal lines, and ranks sort as the MD5s of the lines do. b and e are the words of the document before and up to
+    the end of these lines."""
+    levels: list[DataFrame] = []
+    rows, keys = lines.withColumn("d", F.lit(1).cast("long")), ["h"]
+    slot = F.conv(F.hex(F.substring("h", 1, 2)), 16, 10).cast("long")
     while True:
-        top = levels[-1].agg(F.max("rank")).first()[0]
+        rows = cut(rows)
+        groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").withColumn("slot", slot)
+        numbered = cut(_numbered(groups, keys))
+        top = numbered.agg(F.max("new")).first()[0]
+        if top is None and levels:
+            return levels
+        # depths are a column, so that every round runs the same compiled code
+        levels.append(cut(join_groups(rows, numbered, keys).select(*PLACE, F.col("new").alias("rank"), "b", "e", "d")))
         if top is None:
-            return levels[:-1] or levels
-        ranges = max(1, min(RANGES, top // RANGE_ROWS + 1))
-        slot = F.floor(F.col("rank") * F.lit(ranges) / F.lit(top + 1)).cast("long")
-        levels.append(_ranked(_pairs(levels[-1], 1 << (len(levels) - 1)), ["rank", "then"], slot))
+            return levels
+        rows, keys = _pairs(levels[-1], F.col("d")).withColumn("d", F.col("d") * 2), ["rank", "then"]
+        slot = F.floor(F.col("rank") / max(RANGE_ROWS, top // RANGES + 1))
 
 
 def _later_copies(levels: list[DataFrame], min_lines: int, min_words: int) -> DataFrame:
     """(did, th, pos) of the lines that later copies cover, of runs of min_lines lines, or of fewer with min_words words."""
-    gone = None
+    runs = []
     for k in range(1, min_lines + 1):
         s = k.bit_length() - 1
-        if s >= len(levels):
-            break
-        over = k - (1 << s)
-        runs = _pairs(levels[s], over) if over else levels[s].withColumn("then", F.lit(0).cast("long"))
-        if k < min_lines:
-            runs = runs.filter(F.col("e") - F.col("b") >= min_words)
-        keys = ["rank", "then"]
-        runs = cut(runs.select(*PLACE, *keys))
-        first = runs.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        later = join_groups(runs, cut(first), keys).filter(F.struct(*PLACE) != F.col("first"))
-        own = (F.col("first.did") == F.col("did")) & (F.col("first.th") == F.col("th"))
-        begin = F.when(own, F.greatest(F.col("pos"), F.col("first.pos") + k)).otherwise(F.col("pos"))
-        some = later.select("did", "th", F.explode(F.sequence(begin, F.col("pos") + (k - 1))).alias("pos"))
-        gone = some if gone is None else gone.unionByName(some)
-    return gone
+        if s < len(levels):
+            over = k - (1 << s)
+            some = _pairs(levels[s], F.lit(over)) if over else levels[s].withColumn("then", F.lit(0).cast("long"))
+            runs.append((some if k == min_lines else some.filter(F.col("e") - F.col("b") >= min_words)).select(*PLACE, F.lit(k).cast("long").alias("k"), "rank", "then"))
+    keys = ["k", "rank", "then"]
+    every = cut(reduce(DataFrame.unionByName, runs))
+    first = cut(every.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = join_groups(every, first, keys).filter(F.struct(*PLACE) != F.col("first"))
+    own = (F.col("first.did") == F.col("did")) & (F.col("first.th") == F.col("th"))
+    begin = F.when(own, F.greatest(F.col("pos"), F.col("first.pos") + F.col("k"))).otherwise(F.col("pos"))
+    return later.select("did", "th", F.explode(F.sequence(begin, F.col("pos") + F.col("k") - 1)).alias("pos"))
 
 
 def delete_repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,8 +110,8 @@ def delete_repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     rows = keyed(docs, id_col, text_col)
     levels = suffix_levels(_lines(docs, id_col, text_col))
     gone = _later_copies(levels, min_lines, min_words).groupBy("did", "th").agg(F.collect_set("pos").alias("gone"))
-    depths = reduce(DataFrame.unionByName, [x.select("did", "th", F.lit(1 << s).cast("long").alias("depth")) for s, x in enumerate(levels)])
-    marked = gone.join(depths.groupBy("did", "th").agg(F.max("depth").alias("depth")), ["did", "th"], "full_outer")
+    depths = reduce(DataFrame.unionByName, [x.select("did", "th", "d") for x in levels])
+    marked = gone.join(depths.groupBy("did", "th").agg(F.max("d").alias("depth")), ["did", "th"], "full_outer")
     found = rows.join(marked, ["did", "th"], "left").withColumn("lines", F.split("text", "\n", -1))
     every = F.sequence(F.lit(0).cast("long"), (F.size("lines") - 1).cast("long"))
     stay = F.transform(F.array_except(every, F.col("gone")), lambda i: F.get("lines", i.cast("int")))

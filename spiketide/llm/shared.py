@@ -43,14 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
-    """rows joined with groups, which has one row to a key and in `size` at most the number of rows of that key.
+    """rows joined with groups, which has one row to a key and in `size` the number of rows of that key.
 
     Groups of more than 1/HOT_GROUPS of the rows are fewer than HOT_GROUPS, so they are broadcast and their rows stay
     where they are; the others are small beside the whole and meet by a shuffle. Both tables are read twice: cut them.
     """
-    least = max(HOT_ROWS, rows.count() // HOT_GROUPS)
-    hot, cold = groups.filter(F.col(size) > least), groups.filter(F.col(size) <= least)
-    if hot.isEmpty():
+    every, most = groups.agg(F.sum(size), F.max(size)).first()
+    least = max(HOT_ROWS, (every or 0) // HOT_GROUPS)
+    if (most or 0) <= least:
         return rows.join(groups, keys)
+    hot, cold = groups.filter(F.col(size) > least), groups.filter(F.col(size) <= least)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
