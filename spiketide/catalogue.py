@@ -302,7 +302,7 @@ def quality_index(spark, d):
     return histograms.quality_index(signal, CELL)
 
 
-@query()
+@query(W + ", g AS (SELECT DISTINCT recording, i AS bin FROM trig, range(47) t(i)), c AS (SELECT recording, least(CAST(floor(times_triggered / 0.5) AS BIGINT), 46) AS bin, count(*) AS n FROM trig WHERE times_triggered <= 23.5 GROUP BY ALL), h AS (SELECT recording, bin, coalesce(n, 0) AS count FROM g LEFT JOIN c USING (recording, bin)), s AS (SELECT *, lag(count, 1, -1) OVER o AS before, lead(count, 1, -1) OVER o AS after, stddev_pop(count) OVER (PARTITION BY recording) AS sd FROM h WINDOW o AS (PARTITION BY recording ORDER BY bin)), t AS (SELECT * FROM s WHERE count > before AND count >= after AND count >= sd) SELECT recording, bin, count FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.recording = t.recording AND abs(u.bin - t.bin) <= 5 AND (u.count > t.count OR (u.count = t.count AND u.bin < t.bin)))")
 def peaks_local_max(spark, d):
     return histograms.local_peaks(histograms.psth(_trig(spark, d), "times_triggered", 0.5, 24.0, ["recording"]), ["recording"], 5)
 
@@ -614,6 +614,113 @@ def angle_sector(spark, d):
     return table(spark, d, "events").select("event_id", values.sector(F.col("event_id") * 7 % 360).alias("sector"))
 
 
+# -- selections, as-of joins, weighted histograms
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice BETWEEN 50000 AND 150000 AND o_orderstatus IN ('F', 'P')")
+def column_filters(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return predicates.chosen(o, {"o_totalprice": (50_000, 150_000), "o_orderstatus": ["F", "P"], "o_orderkey": "all"})
+
+
+@query(_STIM + " SELECT recording, stimulus_index, ['fff', 'chirp', 'csteps', 'fff', 'chirp'][stimulus_index + 1] AS stimulus_name FROM s WHERE stimulus_index IN (0, 1, 3, 4)")
+def stimulus_names(spark, d):
+    return triggers.indices_of(fixture.stimuli(spark), ["fff", "chirp"])
+
+
+@query("WITH r AS (SELECT user_id, event_id AS t, value AS v FROM events WHERE event_type = 'click') SELECT e.event_id, e.user_id, r.v FROM (SELECT * FROM events WHERE event_type <> 'click') e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.event_id >= r.t")
+def asof_events(spark, d):
+    e = table(spark, d, "events")
+    right = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("t"), F.col("value").alias("v"))
+    left = e.filter("event_type <> 'click'").select("event_id", "user_id", F.col("event_id").alias("t"))
+    return tables.asof(left, right, ["user_id"], "t", ["v"]).select("event_id", "user_id", "v")
+
+
+@query("WITH k AS (SELECT user_id, event_id::DOUBLE AS x, value AS y FROM events), g AS (SELECT user_id, unnest(range(50, 1000, 100))::DOUBLE AS x FROM (SELECT DISTINCT user_id FROM events)), j AS (SELECT g.user_id, g.x, a.x AS ax, a.y AS ay FROM g ASOF LEFT JOIN k a ON g.user_id = a.user_id AND g.x >= a.x), b AS (SELECT j.*, k.x AS bx, k.y AS by_ FROM j ASOF LEFT JOIN k ON j.user_id = k.user_id AND j.x <= k.x) SELECT user_id, x, round(CASE WHEN ax = x THEN ay ELSE ay + (by_ - ay) * (x - ax) / (bx - ax) END, 6) AS y FROM b")
+def interp_linear(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("x"), F.col("value").alias("y"))
+    grid = e.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(50), F.lit(950), F.lit(100))).alias("x"))
+    return tables.interpolated(e, grid, ["user_id"], "x", "y").withColumn("y", F.round("y", 6))
+
+
+@query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority, o_custkey) - 1 AS place FROM orders")
+def ngroup(spark, d):
+    return tables.group_numbers(table(spark, d, "orders"), ["o_orderpriority", "o_custkey"], "place").select("o_orderkey", "place")
+
+
+@query("SELECT event_id, user_id FROM events WHERE CAST('0x' || substr(md5('1:' || event_id), 1, 8) AS BIGINT) < 1288490188")
+def random_sample(spark, d):
+    return tables.sampled(table(spark, d, "events"), "event_id", 0.3).select("event_id", "user_id")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'on' WHEN 'view' THEN 'off' ELSE event_type END AS event_type FROM events")
+def value_replace(spark, d):
+    return tables.replaced(table(spark, d, "events"), "event_type", {"click": "on", "view": "off"}).select("event_id", "event_type")
+
+
+@query("SELECT user_id, min(g) AS width FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events) WHERE g > 0 GROUP BY 1")
+def infer_bin(spark, d):
+    return tables.bin_width(table(spark, d, "events"), "event_id", ["user_id"])
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def left_fill_join(spark, d):
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return tables.left_filled(table(spark, d, "customer").select("c_custkey"), n, ["c_custkey"], 0)
+
+
+@query("SELECT l_returnflag, CAST(floor(l_quantity / 5.0) AS BIGINT) AS bin, round(sum(l_tax) / any_value(t) / 5.0, 8) AS weight FROM lineitem JOIN (SELECT l_returnflag, sum(l_tax) AS t FROM lineitem WHERE l_quantity < 50 GROUP BY 1) USING (l_returnflag) WHERE l_quantity < 50 GROUP BY ALL")
+def psth_weighted(spark, d):
+    return histograms.weighted(table(spark, d, "lineitem"), "l_quantity", "l_tax", 5.0, 50.0, ["l_returnflag"], density=True).withColumn("weight", F.round("weight", 8))
+
+
+@query("SELECT l_returnflag, l_quantity, round(sum(w) OVER (PARTITION BY l_returnflag ORDER BY l_quantity) / sum(w) OVER (PARTITION BY l_returnflag), 8) AS ecdf FROM (SELECT l_returnflag, l_quantity, sum(l_discount) AS w FROM lineitem GROUP BY ALL)")
+def ecdf_weighted(spark, d):
+    return histograms.weighted_ecdf(table(spark, d, "lineitem"), "l_quantity", "l_discount", ["l_returnflag"]).withColumn("ecdf", F.round("ecdf", 8))
+
+
+@query("WITH r AS (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1) SELECT user_id, CAST(coalesce(least(floor((value - lo) / nullif((hi - lo) / 10, 0)), 9), 0) AS BIGINT) AS bin, count(*) AS count FROM events JOIN r USING (user_id) GROUP BY ALL")
+def hist_by_group(spark, d):
+    return histograms.group_ranges(table(spark, d, "events"), "value", 10, ["user_id"])
+
+
+@query(W + ", g AS (SELECT DISTINCT recording, cell_index, repeat, i AS bin FROM trig, range(47) t(i)), c AS (SELECT recording, cell_index, repeat, least(CAST(floor(times_triggered / 0.5) AS BIGINT), 46) AS bin, count(*) AS n FROM trig WHERE times_triggered <= 23.5 GROUP BY ALL) SELECT recording, cell_index, repeat, bin, coalesce(n, 0) AS count FROM g LEFT JOIN c USING (recording, cell_index, repeat, bin)")
+def psth_by_cell_repeat(spark, d):
+    return histograms.psth(_trig(spark, d), "times_triggered", 0.5, 24.0, [*CELL, "repeat"])
+
+
+@query(W + ", g AS (SELECT DISTINCT recording, cell_index, i AS bin FROM trig, range(24) t(i)), c AS (SELECT recording, cell_index, least(CAST(floor(times_triggered) AS BIGINT), 23) AS bin, count(*) AS n FROM trig WHERE times_triggered <= 24 GROUP BY ALL), h AS (SELECT recording, cell_index, bin, coalesce(n, 0)::DOUBLE AS n FROM g LEFT JOIN c USING (recording, cell_index, bin)), x AS (SELECT a.recording, a.cell_index, a.n AS x, b.n AS y FROM h a JOIN h b ON a.recording = b.recording AND a.cell_index = b.cell_index AND b.bin = a.bin + 12 AND a.bin < 12), m AS (SELECT recording, cell_index, count(*) * sum(x * y) - sum(x) * sum(y) AS c, count(*) * sum(x * x) - sum(x) * sum(x) AS vx, count(*) * sum(y * y) - sum(y) * sum(y) AS vy FROM x GROUP BY ALL) SELECT recording, cell_index, round(c / nullif(sqrt(vx * vy), 0), 6) AS r FROM m")
+def on_off_correlation(spark, d):
+    hist = histograms.psth(_trig(spark, d), "times_triggered", 1.0, 25.0, CELL)
+    return features.halves_correlation(hist, CELL, 12).withColumn("r", F.round("r", 6))
+
+
+@query("WITH c(a) AS (VALUES ('l_discount'), ('l_extendedprice'), ('l_quantity')), p AS (SELECT x.a, y.a AS b FROM c x, c y), m AS (SELECT corr(l_discount, l_extendedprice) AS de, corr(l_discount, l_quantity) AS dq, corr(l_extendedprice, l_quantity) AS eq, count(*) AS n FROM lineitem) SELECT a, b, round(CASE WHEN a = b THEN 1.0 WHEN 'l_quantity' NOT IN (a, b) THEN de WHEN 'l_extendedprice' NOT IN (a, b) THEN dq ELSE eq END, 6) AS r, n FROM p, m")
+def corr_long(spark, d):
+    return features.correlations(table(spark, d, "lineitem"), ["l_discount", "l_extendedprice", "l_quantity"]).withColumn("r", F.round("r", 6))
+
+
+@query("SELECT l_returnflag, round(corr(l_discount, l_tax), 6) AS r, round(avg(abs(l_discount - l_tax)) / sqrt(2), 6) AS off_diagonal FROM lineitem GROUP BY 1")
+def diagonal(spark, d):
+    return features.diagonal_offset(table(spark, d, "lineitem"), "l_discount", "l_tax", ["l_returnflag"]).select("l_returnflag", F.round("r", 6).alias("r"), F.round("offset", 6).alias("off_diagonal"))
+
+
+@query(W + "SELECT recording, cell_index, times, CAST([1, 0][trigger + 1] AS INTEGER) AS trigger FROM frames")
+def trigger_remap(spark, d):
+    return triggers.remapped(_trig(spark, d, seconds=False).select("recording", "cell_index", "times", "trigger"), "trigger", [1, 0])
+
+
+@query("SELECT CAST(ceil(k * 20000 / 60.0) AS BIGINT) AS frame FROM range(400) t(k) WHERE ceil(k * 20000 / 60.0) < 100000")
+def refresh_grid(spark, d):
+    return spark.range(1).select(F.explode(triggers.refresh_grid(F.lit(100_000), F.lit(20_000.0))).alias("frame"))
+
+
+@query("SELECT vec_id, min(v) AS least, arg_min(k, v) AS at_sample FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS k FROM embeddings) GROUP BY 1")
+def waveform_minimum(spark, d):
+    z = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "v"))
+    return z.groupBy("vec_id").agg(F.min("v").alias("least"), F.min_by("k", F.struct("v", "k")).cast("long").alias("at_sample"))
+
+
 # -- models: rows only
 
 
@@ -639,7 +746,7 @@ def classify_relationship(spark, d):
 
 @query()
 def lasso(spark, d):
-    rows = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 6).alias("x"), F.get("embedding", F.lit(7)).alias("y"))
+    rows = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 63).alias("x"), F.get("embedding", F.lit(63)).alias("y"))
     return models.lasso(rows, "x", "y", ["label"])
 
 
@@ -677,4 +784,4 @@ def kmeans(spark, d):
 
 @query()
 def gmm_bic(spark, d):
-    return models.mixture_bic(table(spark, d, "embeddings"), "embedding", [2, 3], 4)
+    return models.mixture_bic(models.components(table(spark, d, "embeddings"), "vec_id", "embedding", 4), "scores", [2, 3])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of trigger intervals up to which they are broadcast; beyond, they meet the spikes in buckets of time.
+#: Rows of trigger intervals up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
 
@@ -27,20 +27,21 @@ def intervals(stimuli: DataFrame) -> DataFrame:
 
 
 def _meet(spikes: DataFrame, dim: DataFrame, low, high, inside, rows: int | None) -> DataFrame:
-    """Join of spikes with windows [low, high] of their recording: broadcast if small, else by buckets of time."""
-    n = dim.count() if rows is None else rows
-    if n <= BROADCAST_ROWS:
-        return spikes.join(F.broadcast(dim), ["recording"]).filter(inside)
-    width = max(1, int(dim.agg(F.avg(high - low)).first()[0] or 1))
-    windows = dim.withColumn("bucket", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
-    return spikes.withColumn("bucket", F.floor(F.col("times") / width)).join(windows, ["recording", "bucket"]).filter(inside).drop("bucket")
+    """Join of spikes with windows [low, high] of their recording by recording and bucket of time. Buckets are as wide as
+    the windows are on average, so windows fall in three times as many buckets as there are windows at most. Windows known
+    to be few are broadcast; else Spark decides by their size."""
+    width = dim.agg(F.greatest(F.lit(1), F.floor(F.avg(high - low))).alias("width"))
+    windows = dim.join(F.broadcast(width)).withColumn("bucket", F.explode(F.sequence(F.floor(low / F.col("width")), F.floor(high / F.col("width"))))).drop("width")
+    windows = F.broadcast(windows) if rows is not None and rows <= BROADCAST_ROWS else windows
+    placed = spikes.join(F.broadcast(width)).withColumn("bucket", F.floor(F.col("times") / F.col("width"))).drop("width")
+    return placed.join(windows, ["recording", "bucket"]).filter(inside).drop("bucket")
 
 
 def triggered(spikes: DataFrame, stimuli: DataFrame, legacy: bool = False, seconds: bool = True, dim_rows: int | None = None) -> DataFrame:
     """Each spike in each stimulus window of its recording, once per trigger interval it falls in.
 
     legacy: intervals are (start, end] instead. seconds: divide by the sampling frequency at the end. Spikes that occur
-    twice come out once. dim_rows: the number of trigger intervals, if known; else they are counted.
+    twice come out once. dim_rows: the number of trigger intervals, if known.
     """
     dim = intervals(stimuli)
     rel = F.col("times") - F.col("begin_fr")
@@ -51,12 +52,13 @@ def triggered(spikes: DataFrame, stimuli: DataFrame, legacy: bool = False, secon
     window = (F.col("times") > F.col("begin_fr")) & (F.col("times") <= F.col("end_fr"))
     low, high = F.col("begin_fr") + F.col("start"), F.col("begin_fr") + F.col("end")
     hit = _meet(spikes.select("recording", "cell_index", "times"), dim, low, high, window & own, dim_rows)
+    hit = hit.dropDuplicates(["recording", "cell_index", "stimulus_index", "times", "k"])
     scale = F.col("sampling_freq") if seconds else F.lit(None)
     unit = (lambda c: c / scale) if seconds else (lambda c: c)
     return hit.select(
         "recording", "cell_index", "stimulus_index", unit(F.col("times")).alias("times"), unit(rel).alias("times_relative"),
         "trigger", "repeat", unit(rel - F.col("onset")).alias("times_triggered"),
-    ).distinct()
+    )
 
 
 def carry(result: DataFrame, cells: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,9 +70,9 @@ def carry(result: DataFrame, cells: DataFrame, columns: list[str]) -> DataFrame:
 def cell_counts(spikes: DataFrame, stimuli: DataFrame) -> DataFrame:
     """Spikes of every cell of a recording in every stimulus window of it, zeros included."""
     dim = stimuli.select("recording", "stimulus_index", "stimulus_name", "begin_fr", "end_fr")
-    grid = spikes.select("recording", "cell_index").distinct().join(F.broadcast(dim), "recording")
+    grid = spikes.select("recording", "cell_index").distinct().join(dim, "recording")
     inside = (F.col("times") > F.col("begin_fr")) & (F.col("times") <= F.col("end_fr"))
-    found = spikes.join(F.broadcast(dim), "recording").filter(inside).groupBy("recording", "cell_index", "stimulus_index").agg(F.count("*").alias("n"))
+    found = _meet(spikes, dim, F.col("begin_fr"), F.col("end_fr"), inside, None).groupBy("recording", "cell_index", "stimulus_index").agg(F.count("*").alias("n"))
     keys = ["recording", "cell_index", "stimulus_index"]
     return grid.join(found, keys, "left").select(*keys, "stimulus_name", F.coalesce("n", F.lit(0)).cast("long").alias("nr_of_spikes"))
 

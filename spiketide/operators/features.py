@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Labels whose mean vectors may be broadcast.
+MOST_LABELS = 10_000
+
+
 def direction_vector(df: DataFrame, angle: str, weight: str, by: list[str]) -> DataFrame:
     """(by..., magnitude, direction): vector sum of weights at their own angles, by the total weight; degrees from 0 to 360."""
     a = F.radians(F.col(angle))
@@ -92,11 +96,37 @@ def ols(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
 
 
 def nearest_centroid(vectors: DataFrame, vector: str, label: str, noise, key: str) -> DataFrame:
-    """(key, label, distance): rows labelled `noise` take the label of the nearest mean of the others; labels are few,
-    and their means are broadcast."""
+    """(key, label, distance): rows labelled `noise` take the label of the nearest mean of the others. Means of at most
+    MOST_LABELS labels are broadcast; more are an error."""
     flat = vectors.filter((F.col(label) != noise) & F.col(label).isNotNull()).select(label, F.posexplode(vector).alias("d", "v"))
     means = flat.groupBy(label, "d").agg(F.avg("v").alias("v")).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("mean"))
+    if means.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     to = F.sqrt(F.aggregate(F.zip_with(F.col(vector), F.col("mean"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     met = vectors.filter(F.col(label) == noise).select(key, vector).join(F.broadcast(means))
     best = F.min(F.struct(to.alias("distance"), F.col(label).alias("label")))
     return met.groupBy(key).agg(best.alias("b")).select(key, F.col("b.label").alias("label"), F.col("b.distance").alias("distance"))
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r, n): Pearson's correlation of every ordered pair of columns, in one pass over the rows; n counts the
+    rows where both are known."""
+    pairs = [(a, b) for a in columns for b in columns if a <= b]
+    sums = df.agg(*[F.struct(F.corr(a, b).alias("r"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    rows = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"p{k}.r").alias("r"), F.col(f"p{k}.n").alias("n")) for k, (a, b) in enumerate(pairs) for x, y in {(a, b), (b, a)}]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def halves_correlation(hist: DataFrame, by: list[str], half: int) -> DataFrame:
+    """(by..., r): correlation of a dense histogram's first `half` bins with the next `half`, such as of ON and OFF
+    responses; null where either is constant."""
+    place = hist.filter(F.col("bin") < 2 * half).withColumns({"at": F.col("bin") % half, "off": F.col("bin") >= half})
+    wide = place.groupBy(*by, "at").agg(F.sum(F.when(~F.col("off"), F.col("count"))).cast("double").alias("x"), F.sum(F.when(F.col("off"), F.col("count"))).cast("double").alias("y"))
+    n, sx, sy = F.count("*"), F.sum("x"), F.sum("y")
+    cov, vx, vy = n * F.sum(F.col("x") * F.col("y")) - sx * sy, n * F.sum(F.col("x") * F.col("x")) - sx * sx, n * F.sum(F.col("y") * F.col("y")) - sy * sy
+    return wide.groupBy(*by).agg(F.try_divide(cov, F.sqrt(vx * vy)).alias("r"))
+
+
+def diagonal_offset(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by..., r, offset): correlation of x and y and their mean distance from the diagonal."""
+    return df.groupBy(*by).agg(F.corr(x, y).alias("r"), (F.avg(F.abs(F.col(x) - F.col(y))) / F.sqrt(F.lit(2.0))).alias("offset"))

@@ -103,3 +103,28 @@ def local_peaks(hist: DataFrame, by: list[str], distance: int) -> DataFrame:
     near = Window.partitionBy(*by).orderBy("bin").rangeBetween(-distance, distance)
     best = F.max(F.struct(F.col("count").alias("c"), (-F.col("bin")).alias("b"))).over(near)
     return tops.withColumn("best", best).filter(F.col("best.b") == -F.col("bin")).select(*by, "bin", "count")
+
+
+def weighted(df: DataFrame, value: str, weight: str, width: float, end: float, by: list[str], density: bool = False) -> DataFrame:
+    """(by..., bin, weight): sums of weights in bins of the given width from 0 below end; with density, as shares of the
+    group's sum by bin width. Bins without rows are absent."""
+    sums = df.filter((F.col(value) >= 0) & (F.col(value) < end)).groupBy(*by, bin_index(F.col(value), 0, width).alias("bin")).agg(F.sum(weight).alias("weight"))
+    if not density:
+        return sums
+    every = sums.groupBy(*by).agg(F.sum("weight").alias("__sum"))
+    return sums.join(every, by).select(*by, "bin", F.try_divide(F.col("weight"), F.col("__sum") * width).alias("weight"))
+
+
+def weighted_ecdf(df: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
+    """(by..., value, ecdf): the running share of the group's weight up to each value."""
+    steps = df.groupBy(*by, value).agg(F.sum(weight).alias("__w"))
+    w = Window.partitionBy(*by).orderBy(value)
+    return steps.select(*by, value, F.try_divide(F.sum("__w").over(w), F.sum("__w").over(Window.partitionBy(*by))).alias("ecdf"))
+
+
+def group_ranges(df: DataFrame, column: str, bins: int, by: list[str]) -> DataFrame:
+    """(by..., bin, count): equal bins between the least and the greatest value of each group; all in bin 0 where these
+    are equal."""
+    ends = df.groupBy(*by).agg(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
+    i = F.coalesce(F.least(F.floor(F.try_divide(F.col(column) - F.col("low"), (F.col("high") - F.col("low")) / bins)), F.lit(bins - 1)), F.lit(0)).cast("long")
+    return df.filter(F.col(column).isNotNull()).join(ends, by).groupBy(*by, i.alias("bin")).agg(F.count("*").alias("count"))

@@ -203,10 +203,10 @@ def clusters(vectors: DataFrame, key: str, vector: str, k: int, seed: int = 1) -
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))
 
 
-def mixture_bic(vectors: DataFrame, vector: str, ks: list[int], dims: int, seed: int = 1) -> DataFrame:
-    """(k, bic) of Gaussian mixtures; the fits are independent models over the same table."""
-    rows = vectors.select(array_to_vector(F.slice(F.col(vector).cast("array<double>"), 1, dims)).alias("features"))
-    n = rows.count()
+def mixture_bic(vectors: DataFrame, vector: str, ks: list[int], seed: int = 1) -> DataFrame:
+    """(k, bic) of Gaussian mixtures over whole vectors; the fits are independent models over the same table."""
+    rows = vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    n, dims = vectors.agg(F.count("*"), F.max(F.size(vector))).first()
     free = lambda k: k - 1 + k * dims + k * dims * (dims + 1) // 2
     found = [(k, float(free(k) * np.log(n) - 2 * GaussianMixture(k=k, seed=seed).fit(rows).summary.logLikelihood)) for k in ks]
     return vectors.sparkSession.createDataFrame(found, "k int, bic double")

@@ -44,3 +44,17 @@ def matches(branches: list[dict]) -> Column:
 
 def where(df: DataFrame, branches: list[dict]) -> DataFrame:
     return df.filter(matches(branches))
+
+
+def chosen(df: DataFrame, columns: dict) -> DataFrame:
+    """Rows that every column's choice allows: "all" or None anything, a pair (low, high) of numbers what lies between, both
+    included, a list its members, another value itself."""
+
+    def one(column: str, choice) -> Column:
+        if choice is None or choice == "all":
+            return F.lit(True)
+        if isinstance(choice, tuple):
+            return F.col(column).between(*choice)
+        return F.col(column).isin(list(choice)) if isinstance(choice, list | set) else F.col(column) == F.lit(choice)
+
+    return df.filter(reduce(lambda a, b: a & b, [one(k, v) for k, v in columns.items()], F.lit(True)))

@@ -66,3 +66,62 @@ def rescaled(df: DataFrame, column: str, by: list[str] | None = None) -> DataFra
     joined = df.join(df.groupBy(*by).agg(*stats), by) if by else df.join(F.broadcast(df.agg(*stats)))
     c = F.col(column)
     return joined.withColumns({"minmax": F.try_divide(c - F.col("lo__"), F.col("hi__") - F.col("lo__")), "z": F.try_divide(c - F.col("mean__"), F.col("sd__"))}).drop("lo__", "hi__", "mean__", "sd__")
+
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, columns: list[str]) -> DataFrame:
+    """Each left row with `columns` of the last right row of its group at or before its time; null before the first. One
+    shuffle: both sides are sorted together, right rows ahead at equal times, and the last right row is carried on. Of
+    right rows of one group and time the one with the greatest values counts."""
+    once = right.groupBy(*by, time).agg(F.max(F.struct(*columns)).alias("__right"))
+    both = left.withColumns({"__right": F.lit(None).cast(once.schema["__right"].dataType), "__left": F.lit(True)}).unionByName(once.withColumn("__left", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy(time, "__left").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("__last", F.last("__right", True).over(w)).filter("__left").select(*left.columns, *[F.col(f"__last.{c}").alias(c) for c in columns])
+
+
+def interpolated(samples: DataFrame, grid: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """(by..., x, y): linear interpolation of each group's samples (by..., x, y) at the grid's places (by..., x); null
+    outside them. Samples of one place count with their mean."""
+    known = samples.groupBy(*by, x).agg(F.avg(y).alias("y")).select(*by, F.col(x).cast("double").alias("x"), "y", F.lit(False).alias("ask"))
+    both = known.unionByName(grid.select(*by, F.col(x).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("ask")))
+    point = F.when(~F.col("ask"), F.struct("x", "y"))
+    w = Window.partitionBy(*by).orderBy("x", "ask")
+    sides = both.withColumns({"a": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing))}).filter("ask")
+    inner = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * F.try_divide(F.col("x") - F.col("a.x"), F.col("b.x") - F.col("a.x"))
+    return sides.select(*by, F.col("x").alias(x), F.when(F.col("a.x") == F.col("x"), F.col("a.y")).otherwise(inner).alias(y))
+
+
+def group_numbers(df: DataFrame, keys: list[str], out: str = "group") -> DataFrame:
+    """Rows with the place of their keys among the sorted distinct keys, from 0. The distinct keys are numbered in ranges
+    sorted on their own; of each range only the size goes to the driver."""
+    spark, distinct = df.sparkSession, df.select(*keys).distinct().repartitionByRange(*keys)
+    placed = distinct.withColumn("__part", F.spark_partition_id())
+    sizes = {r[0]: r[1] for r in placed.groupBy("__part").count().collect()}
+    starts = spark.createDataFrame([(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes] or [(0, 0)], "__part int, __start long")
+    w = Window.partitionBy("__part").orderBy(*keys)
+    numbered = placed.withColumn("__k", F.row_number().over(w) - 1).join(F.broadcast(starts), "__part")
+    numbered = numbered.select(*[F.col(k).alias(f"__{k}") for k in keys], (F.col("__start") + F.col("__k")).alias(out))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(numbered, same).drop(*[f"__{k}" for k in keys])
+
+
+def sampled(df: DataFrame, key: str, share: float, seed: int = 1) -> DataFrame:
+    """About a share of the rows, chosen by the hash of their key: the same rows on every run and at any partitioning."""
+    part = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.filter(part < int(share * 2**32))
+
+
+def replaced(df: DataFrame, column: str, values: dict) -> DataFrame:
+    """The column with some values replaced by others; the rest stay."""
+    c = F.col(column)
+    return df.withColumn(column, reduce(lambda acc, kv: F.when(c == F.lit(kv[0]), F.lit(kv[1])).otherwise(acc), values.items(), c))
+
+
+def bin_width(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by..., width): the least positive gap between sorted values of a group."""
+    return intervals_between(df.select(*by, column).distinct(), column, by).groupBy(*by).agg(F.min("isi").alias("width"))
+
+
+def left_filled(left: DataFrame, right: DataFrame, keys: list[str], fill) -> DataFrame:
+    """Left outer join; columns of the right table are `fill` where it has no row."""
+    added = [c for c in right.columns if c not in keys]
+    return left.join(right, keys, "left").withColumns({c: F.coalesce(F.col(c), F.lit(fill)) for c in added})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,21 @@ def category(repeat: Column, labels: list[str], reps: int) -> Column:
     """The label of a repeat by its place in the cycle; empty after `reps` cycles."""
     n = len(labels)
     return F.when(repeat < n * reps, F.element_at(F.array(*map(F.lit, labels)), (repeat % n + 1).cast("int"))).otherwise("")
+
+
+def remapped(df: DataFrame, column: str, order: list[int]) -> DataFrame:
+    """Triggers renamed: the k-th takes the k-th number of `order`; others become null."""
+    return df.withColumn(column, F.get(F.array(*map(F.lit, order)), F.col(column).cast("int")))
+
+
+def refresh_grid(frames: Column, fs: Column, rate: float = 60.0) -> Column:
+    """The frames at which a display of the given rate refreshes: ceil(k * fs / rate) below `frames`."""
+    count = F.ceil(frames * rate / fs)
+    every = F.transform(F.sequence(F.lit(0).cast("long"), count), lambda k: F.ceil(k * fs / rate))
+    return F.filter(every, lambda x: x < frames)
+
+
+def indices_of(stimuli: DataFrame, names: list[str]) -> DataFrame:
+    """(recording, stimulus_index, stimulus_name) of the stimuli whose name holds one of the names."""
+    hit = reduce(lambda a, b: a | b, [F.contains(F.col("stimulus_name"), F.lit(n)) for n in names], F.lit(False))
+    return stimuli.filter(hit).select("recording", "stimulus_index", "stimulus_name")
