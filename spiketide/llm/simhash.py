@@ -183,10 +183,13 @@ def links(nodes: DataFrame, buckets: DataFrame, radius: int, max_bucket: int = M
 
     nodes (rep, words array<long>), buckets (bucket, rep). What a bucket returns is a spanning forest of its links, so
     no link's effect on the components is lost and no group of copies is expanded into pairs. Buckets of one are
-    dropped after a count; a bucket above max_bucket is dealt out as pairs of blocks, which together see every pair.
+    dropped after a count, and of buckets with the same members, known by count, ends and two 64-bit hashes, one is
+    compared; a bucket above max_bucket is dealt out as pairs of blocks, which together see every pair.
     """
     prepare(nodes.sparkSession)
-    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    marks = [F.min("rep").alias("low"), F.max("rep").alias("high"), *[F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"x{k}") for k in (1, 2)]]
+    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n"), *marks).filter("n > 1")
+    counts = counts.groupBy("n", "low", "high", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     block = max(1, max_bucket // 2)
     shared = buckets.join(counts, "bucket").join(nodes, "rep").withColumn("m", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
