@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import values
@@ -721,6 +721,72 @@ def waveform_minimum(spark, d):
     return z.groupBy("vec_id").agg(F.min("v").alias("least"), F.min_by("k", F.struct("v", "k")).cast("long").alias("at_sample"))
 
 
+@query("SELECT k, round(sin(2 * pi() * (0.5 * k / 60.0 + 0.59375 * (k / 60.0) * (k / 60.0))), 6) AS v, round(0.5 + 1.1875 * (k / 60.0), 6) AS hertz FROM (SELECT CAST(k AS BIGINT) AS k FROM range(480) t(k))")
+def chirp_generator(spark, d):
+    t = F.col("id") / 60.0
+    return spark.range(480).select(F.col("id").alias("k"), F.round(values.chirp_value(t, 8.0, 0.5, 10.0), 6).alias("v"), F.round(0.5 + 1.1875 * t, 6).alias("hertz"))
+
+
+@query("SELECT event_id, CAST(list_position(g, list_min(g)) - 1 AS BIGINT) AS trigger FROM (SELECT event_id, list_transform([0.0, 12.0, 30.0, 75.0], lambda p: abs(value - p::DOUBLE)) AS g FROM events)")
+def nearest_trigger(spark, d):
+    return table(spark, d, "events").select("event_id", values.nearest(F.col("value"), [0.0, 12.0, 30.0, 75.0]).alias("trigger"))
+
+
+@query("WITH s AS (SELECT user_id, list_sort(list(event_id::DOUBLE)) AS s FROM events GROUP BY 1), f AS (SELECT user_id, flatten(list_transform(s, lambda x: [x, x + 0.5])) AS f FROM s), c AS (SELECT user_id, list_append(f, f[-1] + (f[-1] - f[1]) / (len(f) - 1)) AS f FROM f) SELECT user_id, array_to_string(list_transform(f, lambda x: CAST(floor(x * 4.0) AS BIGINT)), ',') AS frames FROM c")
+def interleaved_triggers(spark, d):
+    s = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("event_id").cast("double"))).alias("s"))
+    frames = triggers.interleaved(F.col("s"), F.transform("s", lambda x: x + 0.5), 4.0)
+    return s.select("user_id", F.array_join(frames.cast("array<string>"), ",").alias("frames"))
+
+
+@query(_STIM + " SELECT recording, stimulus_index, stimulus_index * CAST(518400 AS BIGINT) AS begin, stimulus_index * CAST(518400 AS BIGINT) + 432000 AS end, CAST(0 AS BIGINT) AS first, array_to_string(range(43200, 432001, 43200), ',') AS rest, CAST(2 AS INTEGER) AS logic FROM s")
+def stimulus_info(spark, d):
+    return triggers.stimulus_info(fixture.stimuli(spark)).withColumn("rest", F.array_join(F.col("rest").cast("array<string>"), ","))
+
+
+@query("WITH g AS (SELECT user_id, CAST(draw AS INTEGER) AS draw, CAST('0x' || substr(md5('1:' || user_id || ':' || draw), 1, 8) AS BIGINT) % 1000 AS at FROM (SELECT DISTINCT user_id FROM events), range(20) t(draw)), e AS (SELECT user_id, event_id AS next FROM events) SELECT g.user_id, g.draw, g.at, CASE WHEN e.next - g.at <= 400 THEN e.next - g.at END AS latency FROM g ASOF LEFT JOIN e ON g.user_id = e.user_id AND g.at <= e.next")
+def random_trigger_null(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id")
+    return triggers.random_latencies(e, e, ["user_id"], "event_id", 20, 0, 1000, 400)
+
+
+@query("WITH s AS (SELECT s_suppkey, i, [0.0, 2.0, 5.0][i + 1]::DOUBLE AS s, [s_nationkey::DOUBLE, 1.5::DOUBLE, -1.0::DOUBLE][i + 1] AS m, [2.0, 3.0, 4.0][i + 1]::DOUBLE AS l, [0.0::DOUBLE, 2.0 * s_nationkey, 2.0 * s_nationkey + 4.5][i + 1]::DOUBLE AS b FROM supplier, range(3) t(i)) SELECT s_suppkey, CAST(i AS INTEGER) AS segment, CAST(k AS INTEGER) AS point, round(s + l * k / 9, 6) AS x, round(b + m * (l * k / 9), 6) AS y FROM s, range(10) p(k)")
+def line_data(spark, d):
+    arrays = {"s": [0.0, 2.0, 5.0], "m": [F.col("s_nationkey").cast("double"), 1.5, -1.0], "l": [2.0, 3.0, 4.0]}
+    lines = table(spark, d, "supplier").select("s_suppkey", *[F.array(*[v if isinstance(v, Column) else F.lit(v) for v in a]).alias(n) for n, a in arrays.items()])
+    return changepoint.line_data(lines, ["s_suppkey"], "s", "m", "l").withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+@query(W + "SELECT * FROM frames WHERE (recording = 'rec_0' AND stimulus_index = 1) OR (recording = 'rec_2' AND stimulus_index IN (0, 3))")
+def selection_triples(spark, d):
+    return predicates.where(_trig(spark, d, seconds=False), predicates.triples(["rec_0", "rec_2"], [1, [0, 3]], "all"))
+
+
+@query("SELECT user_id, median(value) AS middle, max(event_id) AS last, round(stddev_samp(value), 6) AS spread FROM events GROUP BY 1")
+def pluggable_aggregates(spark, d):
+    measures = {"middle": (F.median, "value"), "last": (F.max, "event_id"), "spread": (lambda c: F.round(F.stddev_samp(c), 6), "value")}
+    return tables.summarised(table(spark, d, "events"), ["user_id"], measures)
+
+
+@query("WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0::DOUBLE AS y FROM lineitem) SELECT l_returnflag, round(corr(x, y), 6) AS r, count(*) AS n FROM r GROUP BY 1")
+def spearman(spark, d):
+    return features.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]).withColumn("r", F.round("r", 6))
+
+
+def _pairs(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("label", F.floor(F.col("vec_id") / 2).cast("long").alias("cell"), (F.col("vec_id") % 2).alias("part"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS k FROM embeddings) SELECT a.vec_id // 2 AS cell, round(sqrt(sum((b.v - a.v) * (b.v - a.v))), 5) AS length FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND a.k = b.k WHERE a.vec_id % 2 = 0 GROUP BY 1")
+def shift_vectors(spark, d):
+    return features.shift_vectors(_pairs(spark, d), "cell", "part", "v", 0, 1).select("cell", F.round("length", 5).alias("length"))
+
+
+@query("WITH e AS (SELECT label, vec_id % 2 AS part, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS k FROM embeddings), m AS (SELECT label, k, avg(v) FILTER (part = 1) - avg(v) FILTER (part = 0) AS g FROM e GROUP BY ALL) SELECT label, round(sqrt(sum(g * g)), 6) AS distance FROM m GROUP BY 1")
+def centroid_distance(spark, d):
+    return features.centroid_distance(_pairs(spark, d), "part", "v", 0, 1, ["label"]).withColumn("distance", F.round("distance", 6))
+
+
 # -- models: rows only
 
 

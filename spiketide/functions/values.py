@@ -82,3 +82,14 @@ def opsin(wavelength: Column, peak: Column) -> Column:
 def chirp_frequency(t: Column, duration: float, f0: float, f1: float) -> Column:
     """Frequency of an exponential chirp from f0 to f1."""
     return f0 * F.exp(t / duration * math.log(f1 / f0))
+
+
+def chirp_value(t: Column, duration: float, f0: float, f1: float) -> Column:
+    """Sine whose frequency runs linearly from f0 to f1 over the duration."""
+    return F.sin(2 * math.pi * (f0 * t + (f1 - f0) / (2 * duration) * t * t))
+
+
+def nearest(x: Column, places: list[float]) -> Column:
+    """Index of the place nearest to x, the first of equally near ones; null for null."""
+    near = F.array_min(F.array(*[F.struct(F.abs(x - p).alias("d"), F.lit(i).cast("long").alias("i")) for i, p in enumerate(places)]))
+    return F.when(x.isNotNull(), near["i"])

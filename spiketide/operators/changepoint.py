@@ -42,3 +42,13 @@ def single_rate(events: DataFrame, by: list[str], time: str, rate: float, epsilo
 def first_spikes(df: DataFrame, by: list[str], time: str, low: float, high: float) -> DataFrame:
     """(by..., first_spike, spikes): the earliest spike in the open window (low, high) of each group."""
     return df.filter((F.col(time) > low) & (F.col(time) < high)).groupBy(*by).agg(F.min(time).alias("first_spike"), F.count("*").alias("spikes"))
+
+
+def line_data(df: DataFrame, by: list[str], starts: str, slopes: str, lengths: str, points: int = 10) -> DataFrame:
+    """(by..., segment, point, x, y): evenly spaced points of joined line segments, each of which begins where the one
+    before it ended; the first at 0. The three columns are arrays of one length."""
+    parts = df.select(*by, F.posexplode(F.arrays_zip(F.col(starts).alias("s"), F.col(slopes).alias("m"), F.col(lengths).alias("l"))).alias("segment", "z"), F.arrays_zip(F.col(slopes).alias("m"), F.col(lengths).alias("l")).alias("every"))
+    base = F.aggregate(F.slice("every", F.lit(1), F.col("segment")), F.lit(0.0), lambda t, z: t + z["m"] * z["l"])
+    steps = parts.select(*by, "segment", "z", base.alias("base"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    along = F.col("z.l") * F.col("point") / (points - 1)
+    return steps.select(*by, "segment", "point", (F.col("z.s") + along).alias("x"), (F.col("base") + F.col("z.m") * along).alias("y"))

@@ -130,3 +130,32 @@ def halves_correlation(hist: DataFrame, by: list[str], half: int) -> DataFrame:
 def diagonal_offset(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by..., r, offset): correlation of x and y and their mean distance from the diagonal."""
     return df.groupBy(*by).agg(F.corr(x, y).alias("r"), (F.avg(F.abs(F.col(x) - F.col(y))) / F.sqrt(F.lit(2.0))).alias("offset"))
+
+
+def ranked(df: DataFrame, column: str, by: list[str], out: str) -> DataFrame:
+    """df with the average rank of a column within its group, from 1; rows without a value go. Windows run over distinct values."""
+    n = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    return df.join(n.select(*by, column, (upto - (F.col("__n") - 1) / 2).alias(out)), [*by, column])
+
+
+def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by..., r, n): rank correlation of the rows where both are known, ties at their average rank. Keys are not null."""
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    both = ranked(ranked(known, x, by, "__x"), y, by, "__y")
+    return both.groupBy(*by).agg(F.corr("__x", "__y").alias("r"), F.count("*").alias("n"))
+
+
+def shift_vectors(df: DataFrame, key: str, condition: str, vector: str, first, second) -> DataFrame:
+    """(key, shift, length): from each key's vector in the first condition to that in the second; keys without both go."""
+    wide = df.groupBy(key).agg(*[F.max(F.when(F.col(condition) == c, F.col(vector))).alias(n) for c, n in ((first, "a"), (second, "b"))])
+    moved = wide.filter("a is not null and b is not null").select(key, F.zip_with("b", "a", lambda b, a: b - a).alias("shift"))
+    return moved.withColumn("length", F.sqrt(F.aggregate("shift", F.lit(0.0), lambda s, v: s + v * v)))
+
+
+def centroid_distance(df: DataFrame, condition: str, vector: str, first, second, by: list[str]) -> DataFrame:
+    """(by..., distance): between the mean vectors of two conditions; null without both. Means are partial sums by component."""
+    flat = df.select(*by, F.col(condition).alias("__of"), F.posexplode(vector).alias("k", "v"))
+    means = flat.groupBy(*by, "k").agg(*[F.avg(F.when(F.col("__of") == c, F.col("v"))).alias(n) for c, n in ((first, "a"), (second, "b"))])
+    gap = F.col("b") - F.col("a")
+    return means.groupBy(*by).agg(F.sqrt(F.sum(gap * gap)).alias("distance"))

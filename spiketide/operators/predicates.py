@@ -58,3 +58,15 @@ def chosen(df: DataFrame, columns: dict) -> DataFrame:
         return F.col(column).isin(list(choice)) if isinstance(choice, list | set) else F.col(column) == F.lit(choice)
 
     return df.filter(reduce(lambda a, b: a & b, [one(k, v) for k, v in columns.items()], F.lit(True)))
+
+
+def triples(recordings, stimuli, cells) -> list[dict]:
+    """Conditions for where() from lists of recordings, stimuli and cells taken in step; a list of one serves all the
+    others, and "all" sets no condition. Lists of other lengths are an error."""
+    lists = {"recording": recordings, "stimulus_index": stimuli, "cell_index": cells}
+    lists = {k: v if isinstance(v, list) else [v] for k, v in lists.items()}
+    most = max(map(len, lists.values()))
+    if any(len(v) not in (1, most) for v in lists.values()):
+        raise ValueError("recordings, stimuli and cells differ in length")
+    at = [{k: v[i % len(v)] for k, v in lists.items()} for i in range(most)]
+    return [{k: v for k, v in row.items() if not (isinstance(v, str) and v == "all")} for row in at]

@@ -125,3 +125,8 @@ def left_filled(left: DataFrame, right: DataFrame, keys: list[str], fill) -> Dat
     """Left outer join; columns of the right table are `fill` where it has no row."""
     added = [c for c in right.columns if c not in keys]
     return left.join(right, keys, "left").withColumns({c: F.coalesce(F.col(c), F.lit(fill)) for c in added})
+
+
+def summarised(df: DataFrame, by: list[str], measures: dict) -> DataFrame:
+    """(by..., names...): name -> (aggregate, column), the aggregate any function from a column to an aggregate of it."""
+    return df.groupBy(*by).agg(*[how(F.col(column)).alias(name) for name, (how, column) in measures.items()])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def trigger_times(stimuli: DataFrame, how: str = "mean") -> DataFrame:
     """(recording, stimulus_index, position, seconds): mean, max or min over repeats of each interval within a repeat,
@@ -87,3 +89,28 @@ def indices_of(stimuli: DataFrame, names: list[str]) -> DataFrame:
     """(recording, stimulus_index, stimulus_name) of the stimuli whose name holds one of the names."""
     hit = reduce(lambda a, b: a | b, [F.contains(F.col("stimulus_name"), F.lit(n)) for n in names], F.lit(False))
     return stimuli.filter(hit).select("recording", "stimulus_index", "stimulus_name")
+
+
+def interleaved(starts: Column, ends: Column, fs: float) -> Column:
+    """Start and end times in turn as frames, then one more after the mean distance of all; null with fewer than one pair."""
+    flat = F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b)))
+    last, first = F.try_element_at(flat, F.lit(-1)), F.try_element_at(flat, F.lit(1))
+    closed = F.concat(flat, F.array(last + F.try_divide(last - first, F.size(flat) - 1)))
+    return F.when(F.size(flat) > 1, F.transform(closed, lambda t: F.floor(t * fs).cast("long")))
+
+
+def stimulus_info(stimuli: DataFrame) -> DataFrame:
+    """(recording, stimulus_index, begin, end, first, rest, logic): bounds, first trigger, further triggers and repeat logic."""
+    rest = F.slice("trigger_fr_relative", 2, F.greatest(F.size("trigger_fr_relative") - 1, F.lit(0)))
+    first = F.get("trigger_fr_relative", F.lit(0))
+    return stimuli.select("recording", "stimulus_index", F.col("begin_fr").alias("begin"), F.col("end_fr").alias("end"), first.alias("first"), rest.alias("rest"), F.col("stimulus_repeat_logic").alias("logic"))
+
+
+def random_latencies(groups: DataFrame, events: DataFrame, by: list[str], time: str, draws: int, low: int, high: int, most: int, seed: int = 1) -> DataFrame:
+    """(by..., draw, at, latency): the null of a latency. Each group gets `draws` whole times in [low, high) from hashes of
+    seed, keys and draw, and the time to its next event (at or after), null where none comes within `most`. One shuffle."""
+    at = low + F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long") % (high - low)
+    asked = groups.select(*by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("back", -at)
+    known = events.select(*by, (-F.col(time)).cast("long").alias("back"), F.col(time).cast("long").alias("next"))
+    met = tables.asof(asked, known, by, "back", ["next"]).withColumn("latency", F.col("next") + F.col("back"))
+    return met.select(*by, "draw", (-F.col("back")).alias("at"), F.when(F.col("latency") <= most, F.col("latency")).alias("latency"))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -178,3 +180,38 @@ def test_density_takes_values_beyond_the_points(spark):
     want = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1)
     found = sorted(map(tuple, features.density(spark.createDataFrame([(float(i),) for i in v], "v double"), "v", 51, 0.0, 100.0).collect()))
     assert np.allclose([d for _, d in found], want / want.max(), atol=0.01)
+
+
+def test_spearman_ties_and_nulls(spark):
+    rows = [("a", 1.0, 2.0), ("a", 1.0, 2.0), ("a", 2.0, None), ("a", 3.0, 9.0), ("a", 4.0, 5.0), ("b", 1.0, 1.0)]
+    found = {r["g"]: r for r in features.spearman(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", ["g"]).collect()}
+    want = np.corrcoef([1.5, 1.5, 3, 4], [1.5, 1.5, 4, 3])[0, 1]
+    assert found["a"]["r"] == pytest.approx(want) and found["a"]["n"] == 4 and found["b"]["n"] == 1
+
+
+def test_random_latencies_repeat_and_stay_in_reach(spark):
+    e = spark.createDataFrame([("a", 10), ("a", 50), ("b", 99)], "g string, t long")
+    one, two = (sorted(map(tuple, triggers.random_latencies(e, e, ["g"], "t", 30, 0, 100, 20).collect())) for _ in range(2))
+    assert one == two and len(one) == 60 and all(0 <= r[2] < 100 for r in one)
+    times = {"a": [10, 50], "b": [99]}
+    for g, _, at, latency in one:
+        later = [t - at for t in times[g] if 0 <= t - at <= 20]
+        assert latency == (min(later) if later else None)
+
+
+def test_interleaved_and_nearest(spark):
+    df = spark.createDataFrame([([0.0, 2.0], [1.0, 4.0], 6.0), ([], [], None)], "s array<double>, e array<double>, x double")
+    rows = df.select(triggers.interleaved(F.col("s"), F.col("e"), 3.0).alias("f"), values.nearest(F.col("x"), [5.0, 7.0, 6.5]).alias("n")).collect()
+    assert rows[0]["f"] == [0, 3, 6, 12, 16] and rows[0]["n"] == 2 and rows[1]["f"] is None and rows[1]["n"] is None
+
+
+def test_triples():
+    assert predicates.triples(["a", "b"], 1, "all") == [{"recording": "a", "stimulus_index": 1}, {"recording": "b", "stimulus_index": 1}]
+    with pytest.raises(ValueError):
+        predicates.triples(["a", "b"], [1, 2, 3], "all")
+
+
+def test_shift_vectors_need_both_conditions(spark):
+    df = spark.createDataFrame([(1, "x", [0.0, 0.0]), (1, "y", [3.0, 4.0]), (2, "x", [1.0, 1.0])], "k long, c string, v array<double>")
+    assert [(r["k"], r["shift"], r["length"]) for r in features.shift_vectors(df, "k", "c", "v", "x", "y").collect()] == [(1, [3.0, 4.0], 5.0)]
+    assert features.centroid_distance(df, "c", "v", "x", "y", []).first()["distance"] == pytest.approx(math.hypot(2.5, 3.5))
