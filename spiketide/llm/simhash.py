@@ -25,6 +25,8 @@ MAX_BUCKET = 65_536
 CHUNK = 1 << 16
 #: Shingles of a component that one task compares at a time, and bits of the map that tells which texts to hash again.
 BLOCK_SHINGLES, BITMAP = 1 << 21, 1 << 23
+#: Bits of the map that tells which rows to look up before one of each group is kept; at most 1/64 as many rows.
+MARKS = 1 << 25
 #: Words of the wide fingerprint; texts sampled for common shingles, and how many of these are put last.
 WIDE, SAMPLED, COMMON = 8, 5_000, 200_000
 
@@ -350,10 +352,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of similar(): that of the least id, null last, then of the least hash of the text. Rows
-    are known by id and text, so rows of one id with different texts stay apart; of equal ones, one."""
-    least = groups.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least"))
-    kept = least.select(F.coalesce("least.id", F.lit(0)).alias("__id"), F.col("least.none").alias("__none"), F.col("least.th").alias("__th")).distinct()
-    own = F.col(id_col).cast("long")
-    keyed = docs.withColumns({"__id": F.coalesce(own, F.lit(0)), "__none": own.isNull(), "__th": _texts(docs, text_col)[0].alias("__th")})
+    are known by id and text, so rows of one id with different texts stay apart; of equal ones, one.
+
+    A bitmap of bounded size marks the rows that go and those with an equal. Rows that it does not mark stay where they
+    are; only the marked ones, falsely or not, are shuffled to be looked up.
+    """
     keys = ["__id", "__none", "__th"]
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    id, th = F.col("id"), F.col("th")
+    rows = cut(groups.select("part", F.coalesce(id, F.lit(0)).alias("__id"), id.isNull().alias("__none"), th.alias("__th")).groupBy("part", *keys).agg(F.count("*").alias("n")))
+    least = rows.groupBy("part").agg(F.min(F.struct("__none", "__id", "__th")).alias("least"))
+    kept = least.select(*[F.col(f"least.{k}").alias(k) for k in keys])
+    unsure = rows.filter("n > 1").select(*keys).unionByName(rows.select(*keys).join(kept, keys, "left_anti"))
+    slot = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+    word, bit = F.floor(slot / F.lit(64)).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    bits = cut(unsure.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits")))
+    own = F.col(id_col).cast("long")
+    keyed = docs.withColumns({"__id": F.coalesce(own, F.lit(0)), "__none": own.isNull(), "__th": _texts(docs, text_col)[0]})
+    marked = keyed.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bits), "__word", "left")
+    known = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
+    looked_up = marked.filter(known).join(kept, keys, "left_semi").dropDuplicates(keys)
+    return marked.filter(~known).unionByName(looked_up).select(*docs.columns)
