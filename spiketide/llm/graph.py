@@ -29,19 +29,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("hub").alias("a"), F.col("least").alias("b"))).filter("a <> b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points at one root and no root points further."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of non-null longs -> (node, component), component the least node reachable.
 
     Nodes without an edge do not appear; self-loops and repeated edges change nothing; no edges give no rows.
     Each round aggregates before it joins, so a hub costs one row per task; rounds grow with the logarithm of the
-    longest path. A round's table is cut into the shared folder.
+    longest path and end as soon as only stars are left. A round's table is cut into the shared folder.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
-        seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen == mark or seen[0] == 0:
-            break
-        mark, edges = seen, cut(_small_star(_large_star(edges)))
+    while not _stars(edges):
+        edges = cut(_small_star(_large_star(edges)))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
