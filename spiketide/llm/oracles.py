@@ -120,4 +120,63 @@ SELECT doc_id, size, source_size, target,
 FROM e
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op5_lines": OP5, "op8_repeats": OP8, "op9_nearest": OP9, "op10_mixing": OP10}
+OP11 = """
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') AS s FROM documents
+),
+w AS (SELECT doc_id, part, x, list_filter(s, lambda y: y <> '') AS w, min(doc_id) OVER (PARTITION BY x) AS first FROM t),
+f AS (
+  SELECT doc_id, part, len(w) < 100 AS fa, 100 * len(list_distinct(w)) < 80 * len(w) AS fb, 100 * len(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * len(x) AS fc,
+    regexp_matches(x, '[#$%&*|]') AS fd, coalesce(doc_id > first, false) AS fe FROM w
+),
+m AS (
+  SELECT part, fa::INT + 2 * fb::INT + 4 * fc::INT + 8 * fd::INT + 16 * fe::INT AS mask, count(*) AS n,
+    count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic
+  FROM f GROUP BY ALL
+),
+l AS (SELECT i, substr('ABCDE', i + 1, 1) AS c FROM range(5) t(i)),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS seq FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+),
+s AS (
+  SELECT filter_order, CAST(k AS INTEGER) AS step, CAST(1 << seq[k] AS INTEGER) AS bit, CAST(coalesce(list_sum(list_transform(seq[1:k - 1], lambda i: 1 << i)), 0) AS INTEGER) AS before
+  FROM o, range(1, 6) r(k)
+),
+g AS (
+  SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
+  FROM m, s GROUP BY ALL
+)
+SELECT * EXCLUDE (bit), CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM g
+"""
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+OP12 = f"""
+WITH i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+p AS (
+  SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, unnest(w) AS term, CAST(len(w) AS BIGINT) AS n FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY r, doc_id, term
+),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM p, c GROUP BY term, c.n),
+s AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * p.n * c.n) // c.l)))) AS BIGINT) AS score
+  FROM p JOIN w USING (term) JOIN i USING (term), c GROUP BY item_id, r
+),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+ORACLES = {"op3_decontaminate": OP3, "op5_lines": OP5, "op8_repeats": OP8, "op9_nearest": OP9, "op10_mixing": OP10, "op11_audit": OP11, "op12_search": OP12, "op13_exact": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, lines, mixing, neighbours, private, quality, secrets, simhash, suffixes
+from . import audit, binary, decontaminate, exact, lexical, lines, mixing, neighbours, private, quality, secrets, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +71,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_decontaminate, op4_private, op5_lines, op6_tokens, op7_secrets, op8_repeats, op9_nearest, op10_mixing)}
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.orders(audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), F.col("place").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return found.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
+
+
+_EVERY = (
+    op1_quality, op2_simhash, op3_decontaminate, op4_private, op5_lines, op6_tokens, op7_secrets, op8_repeats, op9_nearest, op10_mixing, op11_audit, op12_search, op13_exact,
+)
+QUERIES = {f.__name__: f for f in _EVERY}
