@@ -21,6 +21,9 @@ from .shared import cut, join_groups, shared_dir
 KEY_BYTES = 16
 #: Bytes of files to a micro-batch of the first stream.
 BATCH_BYTES = 64 << 30
+#: Rows of the first ledger to a partition of the state, and the most partitions. Each is a RocksDB of its own with
+#: some megabytes of files however few its keys are, and their number stays as it is once there is state.
+STATE_ROWS, STATE_PARTS = 1 << 16, 1 << 13
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PLACE = ["file", "row"]
 
@@ -52,7 +55,7 @@ def follow(spark: SparkSession, path: str, folder: str, id_col: str = "doc_id",
     micro-batch of the first stream."""
     own = spark.newSession()  # settings of the streams only
     for name, value in {
-        "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     }.items():
         own.conf.set(name, value)
@@ -61,6 +64,8 @@ def follow(spark: SparkSession, path: str, folder: str, id_col: str = "doc_id",
     ledger = _placed(docs, id_col, text_col).select("id", sha.alias("sha"), F.substring(sha, 1, key_bytes).alias("key"), *PLACE)
     stream = lambda df, name: df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}-progress")
     stream(ledger, "ledger").format("parquet").start(f"{folder}/ledger").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/ledger").count()
+    own.conf.set("spark.sql.shuffle.partitions", str(min(STATE_PARTS, rows // STATE_ROWS + 1)))
     seen = own.readStream.schema(ledger.schema).parquet(f"{folder}/ledger")
     state = seen.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("id", *PLACE)).alias("best"))
     stream(state, "state").outputMode("update").format("noop").start().awaitTermination()
