@@ -3,8 +3,8 @@
 A data set is a folder of Arrow IPC files. Each file holds the token stream of a range of documents, in ascending id
 order, cut into sequences of equal length; the last sequence is padded. Columns: `ids`, a fixed-size list, and `mask`,
 a fixed-size list of booleans, false on padding. Batches hold a fixed number of sequences, so sequence k lies in batch
-k // BATCH at row k % BATCH, found without reading anything before it; a memory-mapped local file gives the buffers
-without a copy. Each file has an index file beside it: doc_id, start (in the file's stream), n_tokens. Files are known
+k // BATCH at row k % BATCH, found without reading anything before it (see Sequences); a memory-mapped local file gives
+the buffers without a copy. Each file has an index file beside it: doc_id, start (in the file's stream), n_tokens. Files are known
 by the manifest that the writer returns; what a lost attempt left behind is in no manifest.
 """
 
@@ -16,6 +16,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,16 @@ SEQUENCE, BATCH = 1024, 256
 #: Rows of a file on average.
 FILE_ROWS = 8192
 #: Distinct pieces of text in a generation of a Python worker's cache of encodings; the one before is kept beside it.
-CACHE = 250_000
+CACHE = 400_000
 
 
 class _Pieces(dict):
     """piece -> its ids as bytes of unsigned 32-bit integers; `before` stands in front of every piece."""
 
-    #: A word of letters up to U+00FF with at most one mark behind it: the pre-tokenizer makes it one or two tokens' input.
-    WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)")
+    #: A word of letters up to U+00FF, which the pre-tokenizer leaves whole, and a run of ASCII marks behind it but for the
+    #: apostrophe, which it parts from the word and leaves whole as well.
+    WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, tokenizer, before: str):
         super().__init__()
@@ -46,13 +49,21 @@ class _Pieces(dict):
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         other = iter(range(256, 512))
         self.letters = {b: b if b in plain else next(other) for b in range(256)}
+        self.shown = before.translate(self.letters)
+
+    def _ids(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._ids(self.shown + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))
 
     def __missing__(self, piece: str) -> bytes:
         out = self.older.pop(piece, None)
         if out is None:
-            word = self.WORD.fullmatch(piece)
-            if word:
-                out = b"".join([t.id.to_bytes(4, "little") for p in ((self.before + word[1], word[2]) if word[2] else (self.before + word[1],)) for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))])
+            if piece.isalpha() and (piece.isascii() or self.LETTERS.fullmatch(piece)):
+                out = self._word(piece)
+            elif parts := self.WORD.fullmatch(piece):
+                out = self[parts[1]] + self._ids(parts[2])
             else:
                 out = np.array(self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE:
@@ -235,6 +246,29 @@ def _as_batch(rows, digest, last):
     return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), values], ["doc_id", "start", "n_tokens", last])
 
 
+class Sequences:
+    """Random access to the sequences of one file: s[k] is (ids, mask) of the k-th, Arrow arrays of equal length.
+
+    A local file is mapped into memory and its buffers are used as they lie there; of others the batch of the sequence is
+    read. Only the file's footer is read beforehand. Places beyond the end raise IndexError.
+    """
+
+    def __init__(self, uri: str):
+        files, path = pa.fs.FileSystem.from_uri(uri)
+        self.data = pa.ipc.open_file(pa.memory_map(path) if isinstance(files, pa.fs.LocalFileSystem) else files.open_input_file(path))
+        batches = self.data.num_record_batches
+        self.size = (batches - 1) * BATCH + self.data.get_batch(batches - 1).num_rows if batches else 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, k: int) -> tuple[pa.Array, pa.Array]:
+        if not 0 <= k < self.size:
+            raise IndexError(k)
+        batch = self.data.get_batch(k // BATCH)
+        return batch.column(0).slice(k % BATCH, 1).flatten(), batch.column(1).slice(k % BATCH, 1).flatten()
+
+
 def new_folder(spark) -> str:
     """A folder of our own in the shared folder."""
     base = shared_dir(spark)
