@@ -21,8 +21,8 @@ from .shared import cut, join_groups, shared_dir
 KEY_BYTES = 16
 #: Bytes of files to a micro-batch of the first stream.
 BATCH_BYTES = 64 << 30
-#: Rows of the first ledger to a partition of the state, and the most partitions. Each is a RocksDB of its own with
-#: some megabytes of files however few its keys are, and their number stays as it is once there is state.
+#: Rows of the first ledger to a partition of the state, and the most partitions. Each is a RocksDB of its own,
+#: and their number stays as it is once there is state.
 STATE_ROWS, STATE_PARTS = 1 << 16, 1 << 13
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PLACE = ["file", "row"]
@@ -57,6 +57,7 @@ def follow(spark: SparkSession, path: str, folder: str, id_col: str = "doc_id",
     for name, value in {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store sets megabytes of disk aside
     }.items():
         own.conf.set(name, value)
     docs = own.readStream.schema(spark.read.parquet(path).schema).options(**(batch or {"maxBytesPerTrigger": BATCH_BYTES})).parquet(_watched(spark, path))
