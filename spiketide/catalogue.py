@@ -67,10 +67,15 @@ def triggered_legacy_open_closed(spark, d):
     return _trig(spark, d, seconds=False, legacy=True)
 
 
-@query(W + ", c AS (SELECT recording, cell_index, count(*) AS nr FROM spikes GROUP BY ALL HAVING count(*) > 60) SELECT f.*, coalesce(nr, 0) AS nr FROM frames f LEFT JOIN c USING (recording, cell_index)")
+@query(W + """, n AS (SELECT recording, cell_index, stimulus_index, count(*) AS nr FROM hits GROUP BY ALL),
+c AS (SELECT recording, cell_index, stimulus_index, CAST(CASE WHEN nr % 2 = 0 THEN nr END AS BIGINT) AS nr, stimulus_name AS label, nr / 4.0::DOUBLE AS qi FROM n JOIN stim USING (stimulus_index) WHERE (cell_index + stimulus_index) % 3 <> 0)
+SELECT f.*, CASE WHEN c.cell_index IS NULL THEN 0 ELSE nr END AS nr, coalesce(label, '') AS label, coalesce(qi, 0.0) AS qi FROM frames f LEFT JOIN c USING (recording, cell_index, stimulus_index)""")
 def triggered_carry(spark, d):
-    cells = fixture.spikes(spark, d).groupBy("recording", "cell_index").agg(F.count("*").alias("nr")).filter("nr > 60")
-    return align.carry(_trig(spark, d, seconds=False), cells, ["nr"])
+    t = _trig(spark, d, seconds=False)
+    counts = t.groupBy("recording", "cell_index", "stimulus_index").agg(F.count("*").alias("nr")).filter((F.col("cell_index") + F.col("stimulus_index")) % 3 != 0)
+    named = counts.join(fixture.stimuli(spark).select("recording", "stimulus_index", F.col("stimulus_name").alias("label")), ["recording", "stimulus_index"])
+    cells = named.withColumns({"qi": F.col("nr") / 4.0, "nr": F.when(F.col("nr") % 2 == 0, F.col("nr"))})
+    return align.carry(t, cells, ["nr", "label", "qi"])
 
 
 @query(W + "SELECT * FROM frames WHERE (recording = 'rec_1' AND repeat >= 2) OR stimulus_index IN (0, 3)")
@@ -296,15 +301,32 @@ def quality_ratio(spark, d):
     return histograms.variance_ratio(_binary(spark, d), CELL).withColumn("qi", F.round("qi", 6))
 
 
-@query()
+_TAPS = ", ".join(repr(t) for t in histograms.kernel(fs=200.0).tolist())
+_FINE = ", h AS (SELECT DISTINCT recording, cell_index, repeat, CAST(floor(times_triggered / 0.25) AS BIGINT) AS index FROM trig WHERE times_triggered < 24 AND repeat < 5), u AS (SELECT DISTINCT recording, cell_index FROM trig), g AS (SELECT recording, cell_index, r AS repeat, i AS index FROM u, range(5) a(r), range(96) b(i)), bin AS (SELECT g.*, CAST(h.index IS NOT NULL AS DOUBLE) AS value FROM g LEFT JOIN h USING (recording, cell_index, repeat, index))"
+
+
+@query(W + _FINE + f", k AS (SELECT unnest([{_TAPS}]::DOUBLE[]) AS w, unnest(range(8)) AS j), c AS (SELECT recording, cell_index, repeat, index - 7 AS index, sum(value * w) AS value FROM (SELECT recording, cell_index, repeat, index + j AS index, value, w FROM bin, k) GROUP BY ALL HAVING count(*) = 8), a AS (SELECT recording, cell_index, index, avg(value) AS m, var_pop(value) AS v FROM c GROUP BY ALL) SELECT recording, cell_index, round(var_pop(m) / nullif(avg(v), 0), 6) AS qi FROM a GROUP BY ALL")
 def quality_index(spark, d):
     signal = histograms.binary(_trig(spark, d), "times_triggered", 0.25, 24.0, 5, CELL)
-    return histograms.quality_index(signal, CELL)
+    return histograms.quality_index(signal, CELL, fs=200.0).withColumn("qi", F.round("qi", 6))
+
+
+_HIST = W + ", g AS (SELECT DISTINCT recording, i AS bin FROM trig, range(95) t(i)), c AS (SELECT recording, least(CAST(floor(times_triggered / 0.25) AS BIGINT), 94) AS bin, count(*) AS n FROM trig WHERE times_triggered <= 23.75 GROUP BY ALL), h AS (SELECT recording, bin, coalesce(n, 0) AS count FROM g LEFT JOIN c USING (recording, bin))"
+_PEAKS = _HIST.replace("WITH ", "WITH RECURSIVE ", 1) + """, t0 AS (SELECT *, CAST(count <> lag(count, 1, count) OVER o AS INTEGER) AS turn, stddev_pop(count) OVER (PARTITION BY recording) AS sd FROM h WINDOW o AS (PARTITION BY recording ORDER BY bin)),
+t1 AS (SELECT *, sum(turn) OVER (PARTITION BY recording ORDER BY bin) AS run FROM t0), t2 AS (SELECT recording, run, min(bin) AS a, max(bin) AS b, any_value(count) AS count, any_value(sd) AS sd FROM t1 GROUP BY recording, run),
+t3 AS (SELECT *, lag(count) OVER o AS before, lead(count) OVER o AS after FROM t2 WINDOW o AS (PARTITION BY recording ORDER BY run)),
+tops AS (SELECT recording, (a + b) // 2 AS bin, count, row_number() OVER (PARTITION BY recording ORDER BY count DESC, a) AS r FROM t3 WHERE count > before AND count > after AND count >= sd),
+kept AS (SELECT DISTINCT recording, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS bins FROM h UNION ALL SELECT kept.recording, tops.r, CASE WHEN len(list_filter(bins, lambda x: abs(x - tops.bin) < 5)) > 0 THEN bins ELSE list_append(bins, tops.bin) END FROM kept JOIN tops ON tops.recording = kept.recording AND tops.r = kept.r + 1),
+peaks AS (SELECT recording, tops.bin, tops.count FROM (SELECT recording, arg_max(bins, r) AS bins FROM kept GROUP BY 1) JOIN tops USING (recording) WHERE list_contains(bins, tops.bin))"""
+
+
+def _peaks(spark, d):
+    return histograms.local_peaks(histograms.psth(_trig(spark, d), "times_triggered", 0.25, 24.0, ["recording"]), ["recording"], 5)
 
 
-@query(W + ", g AS (SELECT DISTINCT recording, i AS bin FROM trig, range(47) t(i)), c AS (SELECT recording, least(CAST(floor(times_triggered / 0.5) AS BIGINT), 46) AS bin, count(*) AS n FROM trig WHERE times_triggered <= 23.5 GROUP BY ALL), h AS (SELECT recording, bin, coalesce(n, 0) AS count FROM g LEFT JOIN c USING (recording, bin)), s AS (SELECT *, lag(count, 1, -1) OVER o AS before, lead(count, 1, -1) OVER o AS after, stddev_pop(count) OVER (PARTITION BY recording) AS sd FROM h WINDOW o AS (PARTITION BY recording ORDER BY bin)), t AS (SELECT * FROM s WHERE count > before AND count >= after AND count >= sd) SELECT recording, bin, count FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.recording = t.recording AND abs(u.bin - t.bin) <= 5 AND (u.count > t.count OR (u.count = t.count AND u.bin < t.bin)))")
+@query(_PEAKS + " SELECT * FROM peaks")
 def peaks_local_max(spark, d):
-    return histograms.local_peaks(histograms.psth(_trig(spark, d), "times_triggered", 0.5, 24.0, ["recording"]), ["recording"], 5)
+    return _peaks(spark, d)
 
 
 # -- intervals and windows
@@ -380,39 +402,56 @@ def every_second(spark, d):
 
 # -- triggers
 
-_STIM = "WITH s AS (SELECT 'rec_' || r AS recording, CAST(i AS INTEGER) AS stimulus_index FROM range(3) a(r), range(5) b(i))"
+_STIM = "WITH " + SPIKES + """,
+slots AS (SELECT recording, CAST((times - 1) // 518400 AS INTEGER) AS stimulus_index, ((times - 1) % 518400) // 43200 AS slot, min(times) AS t FROM spikes WHERE times > 0 AND (times - 1) // 518400 < 5 AND (times - 1) % 518400 < 432000 GROUP BY ALL),
+every AS (SELECT recording, stimulus_index, list(t ORDER BY t) AS t FROM slots GROUP BY ALL HAVING count(*) > 1),
+s AS (SELECT recording, stimulus_index, ['fff', 'chirp', 'csteps', 'fff', 'chirp'][stimulus_index + 1] AS stimulus_name, t[1] AS begin_fr, t[-1] AS end_fr, list_transform(t, lambda x: x - t[1]) AS tr, list_transform(range(1, len(t)), lambda i: t[i + 1] - t[i]) AS ti, stimulus_index % 3 + 1 AS logic, stimulus_index % 2 + 1 AS sub FROM every)"""
+_TRIGGER_TIMES = _STIM + """, e AS (SELECT recording, stimulus_index, logic, sub, len(ti) // logic AS reps, unnest(ti) AS frames, unnest(range(len(ti))) AS k FROM s),
+per AS (SELECT recording, stimulus_index, sub, k % logic AS place, avg(frames) AS f1, max(frames) AS f2, min(frames) AS f3 FROM e WHERE k < reps * logic GROUP BY ALL),
+tt AS (SELECT recording, stimulus_index, CAST(place * sub + p AS BIGINT) AS position, f1 / sub / 3600.0::DOUBLE AS mean_s, f2 / sub / 3600.0::DOUBLE AS max_s, f3 / sub / 3600.0::DOUBLE AS min_s FROM per, range(2) t(p) WHERE p < sub)"""
 
 
-@query(_STIM + " SELECT recording, stimulus_index, p AS position, 12.0::DOUBLE AS mean_s, 12.0::DOUBLE AS max_s, 12.0::DOUBLE AS min_s FROM s, range(2) t(p)")
+@query(_TRIGGER_TIMES + " SELECT recording, stimulus_index, position, round(mean_s, 8) AS mean_s, round(max_s, 8) AS max_s, round(min_s, 8) AS min_s FROM tt")
 def trigger_times(spark, d):
-    each = [triggers.trigger_times(fixture.stimuli(spark), how).withColumnRenamed("seconds", f"{how}_s") for how in ("mean", "max", "min")]
+    each = [triggers.trigger_times(fixture.derived(spark, d), how).select("recording", "stimulus_index", "position", F.round("seconds", 8).alias(f"{how}_s")) for how in ("mean", "max", "min")]
     return tables.align_concat(each, ["recording", "stimulus_index", "position"])
 
 
-@query(_STIM + " SELECT recording, stimulus_index, 24.0::DOUBLE AS duration FROM s")
+@query(_TRIGGER_TIMES + " SELECT recording, stimulus_index, round(sum(mean_s), 8) AS duration FROM tt GROUP BY ALL")
 def stim_duration(spark, d):
-    return triggers.stimulus_duration(fixture.stimuli(spark))
+    return triggers.stimulus_duration(fixture.derived(spark, d)).withColumn("duration", F.round("duration", 8))
 
 
-@query(_STIM + " SELECT recording, stimulus_index, k, (k + 1) * 43200 AS trigger_end FROM s, range(10) t(k)")
+@query(_STIM + ", e AS (SELECT recording, stimulus_index, logic, unnest(ti) AS frames, unnest(tr[1:len(ti)]) AS onset, unnest(range(len(ti))) AS k FROM s) SELECT recording, stimulus_index, k, onset + min(frames) OVER (PARTITION BY recording, stimulus_index, k % logic) AS trigger_end FROM e")
 def find_ends(spark, d):
-    return triggers.find_ends(fixture.stimuli(spark))
+    return triggers.find_ends(fixture.derived(spark, d))
 
 
-@query(_STIM + " SELECT recording, stimulus_index, CAST(5 AS BIGINT) AS nr_repeats FROM s")
+@query(_STIM + " SELECT recording, stimulus_index, CAST((len(tr) - 1) // logic AS BIGINT) AS nr_repeats FROM s")
 def nr_repeats(spark, d):
-    return triggers.repeats(fixture.stimuli(spark)).select("recording", "stimulus_index", "nr_repeats")
+    return triggers.repeats(fixture.derived(spark, d)).select("recording", "stimulus_index", "nr_repeats")
 
 
-@query(_STIM + " SELECT recording, stimulus_index, k, k * 21600 AS frame FROM s, range(21) t(k)")
+@query(_STIM + ", e AS (SELECT recording, stimulus_index, flatten(list_transform(range(1, len(tr) + 1), lambda i: CASE WHEN i = len(tr) THEN [tr[i]] ELSE [tr[i], (tr[i] + tr[i + 1]) // 2] END)) AS f FROM s) SELECT recording, stimulus_index, unnest(range(len(f))) AS k, unnest(f) AS frame FROM e")
 def split_triggers(spark, d):
-    s = fixture.stimuli(spark).select("recording", "stimulus_index", F.posexplode(triggers.split_triggers(F.col("trigger_fr_relative"), 1)).alias("k", "frame"))
+    s = fixture.derived(spark, d).select("recording", "stimulus_index", F.posexplode(triggers.split_triggers(F.col("trigger_fr_relative"), 1)).alias("k", "frame"))
     return s.withColumn("k", F.col("k").cast("long"))
 
 
-@query(_STIM + " SELECT recording, stimulus_index, k * 7200 AS frame FROM s, range(60) t(k)")
+@query(_STIM + " SELECT recording, stimulus_index, unnest(range(0, end_fr - begin_fr, 7200)) AS frame FROM s")
 def add_trigger_interval(spark, d):
-    return fixture.stimuli(spark).select("recording", "stimulus_index", F.explode(triggers.regular_triggers(F.col("end_fr") - F.col("begin_fr"), F.lit(7200))).alias("frame"))
+    return fixture.derived(spark, d).select("recording", "stimulus_index", F.explode(triggers.regular_triggers(F.col("end_fr") - F.col("begin_fr"), F.lit(7200))).alias("frame"))
+
+
+@query(_PEAKS + """, slots AS (SELECT recording, ((times - 1) % 518400) // 43200 AS slot, min(times) AS t FROM spikes WHERE times > 0 AND times <= 432000 GROUP BY ALL),
+iv AS (SELECT recording, row_number() OVER (PARTITION BY recording ORDER BY t) - 1 AS position, (lead(t) OVER (PARTITION BY recording ORDER BY t) - t) / 43200.0::DOUBLE AS seconds FROM slots),
+st AS (SELECT recording, position, round_even(coalesce(sum(seconds) OVER (PARTITION BY recording ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0) AS start FROM iv WHERE seconds IS NOT NULL),
+own AS (SELECT p.recording, p.bin, any_value(count) AS count, arg_min(position, (abs(p.bin * 0.25 - start), position)) AS position FROM peaks p JOIN st USING (recording) GROUP BY p.recording, p.bin)
+SELECT st.recording, CAST(st.position AS BIGINT) AS position, coalesce(height, 0) AS height FROM st LEFT JOIN (SELECT recording, position, arg_max(count, bin) AS height FROM own GROUP BY ALL) USING (recording, position)""")
+def response_peaks(spark, d):
+    first = fixture.derived(spark, d).filter("stimulus_index = 0")
+    onsets = first.select("recording", F.posexplode(F.transform("trigger_int", lambda x: x / F.lit(43_200.0))).alias("position", "seconds")).withColumn("position", F.col("position").cast("long"))
+    return histograms.peak_heights(_peaks(spark, d), onsets, ["recording"], 0.25)
 
 
 @query(W + "SELECT repeat, CASE WHEN repeat < 4 THEN ['dark', 'light'][repeat % 2 + 1] ELSE '' END AS label, count(*) AS n FROM frames GROUP BY ALL")
@@ -516,10 +555,10 @@ def epoch_features(spark, d):
     return features.epochs(hist, ["recording"], 7).withColumn("transience", F.round("transience", 6))
 
 
-@query("WITH p AS (SELECT unnest([355, 420, 480, 570]) AS peak), g AS (SELECT peak, l AS wavelength, peak / l::DOUBLE AS x, 0.8795 + 0.0459 * exp(-((peak - 300) ** 2) / 11940) AS a FROM p, range(300, 700) t(l)) SELECT CAST(peak AS INTEGER) AS peak, CAST(wavelength AS BIGINT) AS wavelength, round(1 / (exp(69.7 * (a - x)) + exp(28 * (0.922 - x)) + exp(-14.9 * (1.104 - x)) + 0.674) + 0.26 * exp(-(((wavelength - (189 + 0.315 * peak)) / (-40.5 + 0.195 * peak)) ** 2)), 6) AS absorption FROM g")
+@query("WITH g AS (SELECT p_partkey, 350 + 5 * p_size AS peak, 300 + p_partkey % 400 AS wavelength FROM part), x AS (SELECT *, peak / wavelength::DOUBLE AS x, 0.8795 + 0.0459 * exp(-((peak - 300) ** 2) / 11940) AS a FROM g) SELECT p_partkey, CAST(peak AS INTEGER) AS peak, CAST(wavelength AS BIGINT) AS wavelength, round(1 / (exp(69.7 * (a - x)) + exp(28 * (0.922 - x)) + exp(-14.9 * (1.104 - x)) + 0.674) + 0.26 * exp(-(((wavelength - (189 + 0.315 * peak)) / (-40.5 + 0.195 * peak)) ** 2)), 6) AS absorption FROM x")
 def opsin_template(spark, d):
-    peaks = F.explode(F.array(*map(F.lit, (355, 420, 480, 570)))).alias("peak")
-    return spark.range(300, 700, numPartitions=1).select(F.col("id").alias("wavelength"), peaks).select("peak", "wavelength", F.round(values.opsin(F.col("wavelength"), F.col("peak")), 6).alias("absorption"))
+    p = table(spark, d, "part").select("p_partkey", (350 + 5 * F.col("p_size")).cast("int").alias("peak"), (300 + F.col("p_partkey") % 400).cast("long").alias("wavelength"))
+    return p.withColumn("absorption", F.round(values.opsin(F.col("wavelength"), F.col("peak")), 6))
 
 
 @query(W + ", c AS (SELECT recording, trigger, count(*) AS n FROM trig WHERE times_triggered % 12 < 6 GROUP BY ALL) SELECT recording, trigger, round(n / max(n) OVER (PARTITION BY recording)::DOUBLE, 6) AS tuning FROM c")
@@ -538,17 +577,17 @@ def corr_matrix(spark, d):
     return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("qp"), F.round(F.corr("l_quantity", "l_discount"), 6).alias("qd"), F.round(F.corr("l_extendedprice", "l_tax"), 6).alias("pt"))
 
 
-@query("WITH n AS (SELECT count(*) AS n, stddev(value) AS sd FROM events), a AS (SELECT CAST(round(value / (100.0 / 50)) AS BIGINT) AS pos, count(*) AS c FROM events GROUP BY 1), k AS (SELECT i, sum(c * exp(-0.5 * ((i - pos) / (sd * power(n, -0.2) / 2.0)) ** 2)) AS d FROM a, n, range(51) t(i) WHERE pos BETWEEN 0 AND 50 GROUP BY 1) SELECT i * 2.0 AS x, round(d / max(d) OVER (), 6) AS density FROM k")
+@query("WITH n AS (SELECT count(*) AS n, stddev(value) AS sd FROM events), a AS (SELECT CAST(round(value / (100.0 / 50)) AS BIGINT) AS pos, count(*) AS c FROM events GROUP BY 1), k AS (SELECT i, sum(c * exp(-0.5 * ((i - pos) / (sd * power(n, -0.2) / 2.0)) ** 2)) AS d FROM a, n, range(51) t(i) GROUP BY 1) SELECT i * 2.0 AS x, round(d / max(d) OVER (), 6) AS density FROM k")
 def kde_scott(spark, d):
-    return features.density(table(spark, d, "events"), "value", 51, 0.0, 100.0, inside=True).select(F.col("x"), F.round("density", 6).alias("density"))
+    return features.density(table(spark, d, "events"), "value", 51, 0.0, 100.0).select(F.col("x"), F.round("density", 6).alias("density"))
 
 
 # -- values, lists and reshaping
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, round(0.5 * exp(i / 10.0 / 8.0 * ln(8.0 / 0.5)), 8) AS frequency FROM range(81) t(i)")
+@query("SELECT event_id, round(0.5 * exp((event_id % 81) / 10.0::DOUBLE / 8.0 * ln(8.0 / 0.5)), 8) AS frequency FROM events")
 def chirp_signal(spark, d):
-    return spark.range(81, numPartitions=1).select(F.col("id").alias("i"), F.round(values.chirp_frequency(F.col("id") / 10.0, 8.0, 0.5, 8.0), 8).alias("frequency"))
+    return table(spark, d, "events").select("event_id", F.round(values.chirp_frequency(F.col("event_id") % 81 / 10.0, 8.0, 0.5, 8.0), 8).alias("frequency"))
 
 
 @query("SELECT p_partkey, TRY_CAST(nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS INTEGER) AS number FROM part")
@@ -623,9 +662,9 @@ def column_filters(spark, d):
     return predicates.chosen(o, {"o_totalprice": (50_000, 150_000), "o_orderstatus": ["F", "P"], "o_orderkey": "all"})
 
 
-@query(_STIM + " SELECT recording, stimulus_index, ['fff', 'chirp', 'csteps', 'fff', 'chirp'][stimulus_index + 1] AS stimulus_name FROM s WHERE stimulus_index IN (0, 1, 3, 4)")
+@query(_STIM + " SELECT recording, stimulus_index, stimulus_name FROM s WHERE stimulus_name IN ('fff', 'chirp')")
 def stimulus_names(spark, d):
-    return triggers.indices_of(fixture.stimuli(spark), ["fff", "chirp"])
+    return triggers.indices_of(fixture.derived(spark, d), ["fff", "chirp"])
 
 
 @query("WITH r AS (SELECT user_id, event_id AS t, value AS v FROM events WHERE event_type = 'click') SELECT e.event_id, e.user_id, r.v FROM (SELECT * FROM events WHERE event_type <> 'click') e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.event_id >= r.t")
@@ -710,9 +749,9 @@ def trigger_remap(spark, d):
     return triggers.remapped(_trig(spark, d, seconds=False).select("recording", "cell_index", "times", "trigger"), "trigger", [1, 0])
 
 
-@query("SELECT CAST(ceil(k * 20000 / 60.0) AS BIGINT) AS frame FROM range(400) t(k) WHERE ceil(k * 20000 / 60.0) < 100000")
+@query(_STIM + ", g AS (SELECT recording, stimulus_index, end_fr - begin_fr AS n FROM s), f AS (SELECT recording, stimulus_index, n, CAST(ceil(unnest(range(CAST(ceil(n * 0.17::DOUBLE / 3600.0) AS BIGINT) + 1)) * 3600.0::DOUBLE / 0.17::DOUBLE) AS BIGINT) AS frame FROM g) SELECT recording, stimulus_index, frame FROM f WHERE frame < n")
 def refresh_grid(spark, d):
-    return spark.range(1).select(F.explode(triggers.refresh_grid(F.lit(100_000), F.lit(20_000.0))).alias("frame"))
+    return fixture.derived(spark, d).select("recording", "stimulus_index", F.explode(triggers.refresh_grid(F.col("end_fr") - F.col("begin_fr"), F.col("sampling_freq"), 0.17)).alias("frame"))
 
 
 @query("SELECT vec_id, min(v) AS least, arg_min(k, v) AS at_sample FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS k FROM embeddings) GROUP BY 1")
@@ -721,10 +760,10 @@ def waveform_minimum(spark, d):
     return z.groupBy("vec_id").agg(F.min("v").alias("least"), F.min_by("k", F.struct("v", "k")).cast("long").alias("at_sample"))
 
 
-@query("SELECT k, round(sin(2 * pi() * (0.5 * k / 60.0 + 0.59375 * (k / 60.0) * (k / 60.0))), 6) AS v, round(0.5 + 1.1875 * (k / 60.0), 6) AS hertz FROM (SELECT CAST(k AS BIGINT) AS k FROM range(480) t(k))")
+@query("SELECT event_id, round(sin(2 * pi() * (0.5 * k / 60.0 + 0.59375 * (k / 60.0) * (k / 60.0))), 6) AS v, round(0.5 + 1.1875 * (k / 60.0), 6) AS hertz FROM (SELECT event_id, (event_id % 480)::DOUBLE AS k FROM events)")
 def chirp_generator(spark, d):
-    t = F.col("id") / 60.0
-    return spark.range(480).select(F.col("id").alias("k"), F.round(values.chirp_value(t, 8.0, 0.5, 10.0), 6).alias("v"), F.round(0.5 + 1.1875 * t, 6).alias("hertz"))
+    t = F.col("event_id") % 480 / 60.0
+    return table(spark, d, "events").select("event_id", F.round(values.chirp_value(t, 8.0, 0.5, 10.0), 6).alias("v"), F.round(0.5 + 1.1875 * t, 6).alias("hertz"))
 
 
 @query("SELECT event_id, CAST(list_position(g, list_min(g)) - 1 AS BIGINT) AS trigger FROM (SELECT event_id, list_transform([0.0, 12.0, 30.0, 75.0], lambda p: abs(value - p::DOUBLE)) AS g FROM events)")
@@ -739,9 +778,9 @@ def interleaved_triggers(spark, d):
     return s.select("user_id", F.array_join(frames.cast("array<string>"), ",").alias("frames"))
 
 
-@query(_STIM + " SELECT recording, stimulus_index, stimulus_index * CAST(518400 AS BIGINT) AS begin, stimulus_index * CAST(518400 AS BIGINT) + 432000 AS end, CAST(0 AS BIGINT) AS first, array_to_string(range(43200, 432001, 43200), ',') AS rest, CAST(2 AS INTEGER) AS logic FROM s")
+@query(_STIM + " SELECT recording, stimulus_index, begin_fr AS begin, end_fr AS end, tr[1] AS first, array_to_string(tr[2:], ',') AS rest, logic FROM s")
 def stimulus_info(spark, d):
-    return triggers.stimulus_info(fixture.stimuli(spark)).withColumn("rest", F.array_join(F.col("rest").cast("array<string>"), ","))
+    return triggers.stimulus_info(fixture.derived(spark, d)).withColumn("rest", F.array_join(F.col("rest").cast("array<string>"), ","))
 
 
 @query("WITH g AS (SELECT user_id, CAST(draw AS INTEGER) AS draw, CAST('0x' || substr(md5('1:' || user_id || ':' || draw), 1, 8) AS BIGINT) % 1000 AS at FROM (SELECT DISTINCT user_id FROM events), range(20) t(draw)), e AS (SELECT user_id, event_id AS next FROM events) SELECT g.user_id, g.draw, g.at, CASE WHEN e.next - g.at <= 400 THEN e.next - g.at END AS latency FROM g ASOF LEFT JOIN e ON g.user_id = e.user_id AND g.at <= e.next")
@@ -790,37 +829,12 @@ def centroid_distance(spark, d):
 # -- models: rows only
 
 
-def _curve(spark, d):
-    return histograms.cumulative(histograms.psth(_trig(spark, d), "times_triggered", 0.5, 24.0, CELL), CELL)
-
-
-@query()
-def piecewise_fit(spark, d):
-    return models.piecewise(_curve(spark, d), "bin", "cumulative", CELL)
-
-
-@query()
-def two_segment_fit(spark, d):
-    return models.two_segments(_curve(spark, d), "bin", "cumulative", CELL)
-
-
 @query()
 def classify_relationship(spark, d):
     rows = table(spark, d, "orders").select("o_custkey", F.dayofyear("o_orderdate").alias("x"), F.col("o_totalprice").alias("y"), F.lit(1.0).alias("w"))
     return models.relationship(rows, "x", "y", "w", ["o_custkey"])
 
 
-@query()
-def lasso(spark, d):
-    rows = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 63).alias("x"), F.get("embedding", F.lit(63)).alias("y"))
-    return models.lasso(rows, "x", "y", ["label"])
-
-
-@query()
-def bootstrap_ci(spark, d):
-    return models.bootstrap(table(spark, d, "events"), "value", ["user_id"], 200)
-
-
 @query()
 def poisson_train(spark, d):
     segments = table(spark, d, "events").select("user_id", F.col("event_id").alias("start"), (F.col("event_id") + 10).alias("end"), F.lit(0.5).alias("rate"))
@@ -851,3 +865,6 @@ def kmeans(spark, d):
 @query()
 def gmm_bic(spark, d):
     return models.mixture_bic(models.components(table(spark, d, "embeddings"), "vec_id", "embedding", 4), "scores", [2, 3])
+
+
+from . import catalogue_fits, catalogue_sessions  # noqa: E402, F401  register more queries

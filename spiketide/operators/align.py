@@ -61,10 +61,26 @@ def triggered(spikes: DataFrame, stimuli: DataFrame, legacy: bool = False, secon
     )
 
 
+#: What carry() gives spikes without a row in the cell table, by the type of the column; other types: null. Fixed values.
+MISSING = {"tinyint": 0, "smallint": 0, "int": 0, "bigint": 0, "float": 0.0, "double": 0.0, "boolean": False, "string": ""}
+
+
 def carry(result: DataFrame, cells: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns of the cell table beside each spike; 0 where the cell has no row."""
-    some = cells.select("recording", "cell_index", *columns).dropDuplicates(["recording", "cell_index"])
-    return result.join(some, ["recording", "cell_index"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in columns})
+    """Columns of the cell table beside each spike, joined by recording, cell and, where the cell table has it, stimulus.
+
+    Nulls of the cell table stay null; a spike without a row in it gets 0, false or an empty text by the column's type. Of
+    several rows of a key the greatest counts, its columns together. Rows whose keys are null match none.
+    """
+    keys = [k for k in ("recording", "cell_index", "stimulus_index") if k in cells.columns and k in result.columns]
+    some = cells.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("__carried"))
+    joined = result.drop(*columns).join(some, keys, "left")
+
+    def value(c: str):
+        kind = cells.schema[c].dataType.simpleString()
+        none = F.lit(MISSING.get("double" if kind.startswith("decimal") else kind)).cast(cells.schema[c].dataType)
+        return F.when(F.col("__carried").isNull(), none).otherwise(F.col(f"__carried.{c}"))
+
+    return joined.withColumns({c: value(c) for c in columns}).drop("__carried")
 
 
 def cell_counts(spikes: DataFrame, stimuli: DataFrame) -> DataFrame:

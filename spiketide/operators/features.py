@@ -67,6 +67,12 @@ def detrended(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
     return df.join(line, by).withColumn("residual", F.col(y) - (F.col("slope__") * F.col(x) + F.col("intercept__"))).drop("slope__", "intercept__")
 
 
+def detrended_in_parts(df: DataFrame, y: str, x: str, by: list[str], breaks: list[float]) -> DataFrame:
+    """Residual of a line fitted to each group and each part of it between the breaks; a break begins the part after it."""
+    part = sum(((F.col(x) >= b).cast("int") for b in breaks), F.lit(0))
+    return detrended(df.withColumn("__part", part), y, x, [*by, "__part"]).drop("__part")
+
+
 def autocorrelation(hist: DataFrame, by: list[str], lags: int) -> DataFrame:
     """(by..., lag, product): sums of count(bin) * count(bin + lag). Each bin is copied to `lags` places and meets the
     bin that lies there, so the work grows with bins and lags, not with pairs of bins."""
@@ -159,3 +165,12 @@ def centroid_distance(df: DataFrame, condition: str, vector: str, first, second,
     means = flat.groupBy(*by, "k").agg(*[F.avg(F.when(F.col("__of") == c, F.col("v"))).alias(n) for c, n in ((first, "a"), (second, "b"))])
     gap = F.col("b") - F.col("a")
     return means.groupBy(*by).agg(F.sqrt(F.sum(gap * gap)).alias("distance"))
+
+
+def tuning(df: DataFrame, by: list[str], position: str, value: str) -> DataFrame:
+    """(by..., position, phase, tuning): the mean value at each position (such as a count in a window or the height of a peak) by the
+    greatest mean of its group; even positions are `on`, odd ones `off`. Null where that is 0."""
+    means = df.groupBy(*by, position).agg(F.avg(value).alias("__mean"))
+    top = F.max("__mean").over(Window.partitionBy(*by)) if by else F.max("__mean").over(Window.partitionBy(F.lit(0)))
+    phase = F.when(F.col(position) % 2 == 0, "on").otherwise("off")
+    return means.select(*by, position, phase.alias("phase"), F.try_divide(F.col("__mean"), top).alias("tuning"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +39,13 @@ def cumulative(hist: DataFrame, by: list[str]) -> DataFrame:
     return hist.withColumn("cumulative", F.sum("count").over(w))
 
 
+def stacked(hist: DataFrame, by: list[str], value: str = "count") -> DataFrame:
+    """(by..., values): the bins of each group as one array in their order, a row of the matrix of all groups. Histograms are dense, so all
+    rows are of one length; of groups that lack a bin the array is shorter."""
+    rows = hist.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", value))).alias("s"))
+    return rows.select(*by, F.transform("s", lambda x: x[value]).alias("values"))
+
+
 def autorange(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal bins between the least and the greatest value; one pass for the range, one for the counts."""
     ends = df.agg(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
@@ -57,6 +63,12 @@ def binary(df: DataFrame, time: str, width: float, window: float, repeats: int,
     return grid.join(hits, [*cell, "repeat", "index"], "left").select(*cell, "repeat", "index", F.coalesce("hit", F.lit(0)).cast("tinyint").alias("value"))
 
 
+def binary_arrays(signal: DataFrame, cell: list[str]) -> DataFrame:
+    """(cell..., repeat, values): each repeat of a binary signal as an array, in order of its bins."""
+    rows = signal.groupBy(*cell, "repeat").agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("s"))
+    return rows.select(*cell, "repeat", F.transform("s", lambda x: x["value"]).alias("values"))
+
+
 def reject_single(df: DataFrame, cell: list[str]) -> DataFrame:
     """Without cells of one spike or of one repeat."""
     poor = df.groupBy(*cell).agg(F.count("*").alias("n"), F.countDistinct("repeat").alias("r")).filter("n = 1 or r = 1")
@@ -77,32 +89,61 @@ def kernel(width: float = 0.01, fs: float = 1000.0) -> np.ndarray:
     return k / k.sum()
 
 
+def smoothed(signal: DataFrame, cell: list[str], taps: list[float]) -> DataFrame:
+    """(cell..., repeat, index, value): each repeat convolved with the taps where they lie inside it as a whole; bins are dense. A
+    repeat shorter than the taps has no rows."""
+    rows = signal.groupBy(*cell, "repeat").agg(F.array_sort(F.collect_list(F.struct("index", F.col("value").cast("double").alias("value")))).alias("s"))
+    v, m = F.transform("s", lambda x: x["value"]), len(taps)
+    weights = F.array(*[F.lit(float(t)) for t in reversed(list(taps))])
+    at = lambda i: F.aggregate(F.zip_with(F.slice("v", i, F.lit(m)), weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    long = rows.select(*cell, "repeat", v.alias("v")).filter(F.size("v") >= m)
+    out = long.select(*cell, "repeat", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("v") - m + 1), at)).alias("index", "value"))
+    return out.withColumn("index", F.col("index").cast("long"))
+
+
 def quality_index(signal: DataFrame, cell: list[str], fs: float = 1000.0) -> DataFrame:
-    """The variance ratio of the repeats smoothed by kernel(); null where repeats never differ. A cell's bins meet in one task."""
-    taps = kernel(fs=fs)
-    key = signal.select(*cell)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key.schema) + ", qi double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.pivot(index="repeat", columns="index", values="value").to_numpy(float)
-        out = pdf[cell].head(1).copy()
-        smooth = np.array([np.convolve(r, taps, "valid") for r in rows]) if rows.shape[1] >= len(taps) else np.zeros((len(rows), 0))
-        noise = smooth.var(axis=0).mean() if smooth.size else 0.0
-        out["qi"] = smooth.mean(axis=0).var() / noise if noise > 0 else None
-        return out.astype({"qi": float})
-
-    return signal.groupBy(*cell).applyInPandas(run, schema)
-
-
-def local_peaks(hist: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """Bins above the group's standard deviation that no higher bin lies near: local maxima, the higher of two within
-    `distance` bins stays, ties to the earlier."""
-    w = Window.partitionBy(*by).orderBy("bin")
-    sized = hist.withColumns({"before": F.lag("count", 1, -1).over(w), "after": F.lead("count", 1, -1).over(w), "sd": F.stddev_pop("count").over(Window.partitionBy(*by))})
-    tops = sized.filter((F.col("count") > F.col("before")) & (F.col("count") >= F.col("after")) & (F.col("count") >= F.col("sd")))
-    near = Window.partitionBy(*by).orderBy("bin").rangeBetween(-distance, distance)
-    best = F.max(F.struct(F.col("count").alias("c"), (-F.col("bin")).alias("b"))).over(near)
-    return tops.withColumn("best", best).filter(F.col("best.b") == -F.col("bin")).select(*by, "bin", "count")
+    """(cell..., qi): the variance ratio of the repeats smoothed by kernel(); null where repeats never differ or are
+    shorter than the kernel. A repeat's bins meet in an array, a cell's in sums."""
+    found = variance_ratio(smoothed(signal, cell, kernel(fs=fs).tolist()), cell)
+    return signal.select(*cell).distinct().join(found, cell, "left").select(*cell, "qi")
+
+
+def local_peaks(hist: DataFrame, by: list[str], distance: float) -> DataFrame:
+    """(by..., bin, count): tops of a dense histogram as high as the group's standard deviation, thinned out by distance.
+
+    A top is a run of equal counts with lower ones on both sides, at its middle bin, the earlier of two; a run at an end of the histogram is
+    none. From the highest on (of equal ones the earlier first), each top that stays removes those less than
+    `distance` bins away; a top that is gone removes nothing. Tops that lie `distance` or more from the next do not touch each other, so
+    a group is cut there and each cluster of tops is thinned on its own. Rows without a count are left out.
+    """
+    order, group = Window.partitionBy(*by).orderBy("bin"), Window.partitionBy(*by)
+    known = hist.filter(F.col("count").isNotNull())
+    turned = known.withColumns({"turn": F.coalesce((F.col("count") != F.lag("count").over(order)).cast("int"), F.lit(0)), "sd": F.stddev_pop("count").over(group)})
+    runs = turned.withColumn("run", F.sum("turn").over(order)).groupBy(*by, "run").agg(F.min("bin").alias("first"), F.max("bin").alias("final"), F.first("count").alias("count"), F.first("sd").alias("sd"))
+    along = Window.partitionBy(*by).orderBy("run")
+    tops = runs.withColumns({"before": F.lag("count").over(along), "after": F.lead("count").over(along)}).filter("count > before and count > after and count >= sd")
+    tops = tops.select(*by, F.floor((F.col("first") + F.col("final")) / 2).cast("long").alias("bin"), "count")
+    far = F.coalesce((F.col("bin") - F.lag("bin").over(order) >= distance).cast("int"), F.lit(0))
+    clusters = tops.withColumn("far", far).withColumn("cluster", F.sum("far").over(order)).groupBy(*by, "cluster")
+    ranked = clusters.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("low"), "bin", "count"))).alias("tops"))
+    none = F.slice("tops", 1, 0)
+    kept = F.aggregate("tops", none, lambda k, x: F.when(F.exists(k, lambda y: F.abs(y["bin"] - x["bin"]) < distance), k).otherwise(F.concat(k, F.array(x))))
+    return ranked.select(*by, F.explode(kept).alias("top")).select(*by, "top.bin", "top.count")
+
+
+def peak_heights(peaks: DataFrame, onsets: DataFrame, by: list[str], width: float) -> DataFrame:
+    """(by..., position, height): the height of the peak that belongs to each onset, 0 where there is none.
+
+    peaks (by..., bin, count) lie at bin * width; onsets (by..., position, seconds) hold the length of each interval of a
+    stimulus in order of position. An interval begins at the sum of those before it, rounded to whole seconds, halves to even; a peak
+    belongs to the nearest beginning, the first of equally near ones; of an onset's peaks the last counts.
+    """
+    before = Window.partitionBy(*by).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    starts = onsets.select(*by, "position", F.bround(F.coalesce(F.sum("seconds").over(before), F.lit(0.0))).alias("start"))
+    every = starts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("position", "start"))).alias("starts"))
+    near = F.array_min(F.transform("starts", lambda s: F.struct(F.abs(F.col("bin") * width - s["start"]).alias("d"), s["position"].alias("position"))))
+    own = peaks.join(every, by).select(*by, near["position"].alias("position"), "bin", "count").groupBy(*by, "position").agg(F.max_by("count", "bin").alias("height"))
+    return starts.select(*by, "position").join(own, [*by, "position"], "left").select(*by, "position", F.coalesce("height", F.lit(0)).cast("long").alias("height"))
 
 
 def weighted(df: DataFrame, value: str, weight: str, width: float, end: float, by: list[str], density: bool = False) -> DataFrame:

@@ -15,61 +15,17 @@ def _keys(df: DataFrame, by: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
 
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """df dealt by the keys over all shuffle partitions: fits cost more than the bytes of their groups show, so a small
+    table is not put into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def seed_of(*values) -> int:
     """A seed from a group's keys, the same on every run."""
     return int(pd.util.hash_array(np.array([repr(values)], dtype=object))[0] % 2**32)
 
 
-def piecewise(df: DataFrame, x: str, y: str, by: list[str], most: int = 4) -> DataFrame:
-    """(by..., segments, breaks, slopes, ssr): continuous piecewise lines of 2 to `most` segments by least squares, knots
-    added one by one where they help most; the number of segments of least log-spread-weighted error."""
-
-    def fit(t, v, knots):
-        base = np.stack([np.ones_like(t), t - t[0], *(np.maximum(0, t - k) for k in knots)], axis=1)
-        beta, *_ = np.linalg.lstsq(base, v, rcond=None)
-        return beta, float(((v - base @ beta) ** 2).sum())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[x, y]).sort_values(x)
-        t, v = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        out = {c: pdf[c].iloc[:1].tolist() for c in by}
-        if len(np.unique(t)) < 4:
-            return pd.DataFrame({**{c: pd.Series(dtype=object) for c in by}, "segments": [], "breaks": [], "slopes": [], "ssr": []})
-        inner = np.unique(np.quantile(t, np.linspace(0, 1, 34)[1:-1]))
-        knots, best = [], None
-        for _ in range(most - 1):
-            free = [k for k in inner if k not in knots]
-            if not free:
-                break
-            knots = sorted([*knots, min(free, key=lambda k: fit(t, v, sorted([*knots, k]))[1])])
-            beta, ssr = fit(t, v, knots)
-            score = ssr * np.abs(np.log(np.maximum(np.diff([t[0], *knots, t[-1]]), 1e-9))).sum()
-            if best is None or score < best[0]:
-                best = score, list(knots), np.cumsum(beta[1:]), ssr
-        _, knots, slopes, ssr = best
-        return pd.DataFrame({**out, "segments": [len(slopes)], "breaks": [[float(t[0]), *map(float, knots), float(t[-1])]], "slopes": [slopes.tolist()], "ssr": [ssr]})
-
-    return df.groupBy(*by).applyInPandas(run, f"{_keys(df, by)}, segments int, breaks array<double>, slopes array<double>, ssr double")
-
-
-def two_segments(df: DataFrame, x: str, y: str, by: list[str], least: int = 3) -> DataFrame:
-    """(by..., split, sse): the place that splits the points into two lines of least squared error, `least` points each side."""
-
-    def sse(t, v):
-        t, v = t - t.mean(), v - v.mean()
-        d = (t * t).sum()
-        return float((v * v).sum() - ((t * v).sum() ** 2 / d if d else 0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[x, y]).sort_values(x)
-        t, v = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        found = [(sse(t[:i], v[:i]) + sse(t[i:], v[i:]), float(t[i])) for i in range(least, len(t) - least + 1)]
-        best = min(found) if found else (None, None)
-        return pdf[by].head(1).assign(split=best[1], sse=best[0]).astype({"split": float, "sse": float}) if len(pdf) else pdf[by].assign(split=0.0, sse=0.0)
-
-    return df.groupBy(*by).applyInPandas(run, f"{_keys(df, by)}, split double, sse double")
-
-
 def relationship(df: DataFrame, x: str, y: str, weight: str, by: list[str], trials: int = 50) -> DataFrame:
     """(by..., kind, slope, intercept, r2): a line or a logarithm through each group by seeded RANSAC, whichever explains
     more; `steady` if neither explains a tenth; `insufficient_data` under three points, without weight, or without x > 0."""
@@ -106,42 +62,7 @@ def relationship(df: DataFrame, x: str, y: str, weight: str, by: list[str], tria
         kind, best = ("linear", line) if line[2] > log[2] else ("logarithmic", log)
         return out.assign(kind=kind, slope=best[0], intercept=best[1], r2=best[2])
 
-    return df.groupBy(*by).applyInPandas(run, f"{_keys(df, by)}, kind string, slope double, intercept double, r2 double")
-
-
-def lasso(df: DataFrame, features: str, y: str, by: list[str], penalty: float = 0.01, rounds: int = 200) -> DataFrame:
-    """(by..., coefficients, r2): coordinate descent on centred data."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, v = np.stack(pdf[features].to_numpy()).astype(float), pdf[y].to_numpy(float)
-        a, v = a - a.mean(0), v - v.mean()
-        beta, scale, rest = np.zeros(a.shape[1]), (a * a).mean(0), v.copy()
-        for _ in range(rounds):
-            for k in range(len(beta)):
-                if scale[k]:
-                    rho = (a[:, k] * rest).mean() + scale[k] * beta[k]
-                    new = np.sign(rho) * max(abs(rho) - penalty, 0) / scale[k]
-                    rest += a[:, k] * (beta[k] - new)
-                    beta[k] = new
-        total = (v * v).sum()
-        out = pdf[by].head(1).copy()
-        out["coefficients"], out["r2"] = [beta.tolist()], 1 - (rest * rest).sum() / total if total else 0.0
-        return out
-
-    return df.groupBy(*by).applyInPandas(run, f"{_keys(df, by)}, coefficients array<double>, r2 double")
-
-
-def bootstrap(df: DataFrame, value: str, by: list[str], draws: int = 1000, mass: float = 0.95) -> DataFrame:
-    """(by..., low, high): percentiles of means of resampled rows, seeded by the group's keys."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[value].dropna().to_numpy(float))
-        rng = np.random.default_rng(seed_of(*pdf[by].iloc[0].tolist()))
-        means = np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(draws)]) if len(v) else np.array([np.nan])
-        low, high = np.percentile(means, [50 * (1 - mass), 50 * (1 + mass)])
-        return pdf[by].head(1).assign(low=low, high=high)
-
-    return df.groupBy(*by).applyInPandas(run, f"{_keys(df, by)}, low double, high double")
+    return spread(df, by).groupBy(*by).applyInPandas(run, f"{_keys(df, by)}, kind string, slope double, intercept double, r2 double")
 
 
 def poisson_trains(segments: DataFrame, by: list[str]) -> DataFrame:
@@ -181,6 +102,24 @@ def template_distance(vectors: DataFrame, key: str, vector: str, template: list[
     return vectors.select(key, distance(vector).alias("distance"))
 
 
+def standardised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, scaled): each component less its mean, by its standard deviation (of a sample); 0 where that is 0."""
+    rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
+    scaled = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(rows).transform(rows)
+    return scaled.select(key, vector_to_array("x").alias("scaled"))
+
+
+def distances_from(vectors: DataFrame, key: str, vector: str, one: DataFrame) -> DataFrame:
+    """(key, euclidean, cosine): distances of every vector from that of `one`, a table of a single row; cosine distance is null for a
+    vector of zeros. Nothing but that row moves."""
+    target = one.select(F.col(vector).cast("array<double>").alias("__t")).limit(1)
+    met = vectors.select(key, F.col(vector).cast("array<double>").alias("__v")).join(F.broadcast(target))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
+    euclid = F.sqrt(total(F.zip_with("__v", "__t", lambda x, y: (x - y) * (x - y))))
+    return met.select(key, euclid.alias("euclidean"), (1 - F.try_divide(dot("__v", "__t"), F.sqrt(dot("__v", "__v")) * F.sqrt(dot("__t", "__t")))).alias("cosine"))
+
+
 def components(vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(key, scores): principal components of standardised vectors."""
     rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,14 +69,35 @@ def rescaled(df: DataFrame, column: str, by: list[str] | None = None) -> DataFra
     return joined.withColumns({"minmax": F.try_divide(c - F.col("lo__"), F.col("hi__") - F.col("lo__")), "z": F.try_divide(c - F.col("mean__"), F.col("sd__"))}).drop("lo__", "hi__", "mean__", "sd__")
 
 
+#: Stretches of time into which as-of joins cut the range of both sides.
+STRETCHES = 256
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, columns: list[str]) -> DataFrame:
-    """Each left row with `columns` of the last right row of its group at or before its time; null before the first. One
-    shuffle: both sides are sorted together, right rows ahead at equal times, and the last right row is carried on. Of
-    right rows of one group and time the one with the greatest values counts."""
-    once = right.groupBy(*by, time).agg(F.max(F.struct(*columns)).alias("__right"))
-    both = left.withColumns({"__right": F.lit(None).cast(once.schema["__right"].dataType), "__left": F.lit(True)}).unionByName(once.withColumn("__left", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(time, "__left").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("__last", F.last("__right", True).over(w)).filter("__left").select(*left.columns, *[F.col(f"__last.{c}").alias(c) for c in columns])
+    """Each left row with `columns` of the last right row of its group at or before its time; null before the first. Of
+    right rows of one group and time the one with the greatest values counts; left rows without a time match none.
+
+    Both sides are sorted together within a group and a stretch of time, right rows ahead at equal times, and the last
+    right row is carried on. What came before a stretch is the last row of an earlier one: those are aggregated, a row per group
+    and stretch, so a group of any size is spread over tasks.
+    """
+    once = right.filter(F.col(time).isNotNull()).groupBy(*by, time).agg(F.max(F.struct(*columns)).alias("__right"))
+    kind = once.schema["__right"].dataType
+    range_of = once.agg(F.min(time).cast("double").alias("__low"), F.max(time).cast("double").alias("__high"))
+    stretch = F.floor((F.col(time).cast("double") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)) * STRETCHES)
+    place = lambda df: df.join(F.broadcast(range_of)).withColumn("__stretch", F.coalesce(F.greatest(F.lit(-1).cast("long"), F.least(stretch, F.lit(STRETCHES).cast("long"))), F.lit(0).cast("long"))).drop("__low", "__high")
+    known = place(once)
+    lasts = known.groupBy(*by, "__stretch").agg(F.max_by("__right", time).alias("__right"))
+    steps = lasts.unionByName(place(left).select(*by, "__stretch").distinct().withColumn("__right", F.lit(None).cast(kind)))
+    carried = steps.groupBy(*by, "__stretch").agg(F.first("__right", True).alias("__right"))
+    ahead = Window.partitionBy(*by).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = carried.select(*by, "__stretch", F.last("__right", True).over(ahead).alias("__right")).filter(F.col("__right").isNotNull())
+    none = F.lit(None).cast(kind)
+    both = place(left).withColumns({"__right": none, "__side": F.lit(2)})
+    both = both.unionByName(known.withColumn("__side", F.lit(1)), allowMissingColumns=True).unionByName(before.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*by, "__stretch").orderBy(F.expr("__side > 0"), time, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.when(F.col(time).isNotNull(), F.last("__right", True).over(w))
+    return both.withColumn("__last", last).filter("__side = 2").select(*left.columns, *[F.col(f"__last.{c}").alias(c) for c in columns])
 
 
 def interpolated(samples: DataFrame, grid: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -90,11 +112,32 @@ def interpolated(samples: DataFrame, grid: DataFrame, by: list[str], x: str, y:
     return sides.select(*by, F.col("x").alias(x), F.when(F.col("a.x") == F.col("x"), F.col("a.y")).otherwise(inner).alias(y))
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share; a folder of our own only where that is
+    unset on a local master."""
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or _own.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="spiketide-"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once into the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def group_numbers(df: DataFrame, keys: list[str], out: str = "group") -> DataFrame:
-    """Rows with the place of their keys among the sorted distinct keys, from 0. The distinct keys are numbered in ranges
-    sorted on their own; of each range only the size goes to the driver."""
-    spark, distinct = df.sparkSession, df.select(*keys).distinct().repartitionByRange(*keys)
-    placed = distinct.withColumn("__part", F.spark_partition_id())
+    """Rows with the place of their keys among the sorted distinct keys, from 0. The distinct keys are dealt to ranges and
+    stored with the number of their range, so sizes and places come from one execution; of each range only the size goes to
+    the driver."""
+    spark = df.sparkSession
+    placed = stored(df.select(*keys).distinct().repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
     sizes = {r[0]: r[1] for r in placed.groupBy("__part").count().collect()}
     starts = spark.createDataFrame([(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes] or [(0, 0)], "__part int, __start long")
     w = Window.partitionBy("__part").orderBy(*keys)

@@ -114,3 +114,18 @@ def random_latencies(groups: DataFrame, events: DataFrame, by: list[str], time:
     known = events.select(*by, (-F.col(time)).cast("long").alias("back"), F.col(time).cast("long").alias("next"))
     met = tables.asof(asked, known, by, "back", ["next"]).withColumn("latency", F.col("next") + F.col("back"))
     return met.select(*by, "draw", (-F.col("back")).alias("at"), F.when(F.col("latency") <= most, F.col("latency")).alias("latency"))
+
+
+def random_onsets(onsets: DataFrame, by: list[str], draws: int, jitter: float, seed: int = 1) -> DataFrame:
+    """(by..., trigger, repeat, onset): the null of responses to triggers. Each group gets `draws` onsets, numbered by
+    `repeat`: one of its own, chosen by a hash of seed, keys and draw, moved by up to `jitter` either way, evenly; `trigger` is 0.
+
+    Together with latency.trigger_windows(), which opens a window on both sides, these stand beside the real ones. Onsets of a group (its triggers)
+    come together in an array; groups without any have no row.
+    """
+    own = onsets.filter(F.col("onset").isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.col("onset").cast("double"))).alias("__own"))
+    drawn = own.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<long>")))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("repeat").cast("string")))
+    number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    moved = F.get("__own", (number(1) % F.size("__own")).cast("int")) + (number(9) / F.lit(float(1 << 31)) - 1.0) * jitter
+    return drawn.select(*by, F.lit(0).cast("long").alias("trigger"), "repeat", moved.alias("onset"))

@@ -32,3 +32,21 @@ def stimuli(spark: SparkSession) -> DataFrame:
 
 
 STIMULUS_ROWS = RECORDINGS * len(NAMES) * (LENGTH // EVERY)
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stimuli whose triggers are spikes: of every stimulus window of a recording, the first spike of each tenth of it. Their
+    intervals are uneven, repeats take 1 to 3 intervals and may be cut short, intervals have one or two parts."""
+    t = spikes(spark, sf_dir).select("recording", F.floor((F.col("times") - 1) / PERIOD).cast("int").alias("stimulus_index"), "times")
+    at = F.col("times") - F.col("stimulus_index").cast("long") * PERIOD
+    inside = t.filter((F.col("stimulus_index") >= 0) & (F.col("stimulus_index") < len(NAMES)) & (at > 0) & (at <= LENGTH))
+    slots = inside.groupBy("recording", "stimulus_index", F.floor((at - 1) / EVERY).alias("slot")).agg(F.min("times").alias("t"))
+    every = slots.groupBy("recording", "stimulus_index").agg(F.array_sort(F.collect_list("t")).alias("t")).filter(F.size("t") > 1)
+    first, n = F.get("t", F.lit(0)), F.size("t")
+    gaps = F.zip_with(F.slice("t", F.lit(2), n - 1), F.slice("t", F.lit(1), n - 1), lambda b, a: b - a)
+    i = F.col("stimulus_index")
+    return every.select(
+        "recording", "stimulus_index", F.element_at(F.array(*map(F.lit, NAMES)), i + 1).alias("stimulus_name"), first.alias("begin_fr"), F.element_at("t", -1).alias("end_fr"),
+        F.transform("t", lambda x: x - first).alias("trigger_fr_relative"), gaps.alias("trigger_int"),
+        (i % 3 + 1).alias("stimulus_repeat_logic"), (i % 2 + 1).alias("stimulus_repeat_sublogic"), F.lit(FS).alias("sampling_freq"),
+    )

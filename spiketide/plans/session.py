@@ -65,6 +65,17 @@ class Recordings:
         hit = view.select(*keys).distinct().withColumn("__hit", F.lit(True))
         self.frames["cells"] = self.frames["cells"].join(hit, keys, "left").withColumn(column, F.when(F.col("__hit"), F.lit(inside)).otherwise(F.lit(outside))).drop("__hit")
 
+    def stimulus_subset(self, names: list[str] | None = None, indices: list[int] | None = None) -> Recordings:
+        """Recordings of the stimuli of the given names or numbers only, with the cell rows that belong to them; of neither: all."""
+        asked = F.lit(True)
+        if names is not None:
+            asked &= F.col("stimulus_name").isin(list(names))
+        if indices is not None:
+            asked &= F.col("stimulus_index").isin(list(indices))
+        stimuli = self.frames["stimuli"].filter(asked)
+        own = stimuli.select("recording", "stimulus_index").distinct()
+        return Recordings(self.spikes, self.frames["cells"].join(own, ["recording", "stimulus_index"], "left_semi"), stimuli)
+
     def delete(self, frame: str) -> None:
         if frame in self.KEPT:
             raise ValueError(f"{frame} cannot be deleted")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import histograms
+from .raw import raw_channel
+
 #: Old column names of stimulus and cell tables and what they are called now; fixed values.
 RENAMED = {"Stimulus_name": "stimulus_name", "Begin_Fr": "begin_fr", "End_Fr": "end_fr", "Trigger_Fr_relative": "trigger_fr_relative", "Trigger_int": "trigger_int", "Stimulus_index": "stimulus_index", "Stimulus_repeat_logic": "stimulus_repeat_logic", "Stimulus_repeat_sublogic": "stimulus_repeat_sublogic", "Cell index": "cell_index", "Nr of Spikes": "nr_of_spikes", "Centres x": "centres_x", "Centres y": "centres_y"}
 
@@ -21,25 +22,20 @@ def write_spikes(df: DataFrame, path: str) -> None:
     df.repartition("recording").sortWithinPartitions("recording", "cell_index", "times").write.partitionBy("recording").mode("overwrite").parquet(path)
 
 
-def modernised(df: DataFrame) -> DataFrame:
-    """Old column names brought up to date."""
-    return df.withColumnsRenamed({k: v for k, v in RENAMED.items() if k in df.columns})
+def write_psth(hist: DataFrame, by: list[str], path: str, width: float, start: float = 0.0) -> None:
+    """A dense histogram as Parquet, a row of counts for each group, with the width and the start of its bins."""
+    histograms.stacked(hist, by).withColumns({"bin_width": F.lit(float(width)), "bin_start": F.lit(float(start))}).write.mode("overwrite").parquet(path)
 
 
-def raw_channel(spark: SparkSession, path: str, interleaved: bool = False) -> DataFrame:
-    """(path, frame, voltage) of raw 16-bit little-endian files; of interleaved pairs of channels the greater sample,
-    an odd one at the end left out. A file is decoded by one task."""
+def read_psth(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """(by..., bin, time, count) of what write_psth() wrote; time is where a bin begins."""
+    rows = spark.read.parquet(path).select(*by, "bin_width", "bin_start", F.posexplode("values").alias("bin", "count"))
+    return rows.select(*by, F.col("bin").cast("long").alias("bin"), (F.col("bin_start") + F.col("bin") * F.col("bin_width")).alias("time"), "count")
 
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = np.frombuffer(content.as_buffer(), "<i2")
-                v = np.maximum(v[: len(v) // 2 * 2 : 2], v[1::2]) if interleaved else v
-                for at in range(0, len(v), 1 << 20):
-                    part = v[at : at + (1 << 20)].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["path", "frame", "voltage"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, frame long, voltage int")
+def modernised(df: DataFrame) -> DataFrame:
+    """Old column names brought up to date."""
+    return df.withColumnsRenamed({k: v for k, v in RENAMED.items() if k in df.columns})
 
 
 def from_arrays(cells: DataFrame, recording: str) -> DataFrame:

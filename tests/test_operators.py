@@ -156,9 +156,6 @@ def test_fits(spark):
     x = np.arange(60.0)
     y = np.where(x < 30, x, 30 + 5 * (x - 30))
     df = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y, strict=True)], "g string, x double, y double")
-    r = models.piecewise(df, "x", "y", ["g"]).first()
-    assert r["ssr"] < 200 and any(abs(b - 30) < 3 for b in r["breaks"])
-    assert models.two_segments(df, "x", "y", ["g"]).first()["split"] in (30.0, 31.0)
     kinds = models.relationship(df.withColumn("w", F.lit(1.0)), "x", "y", "w", ["g"]).first()
     assert kinds["kind"] == "linear" and kinds["r2"] > 0.8
     assert models.warped(np.array([0.0, 1, 2]), np.array([0.0, 1, 1, 2]), 2) == 0
@@ -168,9 +165,6 @@ def test_seeded_draws_repeat(spark):
     seg = spark.createDataFrame([("a", 0.0, 10.0, 2.0), ("b", 0.0, 10.0, 0.0)], "g string, start double, end double, rate double")
     one, two = (sorted(map(tuple, models.poisson_trains(seg, ["g"]).collect())) for _ in range(2))
     assert one == two and len(one) > 5 and {g for g, _ in one} == {"a"}
-    v = spark.createDataFrame([("a", float(i)) for i in range(50)], "g string, v double")
-    ci = models.bootstrap(v, "v", ["g"], 300).first()
-    assert ci["low"] < 24.5 < ci["high"]
 
 
 def test_density_takes_values_beyond_the_points(spark):
