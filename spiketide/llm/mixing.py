@@ -86,12 +86,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs as often as the mix takes them, columns as they were: taken words by size, rounded up. Rows of
-    equal id and size are told apart by their place among themselves only."""
+    """The rows of docs as often as the mix takes them, columns as they were: taken words by size, rounded up.
+
+    Rows of equal id and size are told apart by their order of text alone (its hash, then itself), so reruns agree on which of
+    them comes more often. Rows without words, null texts included, are left out; null ids match each other. Empty tables give no rows."""
     copies = mixed.filter("taken > 0").select("id", "size", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
     nth = lambda *by: F.row_number().over(Window.partitionBy("id", "size").orderBy(*by))
     counted = copies.withColumn("nth", nth(F.col("copies").desc()))
     rows = docs.select(F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    rows = rows.filter("size > 0").withColumn("nth", nth(F.lit(1)))
+    rows = rows.filter("size > 0").withColumn("nth", nth(F.xxhash64(F.col("row")[text_col]), F.col("row")[text_col]))
     same = rows["id"].eqNullSafe(counted["id"]) & (rows["size"] == counted["size"]) & (rows["nth"] == counted["nth"])
     return rows.join(counted, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -13,11 +13,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import cut, prepare
+from .shared import cut, join_groups, prepare
 
 #: Members of a bucket that one task compares; larger buckets are dealt out as pairs of blocks of half that size.
 MAX_BUCKET = 65_536
@@ -339,7 +339,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """
     marked = cut(sketches(docs, id_col, text_col, words, similarity))
     buckets = marked.select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("bucket"), F.col("node").alias("rep"))
-    met = buckets.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").drop("n")
+    shared = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))  # counted before it is shuffled
+    met = join_groups(buckets, shared, ["bucket"]).select("bucket", "rep")
     nodes = marked.select(F.col("node").alias("rep"), F.col("wide").alias("words")).dropDuplicates(["rep"])
     most = loose_bits(similarity)
     edges = links(nodes, cut(met), most, max_bucket)
