@@ -13,6 +13,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 RANGE_BYTES, BATCH_FRAMES = 64 << 20, 1 << 18
 
 
+def file_system(path: str):
+    """(file system, path in it) of a URI or a plain local path."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return fs.LocalFileSystem(), path
+
+
 class Range(InputPartition):
     """Bytes [start, end) of a file, whole records of it."""
 
@@ -29,7 +38,7 @@ class RawReader(DataSourceReader):
     def _files(self) -> list[tuple[str, int]]:
         from pyarrow import fs
 
-        system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        system, path = file_system(self.path)
         info = system.get_file_info(path)
         found = system.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
         if info.type == fs.FileType.NotFound:
@@ -40,12 +49,9 @@ class RawReader(DataSourceReader):
         return [Range(path, at, min(at + self.size, size // self.record * self.record)) for path, size in self._files() for at in range(0, size // self.record * self.record, self.size)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         if part.start >= part.end:
             return
-        system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
-        with system.open_input_file(part.path) as file:
+        with file_system(self.path)[0].open_input_file(part.path) as file:
             file.seek(part.start)
             at = part.start
             while at < part.end:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import histograms
+from .arrays import array_file
 from .raw import raw_channel
 
 #: Old column names of stimulus and cell tables and what they are called now; fixed values.
@@ -48,12 +49,12 @@ def centres(spike_positions: DataFrame) -> DataFrame:
     return spike_positions.groupBy("cell_index").agg(F.avg("x").alias("centres_x"), F.avg("y").alias("centres_y"))
 
 
-READERS = {"parquet": lambda spark, path: spark.read.parquet(path), "csv": lambda spark, path: spark.read.csv(path, header=True, inferSchema=False), "dat": raw_channel}
+READERS = {"parquet": lambda spark, path: spark.read.parquet(path), "csv": lambda spark, path: spark.read.csv(path, header=True, inferSchema=False), "dat": raw_channel, "npy": array_file}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Read by the suffix of the path."""
     suffix = path.rstrip("/").rpartition(".")[2].lower()
     if suffix not in READERS:
-        raise NotImplementedError(f"no reader for .{suffix}; bring it to parquet, csv or raw .dat")
+        raise NotImplementedError(f"no reader for .{suffix}; bring it to parquet, csv, npy or raw .dat")
     return READERS[suffix](spark, path)
