@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+
 
-#: Labels whose mean vectors may be broadcast.
+#: Labels whose mean vectors are broadcast at once.
 MOST_LABELS = 10_000
 
 
@@ -102,16 +106,18 @@ def ols(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
 
 
 def nearest_centroid(vectors: DataFrame, vector: str, label: str, noise, key: str) -> DataFrame:
-    """(key, label, distance): rows labelled `noise` take the label of the nearest mean of the others. Means of at most
-    MOST_LABELS labels are broadcast; more are an error."""
+    """(key, label, distance): rows labelled `noise` take the label of the nearest mean of the others, the least of equally near
+    labels. Means are stored once and broadcast in blocks of about MOST_LABELS, each of which the rows meet in turn; without a mean there are no rows."""
     flat = vectors.filter((F.col(label) != noise) & F.col(label).isNotNull()).select(label, F.posexplode(vector).alias("d", "v"))
     means = flat.groupBy(label, "d").agg(F.avg("v").alias("v")).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("mean"))
-    if means.limit(MOST_LABELS + 1).count() > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    means = tables.stored(means)
+    blocks = max(1, -(-means.count() // MOST_LABELS))
     to = F.sqrt(F.aggregate(F.zip_with(F.col(vector), F.col("mean"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    met = vectors.filter(F.col(label) == noise).select(key, vector).join(F.broadcast(means))
+    asked = vectors.filter(F.col(label) == noise).select(key, vector)
     best = F.min(F.struct(to.alias("distance"), F.col(label).alias("label")))
-    return met.groupBy(key).agg(best.alias("b")).select(key, F.col("b.label").alias("label"), F.col("b.distance").alias("distance"))
+    near = [asked.join(F.broadcast(means.filter(F.pmod(F.xxhash64(label), F.lit(blocks)) == b))).groupBy(key).agg(best.alias("b")) for b in range(blocks)]
+    every = reduce(lambda a, b: a.unionByName(b), near).groupBy(key).agg(F.min("b").alias("b"))
+    return every.select(key, F.col("b.label").alias("label"), F.col("b.distance").alias("distance"))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -238,3 +238,16 @@ def test_stimulus_subset(spark):
     assert [x["stimulus_index"] for x in one.frames["stimuli"].collect()] == [1] == [x["stimulus_index"] for x in one.frames["cells"].collect()]
     assert r.stimulus_subset(indices=[0, 1]).frames["cells"].count() == 2 == r.stimulus_subset().frames["stimuli"].count()
     assert r.stimulus_subset(names=["fff"], indices=[1]).frames["stimuli"].isEmpty()
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_nearest_centroid_in_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(features, "MOST_LABELS", most)
+    v, label = rng.normal(size=(90, 4)), np.r_[np.zeros(20, int), rng.integers(1, 12, 70)]
+    df = spark.createDataFrame([(i, int(c), x.tolist()) for i, (x, c) in enumerate(zip(v, label, strict=True))] + [(99, None, [0.0] * 4)], "k long, label int, v array<double>")
+    found = {r["k"]: (r["label"], r["distance"]) for r in features.nearest_centroid(df, "v", "label", 0, "k").collect()}
+    names = sorted(set(label) - {0})
+    far = np.linalg.norm(v[:20, None] - np.array([v[label == c].mean(0) for c in names]), axis=2)
+    assert found.keys() == set(range(20))
+    assert all(found[i] == (names[int(far[i].argmin())], pytest.approx(far[i].min())) for i in range(20))
+    assert features.nearest_centroid(df.filter("label = 0"), "v", "label", 0, "k").isEmpty()
