@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,9 +24,51 @@ def spread(df: DataFrame, by: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def seeds_of(groups: list[tuple]) -> list[int]:
+    """A seed from each group's keys, the same on every run."""
+    return (pd.util.hash_array(np.array([repr(g) for g in groups], dtype=object), categorize=False) % 2**32).tolist()
+
+
 def seed_of(*values) -> int:
-    """A seed from a group's keys, the same on every run."""
-    return int(pd.util.hash_array(np.array([repr(values)], dtype=object))[0] % 2**32)
+    """A seed from one group's keys."""
+    return seeds_of([values])[0]
+
+
+#: Numbers that a step over many groups holds at once, and bytes of an Arrow batch of groups.
+CELLS, BATCH_BYTES = 1 << 19, 32 << 20
+
+
+def gathered(df: DataFrame, by: list[str], **columns: Column) -> DataFrame:
+    """(by..., points): the columns of each group's rows as an array of structs. Batches of groups are bounded by bytes, so
+    mapInArrow() sees many small groups at a time, or a few large ones."""
+    spark = df.sparkSession
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    rows = df.select(*by, F.struct(*[c.alias(n) for n, c in columns.items()]).alias("points"))
+    return spread(rows, by).groupBy(*by).agg(F.collect_list("points").alias("points"))
+
+
+def points_of(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(group of each point, columns of doubles) of a batch of gathered(); points with a missing or non-finite number, NaN or null, are dropped."""
+    lists = batch.column(batch.schema.get_field_index("points"))
+    points = lists.flatten()
+    group = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(int))
+    columns = [points.field(n).to_numpy(zero_copy_only=False).astype(float) for n in names]
+    known = np.logical_and.reduce([np.isfinite(c) for c in columns])
+    return group[known], [c[known] for c in columns]
+
+
+def blocks(group: np.ndarray, cost) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of groups of equal size for points in order of their group: (groups, places of their points, a row for each).
+    cost(n): the numbers that a group of n points needs; a block needs at most CELLS, or is one group."""
+    groups, starts, sizes = np.unique(group, return_index=True, return_counts=True)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        step = max(1, CELLS // max(1, cost(int(n))))
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            yield groups[part], starts[part][:, None] + np.arange(n)
 
 
 def relationship(df: DataFrame, x: str, y: str, weight: str, by: list[str], trials: int = 50) -> DataFrame:
