@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import CELLS, _keys, blocks, gathered, points_of, spread
+from .models import CELLS, _keys, blocks, gathered, points_of
 
 
 #: Scores that differ by less than this share are equal.
@@ -217,25 +217,35 @@ def two_segments(df: DataFrame, x: str, y: str, by: list[str], least: int = 10,
     Every place with `least` points before it and more than `least` from it on is tried. Each line is fitted with weights that rise towards
     the place by so many powers of ten, the squared errors count unweighted. Points are in order of x, then y; the first of equally
     good places, to nine decimals, counts. Null and non-finite points are left out; groups of too few points have a row of nulls.
+    Groups of equally many points are fitted together.
     """
 
-    def line(t: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    def line(t: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = w / w.sum()
-        a, b = t - (w * t).sum(), v - (w * v).sum()
-        d = (w * a * a).sum()
-        slope = (w * a * b).sum() / d if d > 0 else 0.0
-        return slope, float((((v - (w * v).sum()) - slope * a) ** 2).sum())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[np.isfinite(pdf[x].astype(float)) & np.isfinite(pdf[y].astype(float))].astype({x: float, y: float}).sort_values([x, y])
-        t, v = rows[x].to_numpy(float), rows[y].to_numpy(float)
-        best = (None, None, None, None)
-        for i in range(least, len(t) - least):
-            up, down = np.logspace(-decades, 0, i), np.logspace(0, -decades, len(t) - i)
-            (s1, e1), (s2, e2) = line(t[:i], v[:i], up), line(t[i:], v[i:], down)
-            if best[1] is None or round(e1 + e2, 9) < best[1]:
-                best = float(t[i]), round(e1 + e2, 9), s1, s2
-        names = ["split", "sse", "slope_before", "slope_after"]
-        return pdf[by].head(1).assign(**dict(zip(names, best, strict=True))).astype(dict.fromkeys(names, float))
-
-    return spread(df, by).groupBy(*by).applyInPandas(run, f"{_keys(df, by)}, split double, sse double, slope_before double, slope_after double")
+        mean = lambda c: (w * c).sum(axis=1, keepdims=True)
+        a, b = t - mean(t), v - mean(v)
+        d = (w * a * a).sum(axis=1)
+        slope = np.where(d > 0, (w * a * b).sum(axis=1) / np.where(d > 0, d, 1.0), 0.0)
+        return slope, ((b - slope[:, None] * a) ** 2).sum(axis=1)
+
+    def fit(t: np.ndarray, v: np.ndarray) -> np.ndarray:
+        n, best = t.shape[1], np.full((4, len(t)), np.nan)
+        for i in range(least, n - least):
+            up, down = np.logspace(-decades, 0, i), np.logspace(0, -decades, n - i)
+            (s1, e1), (s2, e2) = line(t[:, :i], v[:, :i], up), line(t[:, i:], v[:, i:], down)
+            error = np.array([round(e, 9) for e in (e1 + e2).tolist()])
+            best = np.where(np.isnan(best[1]) | (error < best[1]), [t[:, i], error, s1, s2], best)
+        return best
+
+    def run(batches):
+        for batch in batches:
+            group, (t, v) = points_of(batch, ["x", "y"])
+            order = np.lexsort((v, t, group))
+            group, t, v = group[order], t[order], v[order]
+            found = np.full((4, len(batch)), np.nan)
+            for own, at in blocks(group, lambda n: 8 * n):
+                found[:, own] = fit(t[at], v[at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *(pa.array(c, mask=np.isnan(c)) for c in found)], [*by, "split", "sse", "slope_before", "slope_after"])
+
+    double = lambda c: F.col(c).cast("double")
+    return gathered(df, by, x=double(x), y=double(y)).mapInArrow(run, f"{_keys(df, by)}, split double, sse double, slope_before double, slope_after double")

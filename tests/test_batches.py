@@ -1,6 +1,7 @@
 """Groups that are worked on together give what each gives alone."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spiketide.operators import segments
 
@@ -28,3 +29,14 @@ def test_exact_lines_take_the_fewest_segments(spark):
     rows = [(f"g{k}", float(i), max(0, i - k) * 0.7 + 3.1) for k in range(5, 25) for i in range(47)]
     found = segments.piecewise(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", ["g"]).collect()
     assert len(found) == 20 and {r["segments"] for r in found} == {2}
+
+
+def test_two_segments_of_groups_of_different_sizes(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(i), float(rng.normal())) for g in range(12) for i in range(18 + g % 4 * 3)]
+    df = spark.createDataFrame(rows, "g long, x double, y double")
+    together = {r["g"]: r for r in segments.two_segments(df, "x", "y", ["g"]).collect()}
+    assert len(together) == 12
+    for g in range(12):
+        assert segments.two_segments(df.filter(F.col("g") == g), "x", "y", ["g"]).first() == together[g]
+        assert (together[g]["sse"] is None) == (g % 4 == 0)
