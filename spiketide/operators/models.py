@@ -73,41 +73,65 @@ def blocks(group: np.ndarray, cost) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def relationship(df: DataFrame, x: str, y: str, weight: str, by: list[str], trials: int = 50) -> DataFrame:
     """(by..., kind, slope, intercept, r2): a line or a logarithm through each group by seeded RANSAC, whichever explains
-    more; `steady` if neither explains a tenth; `insufficient_data` under three points, without weight, or without x > 0."""
-
-    def ransac(t, v, w, rng):
-        best, keep = None, None
-        near = np.median(np.abs(v - np.median(v))) + 1e-12
-        for i, j in rng.choice(len(t), (trials, 2), p=w / w.sum()):
-            if t[i] == t[j]:
-                continue
-            a = (v[j] - v[i]) / (t[j] - t[i])
-            inside = np.abs(v - (v[i] + a * (t - t[i]))) <= near
-            if best is None or inside.sum() > best:
-                best, keep = inside.sum(), inside
-        keep = np.ones(len(t), bool) if keep is None or keep.sum() < 2 else keep
-        a, b = np.polyfit(t[keep], v[keep], 1, w=np.sqrt(w[keep] + 1e-12)) if np.ptp(t[keep]) else (0.0, v.mean())
-        mean = np.average(v, weights=w)
-        total = (w * (v - mean) ** 2).sum()
-        return float(a), float(b), float(1 - (w * (v - a * t - b) ** 2).sum() / total) if total else 0.0
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[by].head(1)
-        rows = pdf.dropna(subset=[x, y, weight])
-        rows = rows[rows[x] > 0]
-        t, v, w = (rows[c].to_numpy(float) for c in (x, y, weight))
-        if len(rows) < 3 or w.sum() <= 0:
-            return out.assign(kind="insufficient_data", slope=np.nan, intercept=np.nan, r2=np.nan)
-        order = np.lexsort((w, v, t))
-        t, v, w = t[order], v[order], w[order]
-        rng = np.random.default_rng(seed_of(*out.iloc[0].tolist()))
-        line, log = ransac(t, v, w, rng), ransac(np.log(t), v, w, rng)
-        if abs(line[2]) < 0.1 and abs(log[2]) < 0.1:
-            return out.assign(kind="steady", slope=0.0, intercept=float(np.average(v, weights=w)), r2=1.0)
-        kind, best = ("linear", line) if line[2] > log[2] else ("logarithmic", log)
-        return out.assign(kind=kind, slope=best[0], intercept=best[1], r2=best[2])
-
-    return spread(df, by).groupBy(*by).applyInPandas(run, f"{_keys(df, by)}, kind string, slope double, intercept double, r2 double")
+    more; `steady` if neither explains a tenth; `insufficient_data` under three points, without weight, or without x > 0.
+    Groups of equal size are worked on together; each draws from its own seed, so they don't depend on each other. Points that
+    are not finite are left out."""
+
+    def ransac(t, v, w, picks):
+        near = np.median(np.abs(v - np.median(v, axis=1)[:, None]), axis=1) + 1e-12
+        i, j = picks[..., 0], picks[..., 1]
+        at = lambda a, k: np.take_along_axis(a, k, axis=1)
+        ti, vi = at(t, i), at(v, i)
+        run = at(t, j) - ti
+        a = (at(v, j) - vi) / np.where(run == 0, 1.0, run)
+        inside = lambda k: np.abs(v[:, None] - (vi[:, k, None] + a[:, k, None] * (t[:, None] - ti[:, k, None]))) <= near[:, None, None]
+        step = max(1, CELLS // t.size)
+        counts = np.concatenate([inside(slice(k, k + step)).sum(axis=2) for k in range(0, trials, step)], axis=1)
+        counts[run == 0] = -1
+        best = counts.argmax(axis=1)[:, None]
+        keep = np.abs(v - (at(vi, best) + at(a, best) * (t - at(ti, best)))) <= near[:, None]
+        keep |= at(counts, best) < 2
+        u = np.where(keep, w + 1e-12, 0.0)
+        total = u.sum(axis=1)
+        mt, mv = (u * t).sum(axis=1) / total, (u * v).sum(axis=1) / total
+        ct = np.where(keep, t - mt[:, None], 0.0)
+        flat = np.where(keep, t, -np.inf).max(axis=1) == np.where(keep, t, np.inf).min(axis=1)
+        slope = np.where(flat, 0.0, (u * ct * (v - mv[:, None])).sum(axis=1) / np.where(flat, 1.0, (u * ct * ct).sum(axis=1)))
+        start = np.where(flat, v.mean(axis=1), mv - slope * mt)
+        mean = (w * v).sum(axis=1) / w.sum(axis=1)
+        spread_ = (w * (v - mean[:, None]) ** 2).sum(axis=1)
+        left = (w * (v - slope[:, None] * t - start[:, None]) ** 2).sum(axis=1)
+        return slope, start, np.where(spread_ > 0, 1 - left / np.where(spread_ > 0, spread_, 1.0), 0.0), mean
+
+    def run(batches):
+        for batch in batches:
+            group, (t, v, w) = points_of(batch, ["x", "y", "w"])
+            keep = t > 0
+            order = np.lexsort((w[keep], v[keep], t[keep], group[keep]))
+            group, t, v, w = (c[keep][order] for c in (group, t, v, w))
+            keys = batch.select(by).to_pylist()
+            kinds = np.full(len(batch), "insufficient_data", object)
+            found = np.full((3, len(batch)), np.nan)
+            for own, at in blocks(group, lambda n: 200 + trials * n):
+                own, at = (c[w[at].sum(axis=1) > 0] for c in (own, at))
+                if at.shape[1] < 3 or not len(own):
+                    continue
+                seeds = seeds_of([tuple(keys[g].values()) for g in own])
+                share = w[at] / w[at].sum(axis=1)[:, None]
+                ends = share.cumsum(axis=1)
+                ends /= ends[:, -1:]
+                picks = np.stack([e.searchsorted(np.random.default_rng(s).random((2, trials, 2)), side="right") for e, s in zip(ends, seeds, strict=True)])
+                line, log = ransac(t[at], v[at], w[at], picks[:, 0]), ransac(np.log(t[at]), v[at], w[at], picks[:, 1])
+                steady = (np.abs(line[2]) < 0.1) & (np.abs(log[2]) < 0.1)
+                linear = line[2] > log[2]
+                kinds[own] = np.where(steady, "steady", np.where(linear, "linear", "logarithmic"))
+                for k, still in enumerate((0.0, line[3], 1.0)):
+                    found[k, own] = np.where(steady, still, np.where(linear, line[k], log[k]))
+            out = [pa.array(kinds, pa.string()), *(pa.array(c, mask=np.isnan(c)) for c in found)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *out], [*by, "kind", "slope", "intercept", "r2"])
+
+    double = lambda c: F.col(c).cast("double")
+    return gathered(df, by, x=double(x), y=double(y), w=double(weight)).mapInArrow(run, f"{_keys(df, by)}, kind string, slope double, intercept double, r2 double")
 
 
 def poisson_trains(segments: DataFrame, by: list[str]) -> DataFrame:

@@ -1,9 +1,10 @@
 """Groups that are worked on together give what each gives alone."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from spiketide.operators import segments
+from spiketide.operators import models, segments
 
 
 def _curves(many: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,3 +41,41 @@ def test_two_segments_of_groups_of_different_sizes(spark):
     for g in range(12):
         assert segments.two_segments(df.filter(F.col("g") == g), "x", "y", ["g"]).first() == together[g]
         assert (together[g]["sse"] is None) == (g % 4 == 0)
+
+
+def _alone(g: int, t: np.ndarray, v: np.ndarray, w: np.ndarray, trials: int = 50) -> tuple:
+    """relationship() of one group, trial by trial."""
+    order = np.lexsort((w, v, t))
+    t, v, w = t[order], v[order], w[order]
+    rng, fits = np.random.default_rng(models.seed_of(g)), []
+    for x in (t, np.log(t)):
+        best, keep, near = None, None, np.median(np.abs(v - np.median(v))) + 1e-12
+        for i, j in rng.choice(len(x), (trials, 2), p=w / w.sum()):
+            if x[i] != x[j]:
+                inside = np.abs(v - (v[i] + (v[j] - v[i]) / (x[j] - x[i]) * (x - x[i]))) <= near
+                if best is None or inside.sum() > best:
+                    best, keep = inside.sum(), inside
+        keep = np.ones(len(x), bool) if keep is None or keep.sum() < 2 else keep
+        a, b = np.polyfit(x[keep], v[keep], 1, w=np.sqrt(w[keep] + 1e-12)) if np.ptp(x[keep]) else (0.0, v.mean())
+        total = (w * (v - np.average(v, weights=w)) ** 2).sum()
+        fits.append((a, b, 1 - (w * (v - a * x - b) ** 2).sum() / total if total else 0.0))
+    line, log = fits
+    if abs(line[2]) < 0.1 and abs(log[2]) < 0.1:
+        return "steady", 0.0, np.average(v, weights=w), 1.0
+    return ("linear", *line) if line[2] > log[2] else ("logarithmic", *log)
+
+
+def test_relationships_of_many_groups_are_those_of_each(spark):
+    rng = np.random.default_rng(3)
+    frames = []
+    for g in range(60):
+        n = int(rng.integers(3, 12))
+        x = rng.permutation(np.arange(1.0, 31.0))[:n] if g % 9 else np.full(n, 4.0)
+        frames.append(pd.DataFrame({"g": g, "x": x, "y": (3 * x if g % 2 else 9 * np.log(x)) + rng.normal(0, g % 5, n), "w": rng.uniform(0.5, 2, n)}))
+    df = spark.createDataFrame(pd.concat(frames))
+    found = models.relationship(df, "x", "y", "w", ["g"]).collect()
+    assert len(found) == 60
+    for r in found:
+        p = frames[r["g"]]
+        kind, *numbers = _alone(r["g"], *(p[c].to_numpy() for c in "xyw"))
+        assert r["kind"] == kind and np.allclose(r[2:], numbers, atol=1e-7)
