@@ -1,6 +1,6 @@
 """Power of responses along a chirp: a bank of Morlet wavelets, the ridge that follows the chirp, and features of it.
 
-A signal (a histogram of one repeat) is an array in a row; a task holds the bank of one row at a time.
+A signal (a histogram of one repeat) is an array in a row; a task holds the banks of a few rows at a time.
 """
 
 from __future__ import annotations
@@ -14,30 +14,37 @@ from pyspark.sql import functions as F
 
 from .models import _keys
 
+#: Numbers of banks that a task holds at once; one bank at least.
+CELLS = 1 << 19
+
 #: Bandwidth and centre frequency of the wavelet; fixed values.
 BANDWIDTH, CENTRE = 3.0, 1.5
 
 
 def bank(signal: np.ndarray, scales: np.ndarray) -> np.ndarray:
     """Magnitudes of the wavelet transform, scales x samples: sqrt(scale) times the inverse transform of the signal's spectrum under
-    exp(-pi^2 BANDWIDTH (scale f - CENTRE)^2), f in cycles a sample. The signal is padded with zeros to twice its length."""
-    n = len(signal)
+    exp(-pi^2 BANDWIDTH (scale f - CENTRE)^2), f in cycles a sample. The signal is padded with zeros to twice its length. Signals may be
+    the rows of a matrix, each has its bank then."""
+    n = signal.shape[-1]
     size = 1 << (2 * n - 1).bit_length()
     f = np.fft.fftfreq(size)
     window = np.exp(-((np.pi * (scales[:, None] * f - CENTRE)) ** 2) * BANDWIDTH) * (f > 0)
-    return np.sqrt(scales)[:, None] * np.abs(np.fft.ifft(np.fft.fft(signal, size) * window, axis=1)[:, :n])
+    return np.sqrt(scales)[:, None] * np.abs(np.fft.ifft(np.fft.fft(signal, size)[..., None, :] * window, axis=-1)[..., :n])
 
 
-def ridge(power: np.ndarray, path: np.ndarray, reach: int) -> tuple[np.ndarray, int]:
-    """(power along it, shift): the path of scale numbers, moved by up to `reach` scales either way, that collects most power; the least
+def ridge(power: np.ndarray, path: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(power along it, shift) of each bank: the path of scale numbers, moved by up to `reach` scales either way, that collects most power; the least
     move of equally good ones, down before up. Places beyond the bank are those at its ends."""
-    at = np.arange(power.shape[1])
-    best = None
+    at, banks = np.arange(power.shape[-1]), np.arange(len(power))
+    most, best, trace = np.full(len(power), -np.inf), np.zeros(len(power), int), None
     for shift in sorted(range(-reach, reach + 1), key=lambda s: (abs(s), s)):
-        trace = power[np.clip(path + shift, 0, len(power) - 1), at]
-        if best is None or trace.sum() > best[0].sum():
-            best = trace, shift
-    return best
+        along = np.ascontiguousarray(power[:, np.clip(path + shift, 0, power.shape[1] - 1), at])
+        total = along.sum(axis=1)
+        better = banks if trace is None else np.flatnonzero(total > most)
+        if trace is None:
+            trace = along
+        most[better], best[better], trace[better] = total[better], shift, along[better]
+    return trace, best
 
 
 def low_pass(rows: np.ndarray, cutoff: float, fs: float, order: int = 10) -> np.ndarray:
@@ -73,25 +80,38 @@ def chirp_features(signals: DataFrame, by: list[str], values: str, hertz: list[f
     cut = cutoff or fs / 10
     names = ["power_max", "frequency", "power_ratio", "threshold_frequency", "threshold_power", "shift"]
 
-    def features(v: np.ndarray) -> list:
-        if len(v) != len(chirp) or not np.ptp(v):
-            return [None] * 6
-        trace, shift = ridge(bank(v - v.mean(), widths), path, reach)
-        smooth = low_pass(trace, cut, fs)
-        top = int(smooth.argmax())
-        sums = np.concatenate([[0.0], smooth.cumsum()])
-        size = min(average, len(v))
-        mean = (sums[size:] - sums[:-size]) / size
-        above = np.flatnonzero(mean > smooth[top] * share)
-        last = int(above[-1]) if len(above) else 0
-        near = float(mean[max(0, last - 10) : last + 10].sum())
-        ratio = float(trace[:top].sum() / near / trace.sum()) if near > 0 else None
-        return [float(smooth[top]), float(chirp[top]), ratio, float(chirp[last]), near, shift]
+    size = min(average, len(chirp))
+    each = len(widths) << (2 * len(chirp) - 1).bit_length()  # numbers in a bank
+
+    def features(v: np.ndarray) -> list[list]:
+        """Of signals of the right length, one to a row, that vary."""
+        traces, shifts = ridge(bank(v - v.mean(axis=1, keepdims=True), widths), path, reach)
+        smooths = low_pass(traces, cut, fs)
+        tops = smooths.argmax(axis=1)
+        sums = np.concatenate([np.zeros((len(v), 1)), smooths.cumsum(axis=1)], axis=1)
+        means = (sums[:, size:] - sums[:, :-size]) / size
+        out = []
+        for trace, smooth, mean, top, shift in zip(traces, smooths, means, tops.tolist(), shifts.tolist(), strict=True):
+            above = np.flatnonzero(mean > smooth[top] * share)
+            last = int(above[-1]) if len(above) else 0
+            near = float(mean[max(0, last - 10) : last + 10].sum())
+            ratio = float(trace[:top].sum() / near / trace.sum()) if near > 0 else None
+            out.append([float(smooth[top]), float(chirp[top]), ratio, float(chirp[last]), near, shift])
+        return out
 
     def run(batches):
+        step = max(1, CELLS // each)
         for batch in batches:
             lists = batch.column(len(by))
-            rows = [features(np.nan_to_num(np.array(x.as_py() or [], float))) for x in lists]
+            places = np.flatnonzero(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == len(chirp))
+            flat = lists.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).astype(float)
+            v = np.nan_to_num(flat).reshape(len(places), len(chirp))
+            vary = np.ptp(v, axis=1) != 0 if len(v) else np.zeros(0, bool)
+            places, v = places[vary], v[vary]
+            rows = [[None] * 6] * len(batch)
+            for k in range(0, len(v), step):
+                for place, row in zip(places[k : k + step].tolist(), features(v[k : k + step]), strict=True):
+                    rows[place] = row
             columns = [pa.array([r[k] for r in rows], pa.int32() if k == 5 else pa.float64()) for k in range(6)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *columns], [*by, *names])
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from spiketide.operators import models, segments
+from spiketide.operators import models, segments, wavelets
 
 
 def _curves(many: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,3 +79,14 @@ def test_relationships_of_many_groups_are_those_of_each(spark):
         p = frames[r["g"]]
         kind, *numbers = _alone(r["g"], *(p[c].to_numpy() for c in "xyw"))
         assert r["kind"] == kind and np.allclose(r[2:], numbers, atol=1e-7)
+
+
+def test_banks_and_ridges_of_many_signals():
+    rng, scales = np.random.default_rng(4), np.geomspace(1, 16, 20)
+    signals, path = rng.normal(size=(7, 50)), rng.integers(0, 20, 50)
+    banks = wavelets.bank(signals, scales)
+    traces, shifts = wavelets.ridge(banks, path, 6)
+    for s, bank, trace, shift in zip(signals, banks, traces, shifts, strict=True):
+        assert np.array_equal(bank, wavelets.bank(s, scales))
+        sums = {k: bank[np.clip(path + k, 0, 19), np.arange(50)].sum() for k in range(-6, 7)}
+        assert sums[shift] == max(sums.values()) and np.isclose(trace.sum(), sums[shift])
