@@ -5,6 +5,7 @@ No group's rows meet in one task; what meets is a matrix per group and fold, or
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .models import _keys, spread
+from .models import CELLS, _keys, gathered, spread
 
 #: Bytes of matrices that a task holds before it sends them on.
 HELD_BYTES = 64 << 20
@@ -184,21 +185,66 @@ def lasso_cv(df: DataFrame, features: str, y: str, by: list[str], key: str, fold
 POISSON = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(13))
 
 
+#: Rows of a group that one task draws from, about; larger groups are dealt out, and the sums of their parts added.
+PART_ROWS = 1 << 14
+
+
 def bootstrap(df: DataFrame, value: str, by: list[str], key: list[str], draws: int = 1000, mass: float = 0.95, seed: int = 1) -> DataFrame:
     """(by..., low, high): percentiles over the draws of the mean of a resampled group.
 
     In every draw a row counts as often as a Poisson variable of mean 1 says, which a hash of seed, key and draw decides: reruns agree
-    however rows are placed. A row and draw cost a sum, not a row of a sample: tasks add up (group, draw) before anything is
-    shuffled. Rows of a null value are left out; draws that chose no row of a group do not count.
+    however rows are placed. Rows travel once, by group and part of a group, and a part sends on a sum and a count per draw, so
+    a group of any size is spread over tasks. Rows of a null value are left out; draws that chose no row of a group do not count.
     """
-    # one MD5 serves four draws, eight digits each
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws + 3) // 4 - 1))).alias("block")
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), F.concat_ws(":", *[F.col(k).cast("string") for k in key]).alias("key"), blocks)
-    digest = rows.withColumn("md5", F.md5(F.concat_ws(":", F.lit(str(seed)), "key", F.col("block").cast("string"))))
-    for k in range(4):
-        u = F.conv(F.substring("md5", 8 * k + 1, 8), 16, 10).cast("long")
-        digest = digest.withColumn(f"w{k}", sum(((u >= int(p * 2**32)).cast("long") for p in POISSON[1:]), (u >= int(POISSON[0] * 2**32)).cast("long")))
-    sums = digest.groupBy(*by, "block").agg(*[s for k in range(4) for s in (F.sum(f"w{k}").alias(f"n{k}"), F.sum(F.col(f"w{k}") * F.col("v")).alias(f"s{k}"))])
-    each = sums.select(*by, F.explode(F.array(*[F.struct((F.col("block") * 4 + k).alias("draw"), F.try_divide(F.col(f"s{k}"), F.col(f"n{k}")).alias("mean")) for k in range(4)])).alias("d"))
-    at = lambda q: F.percentile("d.mean", F.lit(q))
-    return each.filter(F.col("d.draw") < draws).groupBy(*by).agg(at((1 - mass) / 2).alias("low"), at((1 + mass) / 2).alias("high"))
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), F.concat_ws(":", *[F.col(k).cast("string") for k in key]).alias("key"))
+    large = rows.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > PART_ROWS).select(*[F.col(k).alias(f"__{k}") for k in by], F.ceil(F.col("__n") / PART_ROWS).alias("__m"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    parts = rows.join(large, same, "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("__m", F.lit(1))))
+    bounds = np.array([int(p * 2**32) for p in POISSON], np.int64)
+    blocks = [f":{k}".encode() for k in range((draws + 3) // 4)]  # one MD5 serves four draws, eight digits each
+
+    def weights(keys: list[str]) -> np.ndarray:
+        started = [hashlib.md5(f"{seed}:{k}".encode(), usedforsecurity=False) for k in keys]
+        found = bytearray()
+        for start in started:
+            for block in blocks:
+                digest = start.copy()
+                digest.update(block)
+                found += digest.digest()
+        return bounds.searchsorted(np.frombuffer(found, ">u4").astype(np.int64), side="right").reshape(len(keys), -1)[:, :draws]
+
+    def draw(batches):
+        for batch in batches:
+            lists = batch.column(len(by))
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+            points = lists.flatten()
+            keys, v = points.field("key"), points.field("v").to_numpy(zero_copy_only=False).astype(float)
+            n, s = np.zeros((len(batch), draws), np.int64), np.zeros((len(batch), draws), np.longdouble)  # the order of rows hardly shows
+            group, step = np.repeat(np.arange(len(batch)), sizes), max(1, CELLS // draws)
+            for k in range(0, len(v), step):
+                w, own = weights(keys[k : k + step].to_pylist()), group[k : k + step]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                n[own[first]] += np.add.reduceat(w, first, axis=0)
+                s[own[first]] += np.add.reduceat(w * v[k : k + step, None].astype(np.longdouble), first, axis=0)
+            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * draws), pa.array(a.ravel())) for a in (n, s.astype(float))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *arrays], [*by, "n", "s"])
+
+    def limits(batches):
+        for batch in batches:
+            lists, found = batch.column(len(by)), np.full((2, len(batch)), np.nan)
+            ends = lists.offsets.to_numpy()
+            points = lists.values
+            n, s = (points.field(c).flatten().to_numpy().reshape(-1, draws) for c in ("n", "s"))
+            for g, (a, b) in enumerate(zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)):
+                count, total = n[a:b].sum(axis=0), s[a:b].sum(axis=0)
+                means = np.sort(total[count > 0] / count[count > 0])
+                for k, q in enumerate(((1 - mass) / 2, (1 + mass) / 2)) if len(means) else ():
+                    at = (len(means) - 1) * q
+                    low, high = math.floor(at), math.ceil(at)
+                    found[k, g] = means[low] + (means[high] - means[low]) * (at - low)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *(pa.array(c, mask=np.isnan(c)) for c in found)], [*by, "low", "high"])
+
+    kinds = _keys(df, by)
+    dealt = gathered(parts, [*by, "part"], key=F.col("key"), v=F.col("v")).select(*by, "points")
+    sums = dealt.mapInArrow(draw, f"{kinds}, n array<long>, s array<double>")
+    return gathered(sums, by, n=F.col("n"), s=F.col("s")).mapInArrow(limits, f"{kinds}, low double, high double")

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from spiketide.operators import models, segments, wavelets
+from spiketide.operators import models, regress, segments, wavelets
 
 
 def _curves(many: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,3 +90,12 @@ def test_banks_and_ridges_of_many_signals():
         assert np.array_equal(bank, wavelets.bank(s, scales))
         sums = {k: bank[np.clip(path + k, 0, 19), np.arange(50)].sum() for k in range(-6, 7)}
         assert sums[shift] == max(sums.values()) and np.isclose(trace.sum(), sums[shift])
+
+
+def test_bootstrap_of_a_group_dealt_to_parts(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.col("id").alias("k"), (F.col("id") * 37 % 1000 / 7).alias("v"))
+    whole = regress.bootstrap(rows, "v", ["g"], ["k"], 30)
+    monkeypatch.setattr(regress, "PART_ROWS", 100)
+    parts = regress.bootstrap(rows, "v", ["g"], ["k"], 30)
+    one, two = (sorted(map(tuple, d.collect())) for d in (whole, parts))
+    assert len(one) == 2 and np.allclose(one, two)
