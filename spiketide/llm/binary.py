@@ -29,8 +29,9 @@ from .shared import cut, prepare, shared_dir
 SEQUENCE, BATCH = 1024, 256
 #: Rows of a file on average.
 FILE_ROWS = 8192
-#: Distinct pieces of text in a generation of a Python worker's cache of encodings; the one before is kept beside it.
-CACHE = 400_000
+#: Distinct pieces of text in a generation of a Python worker's cache of encodings; the one before is kept beside it. And in
+#: that of a cache that a task drops at its end.
+CACHE, TASK_CACHE = 400_000, 100_000
 
 
 class _Pieces(dict):
@@ -41,8 +42,9 @@ class _Pieces(dict):
     WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
     LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-    def __init__(self, tokenizer, before: str):
+    def __init__(self, tokenizer, before: str, most: int = CACHE):
         super().__init__()
+        self.most = most
         self.tokenizer, self.tokenize, self.before = tokenizer, tokenizer.model.tokenize, before
         self.older: dict[str, bytes] = {}
         # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on
@@ -66,7 +68,7 @@ class _Pieces(dict):
                 out = self[parts[1]] + self._ids(parts[2])
             else:
                 out = np.array(self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[piece] = out
@@ -82,8 +84,7 @@ def _byte_level(tokenizer) -> bool:
     return plain and cutter.get("type") == "ByteLevel" and not cutter["add_prefix_space"] and cutter.get("use_regex", True) and all("<|" in t["content"] for t in kind["added_tokens"])
 
 
-@functools.cache
-def _encoder(tokenizer_path: str):
+def _load(tokenizer_path: str, most: int = CACHE):
     """text -> ids, by a tokenizer of the tokenizers library.
 
     A byte-level BPE's pre-tokenizer never joins a character that is not white space with white space behind it, so texts fall apart
@@ -97,7 +98,7 @@ def _encoder(tokenizer_path: str):
     tokenizer = Tokenizer.from_file(tokenizer_path)
     if not _byte_level(tokenizer):
         return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-    first, spaced = _Pieces(tokenizer, ""), _Pieces(tokenizer, " ")
+    first, spaced = _Pieces(tokenizer, "", most), _Pieces(tokenizer, " ", most)
     odd = re.compile(r"\s\s|<\|")
     feed = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -115,13 +116,20 @@ def _encoder(tokenizer_path: str):
     return encode
 
 
-def write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, file_rows: int = FILE_ROWS) -> DataFrame:
+@functools.cache
+def _encoder(tokenizer_path: str):
+    """The encoder that a Python worker keeps from task to task."""
+    return _load(tokenizer_path)
+
+
+def write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, file_rows: int = FILE_ROWS, keep: bool = True) -> DataFrame:
     """Encode every text, append end_id to each document, write files under `out`; the manifest:
     (file, part, first_id, tokens, docs, start), start being the number of ids in all files before.
 
     Null texts are empty and have the end id alone. Rows are ordered by id, nulls first, ties by text. An empty table
     gives an empty manifest and no file. `out` is a URI that all executors reach, such as a folder under
-    spark.checkpoint.dir. Ids are 16 bits wide if the vocabulary fits, else 32.
+    spark.checkpoint.dir. Ids are 16 bits wide if the vocabulary fits, else 32. keep: whether Python workers keep the tokenizer and
+    its cache for later tasks, which saves time; without, a task drops them, which leaves the memory to other work.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -153,7 +161,7 @@ def write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_co
 
         for batch in batches:
             if encode is None:
-                encode = _encoder(tokenizer_path)
+                encode = _encoder(tokenizer_path) if keep else _load(tokenizer_path, TASK_CACHE)
                 width = np.uint16 if _vocabulary(tokenizer_path) <= 1 << 16 else np.uint32
                 sink = files.open_output_stream(f"{name}.arrow")
                 kind = pa.from_numpy_dtype(width)
