@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import words_in
-from .shared import cut, join_groups
+from .shared import cut_round, join_groups
 from .spans import keyed, running
 
 #: Ranges in which ranks are numbered: at most so many, so that their totals may be broadcast.
@@ -63,14 +63,14 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     rows, keys = lines.withColumn("d", F.lit(1).cast("long")), ["h"]
     slot = F.conv(F.hex(F.substring("h", 1, 2)), 16, 10).cast("long")
     while True:
-        rows = cut(rows)
+        rows = cut_round(rows)
         groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").withColumn("slot", slot)
-        numbered = cut(_numbered(groups, keys))
+        numbered = cut_round(_numbered(groups, keys))
         top = numbered.agg(F.max("new")).first()[0]
         if top is None and levels:
             return levels
         # depths are a column, so that every round runs the same compiled code
-        levels.append(cut(join_groups(rows, numbered, keys).select(*PLACE, F.col("new").alias("rank"), "b", "e", "d")))
+        levels.append(cut_round(join_groups(rows, numbered, keys).select(*PLACE, F.col("new").alias("rank"), "b", "e", "d")))
         if top is None:
             return levels
         rows, keys = _pairs(levels[-1], F.col("d")).withColumn("d", F.col("d") * 2), ["rank", "then"]
@@ -87,8 +87,8 @@ def _later_copies(levels: list[DataFrame], min_lines: int, min_words: int) -> Da
             some = _pairs(levels[s], F.lit(over)) if over else levels[s].withColumn("then", F.lit(0).cast("long"))
             runs.append((some if k == min_lines else some.filter(F.col("e") - F.col("b") >= min_words)).select(*PLACE, F.lit(k).cast("long").alias("k"), "rank", "then"))
     keys = ["k", "rank", "then"]
-    every = cut(reduce(DataFrame.unionByName, runs))
-    first = cut(every.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    every = cut_round(reduce(DataFrame.unionByName, runs))
+    first = cut_round(every.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = join_groups(every, first, keys).filter(F.struct(*PLACE) != F.col("first"))
     own = (F.col("first.did") == F.col("did")) & (F.col("first.th") == F.col("th"))
     begin = F.when(own, F.greatest(F.col("pos"), F.col("first.pos") + F.col("k"))).otherwise(F.col("pos"))
